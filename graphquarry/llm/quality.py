@@ -19,7 +19,7 @@ from .common import WHITESPACE, cut, utf8
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Measures as integers: (name, parts per thousand of ..., the least spread a fence allows for).
-MEASURES = {"symbol_rate": 60, "dup_line_rate": 40, "repeat_rate": 60, "word_length": 1500}
+MEASURES = {"symbol_rate": 60, "dup_line_rate": 40, "repeat_rate": 60, "word_length": 400}
 GRID = 16
 
 
@@ -113,7 +113,7 @@ def fences(sketch: DataFrame, *, min_docs: int = 50, reach: int = 5) -> DataFram
     got = both.select("a.lang", "a.source", "a.measure", q("q10").alias("q10"), q("q50").alias("q50"), q("q90").alias("q90"))
     least = F.create_map(*(F.lit(x) for kv in MEASURES.items() for x in kv))[F.col("measure")]
     hi = F.col("q50") + reach * F.greatest(F.col("q50") - F.col("q10"), least)
-    lo = F.when(F.col("measure") == "word_length", F.col("q50") - F.expr("greatest(q90 - q50, 500)") * reach).otherwise(F.lit(0))
+    lo = F.when(F.col("measure") == "word_length", F.col("q50") - F.expr("greatest(q90 - q50, 400)") * reach).otherwise(F.lit(0))
     got = got.select("lang", "source", "measure", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
     one = lambda m, x: F.max(F.when(F.col("measure") == m, F.col(x))).alias(f"{x}_{m}")
     return got.groupBy("lang", "source").agg(*(one(m, x) for m in MEASURES for x in ("lo", "hi")))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, secretscan, simhash, toxicity, warc
+from . import decontam, langid, lmscore, mixing, passages, quality, secretscan, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -30,10 +31,19 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents", "doc_id", "text", "lang")).drop("text", "lang")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lmscore.score(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return d.withColumns({c: F.round(c, 6) for c in ("log10_score", "mean_log10")})
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -47,4 +57,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(docs, items).drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_toxicity, op3_warc, op4_quality_rules, op6_language_id, op8_mixing, op9_secret_scan, op10_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_toxicity, op3_warc, op4_quality_rules, op5_substring_dedup, op6_language_id, op7_lm_scoring, op8_mixing, op9_secret_scan, op10_decontamination)}
