@@ -108,3 +108,18 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     stretch = overlap(F.col("b"), F.least(end, F.col("long"))) + overlap(F.lit(0), end - F.col("long"))
     taken = (F.col("rounds") * F.col("size") + stretch).cast("long")
     return d.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(F.col(f"c_{c}").alias(c) for c in carry))
+
+
+def taken_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The rows of docs of which the mix takes any words, with size, source_size, target and taken.
+
+    Columns of docs of those names are replaced.  Texts are shuffled once, by a mark of id, text and
+    source; rows alike in all three share what was taken of them in any order.
+    """
+    new = ("size", "source_size", "target", "taken")
+    marked = docs.drop(*new).withColumn("row_mark", F.xxhash64(doc_id, text, source))
+    mixed = mix(marked, doc_id=doc_id, text=text, source=source, carry=("row_mark",), **options)
+    per = mixed.groupBy(F.col("row_mark").alias("m")).agg(F.collect_list(F.struct(*new)).alias("mixed"))
+    nth = F.row_number().over(Window.partitionBy("row_mark").orderBy(F.lit(1)))
+    joined = marked.withColumn("nth", nth).join(per, F.col("row_mark") == F.col("m")).withColumn("got", F.element_at("mixed", F.col("nth")))
+    return joined.filter("got.taken > 0").select(*marked.drop("row_mark").columns, *(F.col(f"got.{c}").alias(c) for c in new))
