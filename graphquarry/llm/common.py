@@ -1,51 +1,19 @@
-"""Helpers shared by the operators: the shared folder, cutting lineage, and words."""
+"""Helpers shared by the operators: words, and what the library has for shared folders."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..storage import cut, discard, shared_dir
+
+__all__ = ["WORD_REGEX", "WHITESPACE", "cut", "discard", "shared_dir", "lower_ascii", "utf8", "held_out"]
+
 #: Java form of a word: a run of characters other than space and U+0009 to U+000D.
 WORD_REGEX = "[^ \\t-\\r]+"
 WHITESPACE = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as a URI.  Only where none is configured (tests), a local one is set."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), f"graphquarry-{uuid.uuid4().hex}"))
-        found = sc.getCheckpointDir()
-    path = sc._jvm.org.apache.hadoop.fs.Path(found)
-    full = str(path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString())
-    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once into a table in the shared folder, and go on from that.
-
-    Unlike a checkpoint, which computes its last stage twice, this writes in one pass; like one, it
-    survives lost executors.  ``discard`` deletes the table.
-    """
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the table of a frame that ``cut`` made, once nothing reads it any more."""
-    sc = df.sparkSession.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(df._cut_path)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

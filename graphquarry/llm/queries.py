@@ -58,3 +58,127 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_toxicity, op3_warc, op4_quality_rules, op5_substring_dedup, op6_language_id, op7_lm_scoring, op8_mixing, op9_secret_scan, op10_decontamination)}
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = f"list_filter(string_split_regex({_LOW}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+_SPACED = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+_OP3 = """
+WITH d AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT payload_digest AS digest, max(page_id) AS keeper FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM d LEFT JOIN k ON digest = payload_digest AND payload_bytes >= 1000
+"""
+
+
+def _fence_sql() -> str:
+    """The adaptive fences over a relation ``base`` (doc_id, lang, source, the base counts, base_failed)."""
+    per = {"symbol_rate": "n_symbols", "dup_line_rate": "n_dup_lines", "repeat_rate": "n_repeat_words", "word_length": "word_chars"}
+    value = {m: f"((1000 * {c}) // greatest(n_words, 1))" for m, c in per.items()}
+    grid = quality.GRID
+    e = "(length(bin(v)) - 5)"
+    bucket = f"CASE WHEN v < {2 * grid} THEN v ELSE {grid} * {e} + v // (1::BIGINT << {e}::INTEGER) END"
+    low = f"CASE WHEN bucket < {2 * grid} THEN bucket ELSE (bucket - {grid} * (bucket // {grid} - 1)) * (1::BIGINT << (bucket // {grid} - 1)::INTEGER) END"
+
+    def quantiles(name: str, source: str, keys: str) -> str:
+        by = f"{keys}, measure" if keys else "measure"
+        at = lambda p: f"min(CASE WHEN 100 * upto >= {p} * docs THEN low END)"
+        return f"""{name}_run AS (SELECT {by}, {low} AS low, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS docs FROM {source}),
+{name} AS (SELECT {by}, max(docs) AS docs, {at(10)} AS q10, {at(50)} AS q50, {at(90)} AS q90 FROM {name}_run GROUP BY {by})"""
+
+    least = " ".join(f"WHEN '{m}' THEN {x}" for m, x in quality.MEASURES.items())
+    q = lambda x: f"CASE WHEN a.docs >= 50 THEN a.{x} WHEN b.docs >= 50 THEN b.{x} ELSE c.{x} END AS {x}"
+    within = " AND ".join(f"{v} BETWEEN lo_{m} AND hi_{m}" for m, v in value.items())
+    wide = ", ".join(f"max(CASE WHEN measure = '{m}' THEN {x} END) AS {x}_{m}" for m in value for x in ("lo", "hi"))
+    return f"""
+long AS (SELECT lang, source, m.measure AS measure, m.v AS v FROM (SELECT lang, source, unnest([{', '.join(f"{{'measure': '{m}', 'v': {v}}}" for m, v in value.items())}]) AS m FROM base WHERE NOT base_failed)),
+sketch AS (SELECT lang, source, measure, {bucket} AS bucket, count(*) AS n FROM long GROUP BY ALL),
+by_lang AS (SELECT lang, measure, bucket, sum(n) AS n FROM sketch GROUP BY ALL),
+whole AS (SELECT measure, bucket, sum(n) AS n FROM sketch GROUP BY ALL),
+{quantiles('qa', 'sketch', 'lang, source')},
+{quantiles('qb', 'by_lang', 'lang')},
+{quantiles('qc', 'whole', '')},
+picked AS (SELECT a.lang, a.source, a.measure, {q('q10')}, {q('q50')}, {q('q90')} FROM qa a JOIN qb b ON a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN qc c ON c.measure = a.measure),
+fence AS (SELECT lang, source, measure, CASE WHEN measure = 'word_length' THEN q50 - greatest(q90 - q50, 400) * 5 ELSE 0 END AS lo, q50 + 5 * greatest(q50 - q10, CASE measure {least} END) AS hi FROM picked),
+fences AS (SELECT lang, source, {wide} FROM fence GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({within}, true) AS kept
+FROM base LEFT JOIN fences ON base.lang IS NOT DISTINCT FROM fences.lang AND base.source IS NOT DISTINCT FROM fences.source
+"""
+
+
+_OP4 = (
+    f"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_SPACED} AS w FROM documents),
+windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM windows),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again WHERE n > 1) GROUP BY doc_id),
+lines AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
+counts AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),"""
+    + _fence_sql()
+)
+
+_OP7 = f"""
+WITH w AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+uni AS (SELECT doc_id, i, w[i] AS x, CASE WHEN i > 1 THEN w[i - 1] END AS u FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+total AS (SELECT count(*) AS n FROM uni), size AS (SELECT doc_id, count(*) AS n FROM uni GROUP BY doc_id),
+c1 AS (SELECT x, count(*) AS n FROM uni GROUP BY x), d1 AS (SELECT doc_id, x, count(*) AS n FROM uni GROUP BY ALL),
+c2 AS (SELECT u, x, count(*) AS n FROM uni WHERE u IS NOT NULL GROUP BY ALL), d2 AS (SELECT doc_id, u, x, count(*) AS n FROM uni WHERE u IS NOT NULL GROUP BY ALL),
+l AS (SELECT uni.doc_id, coalesce(c2.n - d2.n, 0) AS ab, cu.n - du.n AS a, cx.n - dx.n AS b, total.n - size.n AS others, uni.u IS NULL AS start
+  FROM uni JOIN total ON true JOIN size ON size.doc_id = uni.doc_id JOIN c1 cx ON cx.x = uni.x JOIN d1 dx ON dx.doc_id = uni.doc_id AND dx.x = uni.x
+  LEFT JOIN c1 cu ON cu.x = uni.u LEFT JOIN d1 du ON du.doc_id = uni.doc_id AND du.x = uni.u LEFT JOIN c2 ON c2.u = uni.u AND c2.x = uni.x LEFT JOIN d2 ON d2.doc_id = uni.doc_id AND d2.u = uni.u AND d2.x = uni.x),
+s AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN ab > 0 THEN log10(ab::DOUBLE / a) ELSE log10(greatest(b, 0.5)::DOUBLE / greatest(others, 1)) + CASE WHEN start THEN 0 ELSE log10(0.4::DOUBLE) END END) AS t FROM l GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(s.n, 0)::BIGINT AS n_words, round(coalesce(t, 0), 6) AS log10_score, round(t / s.n, 6) AS mean_log10 FROM documents LEFT JOIN s ON s.doc_id = documents.doc_id
+"""
+
+
+def _apportion_sql(name: str, parties: str, group: str, party: str, votes: str, seats: str, cap: str) -> str:
+    return f"""{name}_p AS (SELECT {group} AS g, {party} AS p, {votes}::DOUBLE AS v, {seats} AS n, {cap} AS cap, sum({votes}::DOUBLE) OVER (PARTITION BY {group}) AS all_v, count(*) OVER (PARTITION BY {group}) AS m FROM {parties}),
+{name}_near AS (SELECT *, CASE WHEN all_v > 0 THEN floor(n * (v / all_v) + 0.5) ELSE 0 END::BIGINT AS near, (CASE WHEN all_v > 0 THEN ceil(m * (v / all_v) / 2) ELSE 0 END + 2)::BIGINT AS reach FROM {name}_p),
+{name}_sure AS (SELECT *, greatest(0, near - reach) AS sure FROM {name}_near),
+{name}_left AS (SELECT *, n - sum(sure) OVER (PARTITION BY g) AS remaining FROM {name}_sure),
+{name}_offer AS (SELECT *, unnest(range(sure, near + reach + 1)) AS k FROM {name}_left WHERE v > 0),
+{name}_rank AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY v / (2 * k + 1) DESC, k, p) AS r FROM {name}_offer),
+{name} AS (SELECT g, p, least(first(sure) + count(*), first(cap))::BIGINT AS quota FROM {name}_rank WHERE r <= remaining GROUP BY g, p)"""
+
+
+_NUMBER = lambda x: f"('0x' || right({x}, 15))::BIGINT"
+
+_OP8 = f"""
+WITH d AS (SELECT doc_id, source, len({_SPACED})::BIGINT AS size FROM documents),
+by_size AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+placed AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM by_size),
+heavy AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM placed),
+fill AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER b, 0))::BIGINT AS free, (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::BIGINT AS open, row_number() OVER (ORDER BY source_size / weight, place) AS f FROM heavy WINDOW b AS (ORDER BY source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+stop AS (SELECT *, 3 * source_size * open <= free * weight AS stopped FROM fill),
+level AS (SELECT free, open FROM stop WHERE NOT stopped ORDER BY f LIMIT 1),
+target AS (SELECT stop.*, CASE WHEN stopped THEN (3 * source_size)::DOUBLE ELSE (weight * level.free)::DOUBLE / level.open END AS target, (sum(source_size) OVER ())::BIGINT AS total FROM stop LEFT JOIN level ON true),
+sized AS (SELECT *, greatest(1, least(64, total // 100000)) AS block, greatest(1, least(4096, source_size // 100000)) AS shards FROM target),
+seated AS (SELECT *, total // block AS seats, 3 * source_size // block AS room FROM sized),
+{_apportion_sql("won", "seated", "0", "place", "target", "seats", "room")},
+facts AS (SELECT seated.*, coalesce(quota, 0) AS blocks FROM seated LEFT JOIN won ON won.p = place),
+lots AS (SELECT d.*, facts.source_size, target, place, block, blocks, md5('20:' || doc_id || ':' || size) AS lot, shards FROM d JOIN facts ON d.source IS NOT DISTINCT FROM facts.source),
+dealt AS (SELECT *, {_NUMBER('lot')} % shards AS shard FROM lots),
+shard_sizes AS (SELECT place, shard, sum(size)::BIGINT AS shard_size, first(blocks) AS blocks, 3 * sum(size)::BIGINT // first(block) AS room FROM dealt GROUP BY place, shard),
+{_apportion_sql("won2", "shard_sizes", "place", "shard", "shard_size", "blocks", "room")},
+line AS (SELECT dealt.*, (coalesce(sum(size) OVER l, 0))::BIGINT AS a, (sum(size) OVER (PARTITION BY place, shard))::BIGINT AS long, coalesce(won2.quota, 0) * block AS tokens FROM dealt LEFT JOIN won2 ON won2.g = place AND won2.p = shard WINDOW l AS (PARTITION BY place, shard ORDER BY lot, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT *, CASE WHEN long > 0 THEN tokens // long ELSE 0 END AS rounds, CASE WHEN long > 0 THEN tokens % long ELSE 0 END AS rest, {_NUMBER("md5('20:' || place || ':' || shard)")} % greatest(1, long // block) * block AS b FROM line)
+SELECT doc_id, size, source_size, target, (rounds * size + greatest(0, least(a + size, least(b + rest, long)) - greatest(a, b)) + greatest(0, least(a + size, b + rest - long) - a))::BIGINT AS taken FROM cut
+"""
+
+_OP10 = f"""
+WITH i AS (SELECT coalesce(item_id::VARCHAR, '') AS item_id, {_PLAIN} AS w FROM benchmark),
+iw AS (SELECT item_id, least(10, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda p: array_to_string(w[p : p + least(10, len(w)) - 1], ' '))) AS k FROM i WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM iw),
+d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p, w FROM d, sizes),
+hits AS (SELECT doc_id, n, p, item_id FROM (SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS k FROM dw) x JOIN iw USING (n, k)),
+words AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(items.s, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+#: Fingerprints need XXH64, and chains, automata, models and guess costs a loop; tests compare those with plain versions.
+ORACLE_SQL: dict[str, str] = {"op3_warc": _OP3, "op4_quality_rules": _OP4, "op7_lm_scoring": _OP7, "op8_mixing": _OP8, "op10_decontamination": _OP10}
