@@ -115,7 +115,7 @@ def file_metadata(spark, d):
     return described_files(spark, d).select("id", "language", "size", "line_count", "is_test")
 
 
-@query(f"WITH {_FILES}, x AS (SELECT id, list_filter(string_split(path, '/'), p -> p NOT IN ({', '.join(repr(s) for s in SCAFFOLD_DIRS)}) AND p NOT LIKE '%.%' AND p <> '')[1] AS subsystem FROM files) SELECT subsystem, count(*) AS n FROM x GROUP BY subsystem")
+@query(f"WITH {_FILES}, x AS (SELECT id, list_filter(string_split(path, '/'), lambda p: p NOT IN ({', '.join(repr(s) for s in SCAFFOLD_DIRS)}) AND p NOT LIKE '%.%' AND p <> '')[1] AS subsystem FROM files) SELECT subsystem, count(*) AS n FROM x GROUP BY subsystem")
 def subsystems(spark, d):
     return files_of(spark, d).groupBy(paths.subsystem(F.col("path")).alias("subsystem")).agg(F.count("*").alias("n"))
 
@@ -128,7 +128,7 @@ def test_base_name(spark, d):
     return _tree_paths(spark, d).select("id", "v", paths.test_base(F.col("path")).alias("base"))
 
 
-_PENALTY = " + ".join(f"{p} * len(list_filter(string_split(lower(path), '/'), s -> s IN ({', '.join(repr(n) for n in names)})))" for p, names in DIR_PENALTIES.items())
+_PENALTY = " + ".join(f"{p} * len(list_filter(string_split(lower(path), '/'), lambda s: s IN ({', '.join(repr(n) for n in names)})))" for p, names in DIR_PENALTIES.items())
 _MINIFIED = " OR ".join(f"lower(path) LIKE '%{s}'" for s in MINIFIED_SUFFIXES)
 _QUALITY = f"(({_PENALTY}) + CASE WHEN {_MINIFIED} THEN -60 ELSE 0 END + CASE WHEN line_count > 0 AND size // line_count > 1000 THEN -200 WHEN line_count > 0 AND size // line_count > 500 THEN -80 ELSE 0 END + CASE WHEN language IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN is_test THEN -5 ELSE 0 END)"
 
@@ -214,8 +214,8 @@ _ASK = "CASE conv_id % 5 WHEN 0 THEN text WHEN 1 THEN 'How should we ' || text W
 
 @query(
     f"""WITH a AS (SELECT conv_id, turn, {_ASK} AS ask FROM conversations WHERE role = 'user')
-    SELECT conv_id, turn, len(list_filter({_LIST(META_PHRASES)}, p -> contains(lower(ask), p))) > 0 AS is_meta,
-    list_has_any(list_transform(string_split_regex(ask, '[^\\p{{L}}\\p{{N}}_-]+'), w -> lower(w)), {_LIST(TEST_WORDS)}) AS about_tests FROM a"""
+    SELECT conv_id, turn, len(list_filter({_LIST(META_PHRASES)}, lambda p: contains(lower(ask), p))) > 0 AS is_meta,
+    list_has_any(list_transform(string_split_regex(ask, '[^\\p{{L}}\\p{{N}}_-]+'), lambda w: lower(w)), {_LIST(TEST_WORDS)}) AS about_tests FROM a"""
 )
 def question_gates(spark, d):
     a = table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.expr(_ASK).alias("ask"))
@@ -226,7 +226,7 @@ def question_gates(spark, d):
 @query(
     f"""WITH w AS (SELECT item_id, unnest(string_split_regex(text, '[^\\p{{L}}\\p{{N}}_-]+')) AS w, generate_subscripts(string_split_regex(text, '[^\\p{{L}}\\p{{N}}_-]+'), 1) AS o FROM benchmark),
     k AS (SELECT item_id, o, w FROM w WHERE w <> '' AND lower(w) NOT IN ({', '.join(repr(s) for s in STOP_WORDS)})),
-    camel AS (SELECT item_id, o, w, list_filter(string_split(regexp_replace(w, '(.)(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g'), chr(1)), p -> p <> '') AS p FROM k),
+    camel AS (SELECT item_id, o, w, list_filter(string_split(regexp_replace(w, '(.)(\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda p: p <> '') AS p FROM k),
     every AS (SELECT item_id, o, 0 AS i, lower(w) AS kw FROM k UNION ALL SELECT item_id, o, i, lower(p) FROM (SELECT item_id, o, unnest(p) AS p, generate_subscripts(p, 1) AS i FROM camel WHERE len(p) > 1) WHERE strlen(lower(p)) >= 4 AND lower(p) NOT IN ({', '.join(repr(s) for s in STOP_WORDS)})),
     firsts AS (SELECT item_id, kw, min(o * 1000 + i) AS o FROM every GROUP BY item_id, kw)
     SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY o) - 1)::INTEGER AS ord, kw FROM firsts"""
@@ -236,7 +236,7 @@ def keyword_extract(spark, d):
     return b.select("item_id", F.posexplode(text.keywords(F.col("text"))).alias("ord", "kw"))
 
 
-@query(f"WITH {_SYMBOLS}, n AS (SELECT id, string_split(name, '_') AS p FROM symbols) SELECT id, i::INTEGER AS ord, part FROM (SELECT id, unnest(list_filter(p, x -> x <> '')) AS part, generate_subscripts(list_filter(p, x -> x <> ''), 1) - 1 AS i FROM n)")
+@query(f"WITH {_SYMBOLS}, n AS (SELECT id, string_split(name, '_') AS p FROM symbols) SELECT id, i::INTEGER AS ord, part FROM (SELECT id, unnest(list_filter(p, lambda x: x <> '')) AS part, generate_subscripts(list_filter(p, lambda x: x <> ''), 1) - 1 AS i FROM n)")
 def identifier_split(spark, d):
     camel = F.concat(F.substring_index("name", "_", 1), F.initcap(F.substring_index("name", "_", -1)))
     s = symbols_of(spark, d).withColumn("spelled", F.when(F.col("id") % 2 == 0, F.col("name")).otherwise(camel))
@@ -272,7 +272,7 @@ def fuzzy_rescue(spark, d):
 # --- scores
 
 _WEIGHTED = (("red_widget", 3.3), ("small", 1.7), ("widgets", 2.5), ("gear", 0.5), ("hot_gea", 4.2))
-_FILE_WORDS = (("example", 1.2, False), ("685", 6.5, False), ("en", 1.0, True), ("blog", 2.4, False), ("97", 3.1, False))
+_FILE_WORDS = (("example", 1.2, False), ("685", 1.1, False), ("en", 1.0, True), ("blog", 2.4, False), ("97", 3.1, False))
 
 
 @query(
@@ -376,15 +376,14 @@ def test_edges_import(spark, d):
 
 
 def _snapshots(spark, d):
-    doc = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "n_chars", "doc_id")
-    before = doc.filter("doc_id % 7 <> 3").withColumn("mtime", F.col("n_chars"))
-    after = doc.filter("doc_id % 5 <> 2").withColumn("mtime", F.col("n_chars") + F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0))
-    return before, after
+    """Two states of a tree: documents under twice and under three times their ids."""
+    doc = table(spark, d, "documents")
+    state = lambda n: doc.select((F.col("doc_id") * n).cast("string").alias("path"), (F.col("n_chars") % 3).alias("mtime"))
+    return state(2), state(3)
 
 
-@query("WITH a AS (SELECT doc_id::VARCHAR AS path, n_chars AS m FROM documents WHERE doc_id % 7 <> 3), b AS (SELECT doc_id::VARCHAR AS path, n_chars + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS m FROM documents WHERE doc_id % 5 <> 2) SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'deleted' WHEN a.path IS NULL THEN 'new' WHEN a.m = b.m THEN 'unchanged' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.path = b.path")
+@query("WITH a AS (SELECT (doc_id * 2)::VARCHAR AS path, n_chars % 3 AS m FROM documents), b AS (SELECT (doc_id * 3)::VARCHAR AS path, n_chars % 3 AS m FROM documents) SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'deleted' WHEN a.path IS NULL THEN 'new' WHEN a.m = b.m THEN 'unchanged' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.path = b.path")
 def snapshot_diff(spark, d):
-    # two states of one table stand for the old and the new tree
     return index.snapshot_diff(*_snapshots(spark, d))
 
 
@@ -440,19 +439,19 @@ def first_turn_rate(spark, d):
     return evaluate.cache_effect(u, "conv_id", "turn").select("conv_id", F.round("first_rate", 9).alias("first_rate"))
 
 
-_WORDS = "list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), w -> strlen(w) >= 3))"
-_HIT = lambda a, b: f"len(list_filter({a}, x -> len(list_filter({b}, y -> x = y OR (strlen(x) <= strlen(y) AND strlen(x) >= 4 AND starts_with(y, x)) OR (strlen(y) < strlen(x) AND strlen(y) >= 4 AND starts_with(x, y)))) > 0))"
+_WORDS = "list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: strlen(w) >= 3))"
+_HIT = lambda a, b: f"len(list_filter({a}, lambda x: len(list_filter({b}, lambda y: x = y OR (strlen(x) <= strlen(y) AND strlen(x) >= 4 AND starts_with(y, x)) OR (strlen(y) < strlen(x) AND strlen(y) >= 4 AND starts_with(x, y)))) > 0))"
 
 
 @query(
-    f"""WITH a AS (SELECT conv_id, turn, {_WORDS} AS k, md5(left(text, 12)) AS h FROM conversations WHERE role = 'user'),
+    f"""WITH a AS (SELECT conv_id, turn, {_WORDS} AS k, md5(text) AS h FROM conversations WHERE role = 'user'),
     p AS (SELECT *, lag(k) OVER w AS lk, lag(h) OVER w AS lh FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
     c AS (SELECT conv_id, turn, lk, h, lh, ({_HIT('k', 'lk')} + {_HIT('lk', 'k')}) / 2.0::DOUBLE AS common, len(k) + len(lk) AS n FROM p)
     SELECT conv_id, turn, CASE WHEN lk IS NULL THEN 'full' WHEN h = lh THEN 'skip' WHEN n - common > 0 AND common / (n - common) >= 0.35 THEN 'brief' ELSE 'full' END AS budget FROM c"""
 )
 def session_budget(spark, d):
     kws = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.octet_length(w) >= 3))
-    a = table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", kws.alias("kws"), F.array().cast("array<string>").alias("subsystems"), F.md5(F.substring("text", 1, 12)).alias("output_hash"))
+    a = table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", kws.alias("kws"), F.array().cast("array<string>").alias("subsystems"), F.md5("text").alias("output_hash"))
     return session.budgets(a, "conv_id", "turn").select("conv_id", "turn", "budget")
 
 
@@ -484,7 +483,7 @@ def mode_and_rules(spark, d):
 _PROMPT = "'where is ' || replace(p_name, ' ', '_') || ' or ' || p_type"
 
 
-@query(f"WITH p AS (SELECT p_partkey AS id, string_split_regex(lower({_PROMPT}), '[^a-z0-9_$]+') AS t, CASE p_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN replace(p_name, ' ', '_') || 's' ELSE 'other' END AS n FROM part) SELECT id, list_contains(t, n) OR len(list_filter(t, x -> strlen(x) >= 5 AND strlen(n) >= 5 AND damerau_levenshtein(x, n) = 1)) > 0 AS anchored FROM p")
+@query(f"WITH p AS (SELECT p_partkey AS id, string_split_regex(lower({_PROMPT}), '[^a-z0-9_$]+') AS t, CASE p_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN replace(p_name, ' ', '_') || 's' ELSE 'other' END AS n FROM part) SELECT id, list_contains(t, n) OR len(list_filter(t, lambda x: strlen(x) >= 5 AND strlen(n) >= 5 AND damerau_levenshtein(x, n) = 1)) > 0 AS anchored FROM p")
 def prompt_anchor(spark, d):
     name = F.replace("p_name", F.lit(" "), F.lit("_"))
     n = F.when(F.col("p_partkey") % 3 == 0, name).when(F.col("p_partkey") % 3 == 1, F.concat(name, F.lit("s"))).otherwise("other")
@@ -501,7 +500,7 @@ def repo_rank(spark, d):
 
 # --- evaluation
 
-_SETS = "s AS (SELECT user_id, list_distinct(list(json_extract_string(props, '$.k')) FILTER (WHERE event_type = 'view')) AS a, list_distinct(list(json_extract_string(props, '$.k')) FILTER (WHERE event_type = 'click')) AS b FROM events GROUP BY user_id), r AS (SELECT user_id, coalesce(a, []) AS a, coalesce(b, []) AS b FROM s), h AS (SELECT user_id, len(list_intersect(a, b)) AS n_hits, len(a) AS na, len(b) AS nb, list_filter(a, x -> NOT list_contains(b, x)) AS missed FROM r), rates AS (SELECT user_id, n_hits, na - n_hits AS n_misses, nb - n_hits AS n_unused, missed, CASE WHEN nb > 0 THEN round(100.0::DOUBLE * n_hits / nb, 1) ELSE 0 END AS precision, CASE WHEN na > 0 THEN round(100.0::DOUBLE * n_hits / na, 1) ELSE 0 END AS recall FROM h)"
+_SETS = "s AS (SELECT user_id, list_distinct(list(json_extract_string(props, '$.k')) FILTER (WHERE event_type = 'view')) AS a, list_distinct(list(json_extract_string(props, '$.k')) FILTER (WHERE event_type = 'click')) AS b FROM events GROUP BY user_id), r AS (SELECT user_id, coalesce(a, []) AS a, coalesce(b, []) AS b FROM s), h AS (SELECT user_id, len(list_intersect(a, b)) AS n_hits, len(a) AS na, len(b) AS nb, list_filter(a, lambda x: NOT list_contains(b, x)) AS missed FROM r), rates AS (SELECT user_id, n_hits, na - n_hits AS n_misses, nb - n_hits AS n_unused, missed, CASE WHEN nb > 0 THEN round(100.0::DOUBLE * n_hits / nb, 1) ELSE 0 END AS precision, CASE WHEN na > 0 THEN round(100.0::DOUBLE * n_hits / na, 1) ELSE 0 END AS recall FROM h)"
 
 
 def _sets(spark, d):
