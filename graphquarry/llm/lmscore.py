@@ -25,8 +25,6 @@ BACKOFF = 0.4
 #: Stands for the count of a word that no other document has.
 UNSEEN = 0.5
 BLOCK_WORDS = 1_000_000
-#: Java form of what words_of takes as a word.
-_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -78,6 +76,11 @@ def _types(id_type: pa.DataType) -> list[pa.DataType]:
     return [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.list_(id_type), pa.list_(pa.int32())]
 
 
+def _count_words(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(words_of(t.as_py())) for t in b.column(0))], pa.int64())})
+
+
 def _blocks(batches, order: int, bits: int, block_words: int):
     """Packed rows from batches of (id, text)."""
     table = _WordHashes()
@@ -163,7 +166,7 @@ def _score_block(rows: pa.Table, order: int, words: int) -> pa.Table:
         step = score[at] + np.log10(BACKOFF)
         step[seen] = np.log10(left[n][at][seen] / left[n - 1][at - 1][seen])
         score[at] = step
-    sums = np.bincount(doc, score, len(lengths))
+    sums = np.bincount(doc, score, len(lengths)).astype(float)
     ids = head["ids"]
     kind = rows.schema.field("ids").type.value_type
     return pa.table({"doc_id": pa.array(ids, kind), "n_words": pa.array(lengths), "log10_score": pa.array(sums)})
@@ -178,7 +181,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order:
     another document to the next.  Null and empty texts have no words, score 0 and mean null.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    words = d.agg(F.sum(F.regexp_count("text", F.lit(_WORD)))).first()[0] or 0
+    words = d.select("text").mapInArrow(_count_words, "n long").agg(F.sum("n")).first()[0] or 0
     bits = max(4, (words * order // part_words).bit_length())
     kind = d.schema["doc_id"].dataType.simpleString()
     schema = f"key long, block long, n int, part long, size int, a binary, b binary, extra int, ids array<{kind}>, lengths array<int>"
