@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import aside, utf8
 
 #: Words are runs of digits, letters a-z (A-Z lower-cased) and anything outside ASCII.
 _KEEP = bytes(c if c in b"0123456789abcdefghijklmnopqrstuvwxyz" or c > 127 else 32 for c in range(256))
@@ -246,6 +246,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "
     from others each hit span is cut, from its first to its last word.  Untouched documents keep
     their texts byte for byte, null texts included.
     """
+    docs, restored = aside(docs, "n_words", "spans", "items")
     spans = scan_items(docs, benchmark, text=text, **options)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x.e - x.s)
     kept = spans.filter(hit <= max_coverage * F.col("n_words"))
@@ -265,7 +266,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    return kept.withColumn(text, F.when(F.size("spans") > 0, cut_out(text, "spans")).otherwise(F.col(text))).drop("n_words", "spans", "items")
+    return restored(kept.withColumn(text, F.when(F.size("spans") > 0, cut_out(text, "spans")).otherwise(F.col(text))))
 
 
 def items_digest(items: set[str]) -> str:

@@ -89,9 +89,12 @@ class CrossParser:
                 parts.append(c)
                 left -= len(c)
             step = suffix_automaton(np.concatenate(parts), self.alphabet)
-            root = np.maximum(step[0], 0)
-            # a broken phrase starts again at once with the letter that broke it; ~ marks the break
-            self.automata.append(np.where(step >= 0, step, ~root[None, :]).astype(np.int32).ravel())
+            # a broken phrase starts again at once with the letter that broke it; ~ marks the break.  The last
+            # state goes nowhere: parses start there, and a letter that the sample lacks is a phrase of its own
+            dead = len(step)
+            again = np.where(step[0] >= 0, step[0], dead)
+            step = np.concatenate([step, np.full((1, self.alphabet), -1)])
+            self.automata.append(np.where(step >= 0, step, ~again[None, :]).astype(np.int32).ravel())
 
     def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
         """[language, text] number of phrases."""
@@ -108,8 +111,8 @@ class CrossParser:
         grid = np.ascontiguousarray(grid.T)
         live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # lanes longer than each position
         for x, step in enumerate(self.automata):
-            state = np.zeros(len(parts), np.int32)
-            broken = np.ones(len(parts), np.int32)
+            state = np.full(len(parts), len(step) // self.alphabet - 1, np.int32)
+            broken = np.zeros(len(parts), np.int32)
             for j, n in enumerate(live):
                 t = step.take(state[:n] * self.alphabet + grid[j, :n])
                 sign = t >> 31

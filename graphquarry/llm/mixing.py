@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_REGEX, cut
+from .common import WORD_REGEX, aside, cut
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -117,9 +117,11 @@ def taken_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     source; rows alike in all three share what was taken of them in any order.
     """
     new = ("size", "source_size", "target", "taken")
-    marked = docs.drop(*new).withColumn("row_mark", F.xxhash64(doc_id, text, source))
+    docs, restored = aside(docs.drop(*new), "row_mark", "nth", "m", "got", "mixed")
+    marked = docs.withColumn("row_mark", F.xxhash64(doc_id, text, source))
     mixed = mix(marked, doc_id=doc_id, text=text, source=source, carry=("row_mark",), **options)
     per = mixed.groupBy(F.col("row_mark").alias("m")).agg(F.collect_list(F.struct(*new)).alias("mixed"))
     nth = F.row_number().over(Window.partitionBy("row_mark").orderBy(F.lit(1)))
     joined = marked.withColumn("nth", nth).join(per, F.col("row_mark") == F.col("m")).withColumn("got", F.element_at("mixed", F.col("nth")))
-    return joined.filter("got.taken > 0").select(*marked.drop("row_mark").columns, *(F.col(f"got.{c}").alias(c) for c in new))
+    taken = joined.filter("got.taken > 0")
+    return restored(taken.withColumns({f"_{c}": F.col(f"got.{c}") for c in new}), *(F.col(f"_{c}").alias(c) for c in new))

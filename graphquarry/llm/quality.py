@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, cut, utf8
+from .common import WHITESPACE, aside, cut, utf8
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -138,7 +138,8 @@ def verdicts(docs: DataFrame, *, text: str = "text", lang: str = "lang", source:
 
 def keep_good(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = 50, reach: int = 5) -> DataFrame:
     """The rows of docs that pass, unchanged and with all their columns."""
-    names = docs.columns
+    bounds = [f"{x}_{m}" for m in MEASURES for x in ("lo", "hi")]
+    docs, restored = aside(docs, *BASE, *bounds, "f_lang", "f_source")
     d = measured(docs, text)
     f = fences(sketches(cut(d.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *BASE))), min_docs=min_docs, reach=reach)
     within = F.lit(True)
@@ -146,4 +147,4 @@ def keep_good(docs: DataFrame, *, text: str = "text", lang: str = "lang", source
         within = within & v.between(F.col(f"lo_{m}"), F.col(f"hi_{m}"))
     f = f.withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
     joined = d.filter(~base_failed()).join(f, F.col(lang).eqNullSafe(F.col("f_lang")) & F.col(source).eqNullSafe(F.col("f_source")), "left")
-    return joined.filter(F.coalesce(within, F.lit(True))).select(*names)
+    return restored(joined.filter(F.coalesce(within, F.lit(True))))

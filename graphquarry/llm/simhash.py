@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, utf8
+from .common import aside, cut, discard, utf8
 
 SEGMENTS_PER_BAND = 16
 #: Cells of more fingerprints are divided into blocks that are compared pair by pair of blocks.
@@ -186,7 +186,6 @@ def connected(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds, each cut into the shared folder; the number of
     rounds grows with the logarithm of the longest path.
     """
-    spark = edges.sparkSession
     now = cut(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u > v").distinct())
     state = None
     while True:
@@ -203,7 +202,7 @@ def connected(edges: DataFrame) -> DataFrame:
             break
         state = seen
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()) if spark else roots
+    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 4, max_bits: int = 4, carry: tuple[str, ...] = (), cell_limit: int = CELL) -> DataFrame:
@@ -228,15 +227,15 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
 
     Rows are told apart by id and text; of rows alike in both, one stays.
     """
-    mark = F.xxhash64(F.col(doc_id), F.col(text))
-    marked = docs.withColumn("row_mark", mark)
+    docs, restored = aside(docs, "row_mark", "i", "r")
+    marked = docs.withColumn("row_mark", F.xxhash64(doc_id, text))
     found = near_duplicates(marked, doc_id=doc_id, text=text, carry=("row_mark",), **options)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_mark")
-    best = found.groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("#"), "fingerprint")).alias("g")).agg(F.min(key).alias("k"), F.count("*").alias("n"))
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("#"), "fingerprint"))
+    best = found.groupBy(group.alias("g")).agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("i"), F.col("k.row_mark").alias("r"))
     alike = found.groupBy("doc_id", "row_mark").agg(F.count("*").alias("copies"))
-    best = best.select("k.doc_id", "k.row_mark").join(alike.withColumnsRenamed({"doc_id": "i", "row_mark": "r"}), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("row_mark") == F.col("r"))).select(F.col("doc_id").alias("i"), F.col("row_mark").alias("r"), "copies")
-    best = cut(best.distinct())
-    same = marked[doc_id].eqNullSafe(F.col("i")) & (marked["row_mark"] == F.col("r"))
+    best = cut(best.join(alike, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("row_mark") == F.col("r"))).select("i", "r", "copies"))
+    same = F.col(doc_id).eqNullSafe(F.col("i")) & (F.col("row_mark") == F.col("r"))
     single = marked.join(best.filter("copies = 1"), same, "left_semi")
     several = marked.join(best.filter("copies > 1"), same, "left_semi").dropDuplicates([doc_id, "row_mark"])
-    return single.unionByName(several).drop("row_mark")
+    return restored(single.unionByName(several))
