@@ -190,12 +190,16 @@ def connected(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # minima are cut, so that joins with them have plain scans on both sides and hubs can be split
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct())
+        discard(least)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v").distinct()
         new = cut(small)
         discard(now)
+        discard(large)
+        discard(least)
         now = new
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == state:
@@ -216,8 +220,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = connected(links(nodes.select("fp"), max_bits, cell_limit)).withColumnRenamed("node", "fp")
     nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    component = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = nodes.select("fp", "root").join(component, "root").select("fp", "component_id")
+    nodes = cut(nodes)
+    component = cut(nodes.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    known = cut(nodes.select("fp", "root").join(component, "root").select("fp", "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(known, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id", *(F.col(f"c_{c}").alias(c) for c in carry))
 
