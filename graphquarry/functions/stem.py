@@ -105,7 +105,7 @@ def stems(words: Column) -> Column:
     @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:
         seen: dict[str, str] = {}
-        return s.map(lambda ws: None if ws is None else [seen.setdefault(w, stem(w)) if w not in seen else seen[w] for w in ws])
+        return pd.Series([None if ws is None else [seen[w] if w in seen else seen.setdefault(w, stem(w)) for w in ws] for ws in s], dtype=object)
 
     return run(words)
 
@@ -115,7 +115,7 @@ def stem_of(word: Column) -> Column:
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        known = {w: stem(w) for w in s.dropna().unique()}
-        return s.map(known)
+        known = {w: stem(w) for w in set(s.dropna())}
+        return pd.Series([known.get(w) for w in s], dtype=object)
 
     return run(word)

@@ -91,7 +91,9 @@ def lex(source: str, language: str) -> Tokens:
         elif t in pairs:
             for k in range(len(stack) - 1, -1, -1):  # a stray bracket closes what it can
                 if out.text[stack[k]] == pairs[t]:
-                    out.partner[stack[k]], out.partner[i] = i, stack[k]
+                    out.partner[i] = stack[k]
+                    for o in stack[k:]:
+                        out.partner[o] = i
                     del stack[k:]
                     break
     for i in stack:

@@ -48,7 +48,10 @@ def parse(language: str | None, source: str) -> Found:
         return out
     reader = {"javascript": _script, "typescript": _script, "tsx": _script, "rust": _rust, "go": _go, "java": _java, "c": _c, "cpp": _cpp, "csharp": _csharp}.get(language or "")
     if reader:
-        reader(lex(source, language), out, language)
+        try:
+            reader(lex(source, language), out, language)
+        except (IndexError, RecursionError):
+            pass  # the text breaks off inside a declaration; what came before it stands
     return out
 
 
@@ -134,11 +137,24 @@ def _python_tokens(t: Tokens, source: str, out: Found) -> None:
 
 # --- what the bracketed languages share
 
-_NOT_CALLS = set(
-    "if for while switch catch return sizeof function fn func match loop else do new in of typeof instanceof void await yield throw delete "
-    "super this case assert synchronized using lock fixed nameof default checked unchecked when alignof decltype static_assert noexcept "
-    "static_cast dynamic_cast reinterpret_cast const_cast defined let const var import as where select go defer range struct interface map chan impl".split()
-)
+_C_WORDS = "if for while do switch case return else sizeof alignof defined "
+_SCRIPT_WORDS = "if for while do switch case catch return else function new typeof instanceof void await yield throw delete super of in let const var import "
+#: Words that stand before a bracket without calling anything.
+_NOT_CALLS = {
+    k: set(v.split())
+    for k, v in {
+        "python": "if for while return else elif in not and or lambda yield await assert del with except is import from as raise",
+        "javascript": _SCRIPT_WORDS,
+        "typescript": _SCRIPT_WORDS,
+        "tsx": _SCRIPT_WORDS,
+        "rust": "if for while match loop return else fn impl as where move in let use pub",
+        "go": "if for switch select go defer return else func range struct interface map chan case var const type import",
+        "java": "if for while do switch case catch return else synchronized super this assert throw try new instanceof",
+        "c": _C_WORDS,
+        "cpp": _C_WORDS + "catch noexcept decltype static_cast dynamic_cast reinterpret_cast const_cast new delete throw alignas static_assert typeid",
+        "csharp": "if for foreach while do switch case catch return else using lock fixed typeof default checked unchecked when sizeof new base this await",
+    }.items()
+}
 _DECLARES = set("return else throw new await yield in case co_return co_await not and or goto delete".split())
 
 
@@ -172,7 +188,7 @@ def _calls(t: Tokens, lo: int, hi: int, caller: int, out: Found, language: str)
                     out.call(caller, t.at(j), t.line[i])
                 continue
         generic = language == "csharp" and n == "<" and t.at(_past_angles(t, i + 1)) == "("
-        if (n == "(" or generic) and w not in _NOT_CALLS:
+        if (n == "(" or generic) and w not in _NOT_CALLS[language]:
             if before in ("function", "fn", "def", "func"):
                 continue
             if language in ("javascript", "typescript", "tsx", "c", "cpp") and _after_new(t, i):
@@ -283,7 +299,7 @@ def _script(t: Tokens, out: Found, language: str) -> None:
             elif w == "import" and t.at(i + 1) not in ("(", "."):
                 i = imported(i, hi)
                 continue
-            elif w == "import" and t.at(i + 1) == "(" and t.at(i + 2).endswith("…"):
+            elif parent is None and w == "import" and t.at(i + 1) == "(" and t.at(i + 2).endswith("…"):
                 out.use(t.raw(i + 2, i + 2).strip("'\"`"))
             elif w == "export" and t.at(i + 1) in ("{", "*", "type"):
                 i = exported(i, hi)

@@ -52,26 +52,45 @@ def ignored_by(path: Column, patterns: list[str]) -> Column:
     return out
 
 
-def read_tree(spark: SparkSession, root: str, *, ignore: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, *, ignore: list[str] | None = None, exclude: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """path (relative), content, size, mtime of the files below root that are text and not ignored.
 
-    ``ignore`` are patterns of an ignore file at the root (for local roots, its own is read too);
-    ``exclude`` are relative directories left out.  Files that aren't UTF-8 are left out.
+    root is a local path or a URI that pyarrow's file systems know.  Names are listed by the driver,
+    since Spark's own readers pass over names that begin with a dot or an underscore; contents are
+    read by tasks, and only of files that the patterns keep.  ``ignore`` are patterns of an ignore
+    file at the root (its own is read too); ``exclude`` are relative directories left out.  Files
+    that aren't UTF-8, or are gone when read, are left out.
     """
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
+    listed = [i for i in store.get_file_info(fs.FileSelector(base, recursive=True)) if i.type == fs.FileType.File]
+    start = len(base.rstrip("/")) + 1
+    rows = [(i.path[start:], i.size, int(i.mtime_ns // 1_000_000_000) if i.mtime_ns else 0) for i in listed]
     patterns = list(ignore or [])
-    local = root.removeprefix("file://")
-    if "://" not in local and os.path.isfile(f"{local}/.gitignore"):
-        with open(f"{local}/.gitignore", encoding="utf-8", errors="replace") as f:
-            patterns += f.read().splitlines()
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = re.escape(re.sub(r"^[a-z]+:/+", "/", root.rstrip("/")))
-    rel = F.regexp_replace(F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^[a-z]+:/+", "/"), f"^{base}/", "")
-    files = raw.select(rel.alias("path"), "content", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"))
-    keep = ~paths.ignored_dir(F.col("path")) & ~paths.ignored_file(F.col("path")) & ~ignored_by(F.col("path"), patterns)
+    if any(r[0] == ".gitignore" for r in rows):
+        with store.open_input_file(f"{base}/.gitignore") as f:
+            patterns += f.read().decode("utf-8", "replace").splitlines()
+    path = F.col("path")
+    keep = ~paths.ignored_dir(path) & ~paths.ignored_file(path) & ~ignored_by(path, patterns)
     for d in exclude or []:
-        keep = keep & ~F.startswith(F.col("path"), F.lit(d.strip("/") + "/"))
-    text = F.col("content").cast("string")
-    return files.filter(keep).filter(F.is_valid_utf8(text)).select("path", text.alias("content"), "size", "mtime")
+        keep = keep & ~F.startswith(path, F.lit(d.strip("/") + "/"))
+    kept = spark.createDataFrame(rows, "path string, size long, mtime long").filter(keep)
+    uri = root if "://" in root else os.path.abspath(root)
+
+    def read(batches):
+        store, base = fs.FileSystem.from_uri(uri)
+        for b in batches:
+            for p, size, mtime in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                try:
+                    with store.open_input_stream(f"{base}/{p}", compression=None) as f:
+                        text = f.read().decode("utf-8")
+                except (UnicodeDecodeError, FileNotFoundError):
+                    continue
+                yield pa.RecordBatch.from_pydict({"path": [p], "content": [text], "size": pa.array([size], pa.int64()), "mtime": pa.array([mtime], pa.int64())})
+
+    spread = kept.repartition(partitions or spark.sparkContext.defaultParallelism)
+    return spread.mapInArrow(read, "path string, content string, size long, mtime long")
 
 
 def described(tree: DataFrame) -> DataFrame:
