@@ -37,10 +37,12 @@ def decided(kws: list[str], subsystems: list[str], output_hash: str | None, last
     return "brief" if both >= SAME_TOPIC else "full"
 
 
-def streamed_budgets(asks: DataFrame, *, idle: int = 24 * 3600 * 1000) -> DataFrame:
+def streamed_budgets(asks: DataFrame, *, idle: int | None = 24 * 3600 * 1000) -> DataFrame:
     """session, ask_id, budget of a stream of session, ask_id, kws, subsystems, output_hash.
 
     State is the last question of each session; a session idle for ``idle`` milliseconds is forgotten.
+    Forgetting takes batches without data, so such a stream runs until it is stopped; with idle None
+    nothing is forgotten, and a stream over available data ends.
     Questions of one trigger are taken in order of ask_id.
     """
 
@@ -56,10 +58,11 @@ def streamed_budgets(asks: DataFrame, *, idle: int = 24 * 3600 * 1000) -> DataFr
             out.append((key[0], r.ask_id, decided(kws, subs, r.output_hash, last)))
             last = (kws, subs, r.output_hash)
         state.update(last)
-        state.setTimeoutDuration(idle)
+        if idle:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame(out, columns=["session", "ask_id", "budget"])
 
-    return asks.groupBy("session").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return asks.groupBy("session").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def refreshed(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, *, trigger: str = "300 seconds"):

@@ -178,14 +178,19 @@ def test_streamed_budgets(spark, tmp_path):
     schema = "session string, ask_id long, kws array<string>, subsystems array<string>, output_hash string"
     rows = [("s", 1, ["auth", "login"], ["web"], "h1"), ("s", 2, ["auth", "login", "x"], ["web"], "h2")]
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
-    q = sessions.streamed_budgets(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.format("memory").queryName("budgets").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").start()
-    try:
-        q.processAllAvailable()
-        spark.createDataFrame([("s", 3, ["zebra"], [], "h2"), ("t", 9, [], [], None)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    assert {(r.session, r.ask_id): r.budget for r in spark.table("budgets").collect()} == {("s", 1): "full", ("s", 2): "brief", ("s", 3): "skip", ("t", 9): "full"}
+    got = {}
+
+    def run():
+        def keep(df, n):
+            got.update({(r.session, r.ask_id): r.budget for r in df.collect()})
+
+        out = sessions.streamed_budgets(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), idle=None)
+        out.writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(60)
+
+    run()
+    spark.createDataFrame([("s", 3, ["zebra"], [], "h2"), ("t", 9, [], [], None)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run()  # goes on from the checkpoint's state
+    assert got == {("s", 1): "full", ("s", 2): "brief", ("s", 3): "skip", ("t", 9): "full"}
 
 
 def test_streamed_refresh_and_windows(spark, tmp_path):
