@@ -106,7 +106,7 @@ def test_trace(spark):
 
 @pytest.fixture(scope="module")
 def answers(spark, app):
-    asks = [(1, "authenticate user login"), (2, "where is the services test"), (3, "thanks"), (4, "how should we log in"), (5, "autenticate_user")]
+    asks = [(1, "authenticate user login"), (2, "where are services"), (3, "thanks"), (4, "how should we log in"), (5, "autenticate_user")]
     r = analyze.analyze(spark.createDataFrame(asks, "query_id long, ask string"), app[0]).persist()
     return {x.query_id: x for x in analyze.judged(r).collect()}, r
 
