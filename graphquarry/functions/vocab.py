@@ -124,11 +124,11 @@ LANGUAGES = {
     "csharp": ("cs",),
 }
 
-# Directories of tests, and those never walked.
+# Fixed values, but for our own state folder: directories of tests, and those never walked.
 TEST_DIRS = tuple("tests test __tests__ spec testing".split())
 IGNORED_DIRS = tuple(
     ".git .hg .svn node_modules __pycache__ .tox .mypy_cache .pytest_cache venv .venv env vendor .eggs dist build target "
-    ".next .nuxt .pruner .ruff_cache".split()
+    ".next .nuxt .graphquarry .ruff_cache".split()
 )
 
 # Extensions of files that hold no source text.
