@@ -227,14 +227,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return rows.join(known, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id", *(F.col(f"c_{c}").alias(c) for c in carry))
 
 
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", find=near_duplicates, **options) -> DataFrame:
     """One row of each group of near-duplicates, with all its columns: that of the smallest doc_id.
 
-    Rows are told apart by id and text; of rows alike in both, one stays.
+    ``find`` makes the groups.  Rows are told apart by id and text; of rows alike in both, one stays.
     """
     docs, restored = aside(docs, "row_mark", "i", "r")
     marked = docs.withColumn("row_mark", F.xxhash64(doc_id, text))
-    found = near_duplicates(marked, doc_id=doc_id, text=text, carry=("row_mark",), **options)
+    found = find(marked, doc_id=doc_id, text=text, carry=("row_mark",), **options)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_mark")
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("#"), "fingerprint"))
     best = found.groupBy(group.alias("g")).agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("i"), F.col("k.row_mark").alias("r"))

@@ -10,7 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphquarry.llm import decontam, langid, lmscore, mixing, passages, quality, secretscan, simhash, toxicity, warc
+import corpus_pipeline
+from graphquarry.llm import decontam, langid, lmscore, mixing, passages, quality, secretscan, shingles, simhash, toxicity, warc
 
 WORDS = [f"w{i}" for i in range(40)]
 
@@ -147,6 +148,33 @@ def test_one_of_each_group_stays(spark):
     assert sorted(str(r.doc_id) for r in got) == sorted(["3", "7", "8", "None"])
 
 
+def test_near_copies_by_shingles_go(spark):
+    rng = random.Random(11)
+    rows, near = [], []
+    for i in range(0, 400, 2):
+        w = [f"v{rng.randrange(5000)}" for _ in range(rng.randint(100, 300))]
+        e = list(w)
+        for _ in range(rng.randint(1, 8)):
+            e[rng.randrange(len(e))] = f"new{rng.randrange(10**9)}"
+        sets = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (w, e)]
+        rows += [(i, " ".join(w)), (i + 1, " ".join(e))]
+        near.append(len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8)
+    d = spark.createDataFrame([*rows, (1000, None), (1001, ""), (1002, rows[0][1])], "doc_id long, text string")
+    want = {i for i, _ in rows if i % 2 == 0 or not near[i // 2]} | {1000, 1001} - {1001}
+    assert 40 < sum(near) < 190
+    for limit in (20_000, 1):
+        got = {r.doc_id for r in simhash.keep_one(d, find=lambda x, **o: shingles.near_duplicates(x, cell_limit=limit, **o)).collect()}  # noqa: B023
+        assert got - {1001} | {1000} == want
+
+
+def test_stage_removes_near_copies_beyond_four_bits(spark):
+    w = [f"v{k}" for k in range(300)]
+    e = [x if k % 60 != 30 else "new" + x for k, x in enumerate(w)]
+    assert (simhash.fingerprint(" ".join(w)) ^ simhash.fingerprint(" ".join(e))).bit_count() > 4
+    d = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(e))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, d, "").collect()] == [1]
+
+
 # --- passages
 
 
