@@ -21,7 +21,16 @@ from .common import aside
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the longest runs, so the same as all runs of which short ones are dropped
-CONTEXT = re.compile(r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|auth(?:orization)?|bearer|private[_-]?key|access[_-]?key)[\"']?\x20*(?::=|=>|[:=])\x20*[\"']?([^\s\"'`,;<>()\[\]{}]+)", re.IGNORECASE | re.ASCII)
+CONTEXT = re.compile(r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|auth(?:orization)?|bearer|private[_-]?key|access[_-]?key)[\"']?\x20*(?::=|=>|[:=])\x20*(?=[^\s])|\bbearer\x20+(?=[^\s:=])", re.IGNORECASE | re.ASCII)
+#: What may stand at a cue: a value in quotes up to the closing one, or a run without blanks and quotes.
+QUOTED = re.compile(r"([\"'`])((?:\\.|(?!\1)[^\\\r\n])*)\1(?!\w)")
+SCHEME = re.compile(r"(?:bearer|basic)\x20+", re.IGNORECASE)
+BARE = re.compile(r"[\"'`]?((?:(?![,;&][\"']?[A-Za-z_][\w-]*[\"']?[=:]|</?[A-Za-z!])[^\s\"'`])+)")
+SHORT = re.compile(r"[^\s\"'`,;<>()\[\]{}]*")
+#: A name called or indexed, as code has it.
+CALL = re.compile(r"[A-Za-z_][\w.:>-]*(?:[(\[{][^()\[\]{}]*[)\]}]*)+")
+TOKEN = re.compile(r"(?=.*(?:[0-9]|[a-z][A-Z]|[A-Z]{2}))", re.DOTALL)
+CLOSERS = {")": "(", "]": "[", "}": "{", ">": "<"}
 CUES = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -94,11 +103,48 @@ def log10_guesses(value: str) -> float:
     return cost[n]
 
 
+def _trimmed(value: str) -> str:
+    """value without the punctuation of what is around it: at its end, and closing brackets that it doesn't open."""
+    spare = {c: value.count(c) - value.count(o) for c, o in CLOSERS.items()}
+    end = len(value)
+    while end and (value[end - 1] in ".!?,;" or spare.get(value[end - 1], 0) > 0):
+        end -= 1
+        if value[end] in spare:
+            spare[value[end]] -= 1
+    return value[:end]
+
+
+def _value_at(text: str, at: int, bare_cue: bool) -> tuple[int, int, int]:
+    """Start and end of the value at a cue's end, and the end of the part of it that is judged.
+
+    Code that calls or indexes a name is judged by the name.  What follows bearer or basic is a value
+    only if it doesn't read like a word.
+    """
+    quoted = None if bare_cue else QUOTED.match(text, at)
+    scheme = SCHEME.match(text, quoted.start(2) if quoted else at)
+    if quoted:
+        a, z = quoted.span(2)
+        if scheme and scheme.end() < z:
+            a = scheme.end()
+        return a, z, z
+    if scheme:
+        at = scheme.end()
+    m = BARE.match(text, at)
+    if not m:
+        return at, at, at
+    a = m.start(1)
+    value = _trimmed(m[1])
+    if (scheme or bare_cue) and not TOKEN.match(value):
+        return a, a, a
+    whole = a + len(value)
+    return a, whole, min(whole, SHORT.match(text, a).end()) if CALL.fullmatch(value) else whole
+
+
 def find_secrets(text: str | None, min_log10: float = 10.0, min_length: int = 8) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, by start and then by kind as in KINDS; null: none.
 
-    Base spans are whole matches, leftmost and non-overlapping per kind.  A ``guess`` span is a
-    value of at least ``min_length`` characters that no base span overlaps.
+    Base spans are whole matches, leftmost and non-overlapping per kind.  A ``guess`` span is a whole
+    value of at least ``min_length`` characters that no base span covers.
     """
     if not text:
         return []
@@ -110,12 +156,12 @@ def find_secrets(text: str | None, min_log10: float = 10.0, min_length: int = 8)
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if any(c in low for c in CUES):
-        base = sorted(found)
+        base, at = sorted(found), 0
         for m in CONTEXT.finditer(text):
-            a, z = m.span(1)
-            z -= len(m[1]) - len(m[1].rstrip(".!?"))
-            if z - a >= min_length and not any(x < z and a < y for x, y, _ in base) and log10_guesses(text[a:z]) >= min_log10:
+            a, z, judged = _value_at(text, m.end(), m[0].endswith(" ") and ":" not in m[0] and "=" not in m[0])
+            if judged - a >= min_length and a >= at and not any(x <= a and z <= y for x, y, _ in base) and log10_guesses(text[a:judged]) >= min_log10:
                 found.append((a, z, "guess"))
+                at = z
     found.sort(key=lambda x: (x[0], KINDS.index(x[2])))
     return found
 
