@@ -196,6 +196,26 @@ def test_passages_exact_fuzzy_and_none(spark):
     assert got[7].n_dup_words == 90
 
 
+def test_passages_with_spread_edits(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for i in range(0, 200, 2):
+        shared = fresh(60)
+        edited = [w if k % 15 != 7 else "edit" for k, w in enumerate(shared)]
+        docs += [(i, " ".join(fresh(70) + shared + fresh(50))), (i + 1, " ".join(fresh(30) + edited + fresh(90)))]
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(50 <= r.n_dup_words <= 62 for r in got)
+
+
+def test_extension_ends_where_texts_differ():
+    a = np.arange(1, 101)
+    for edits in ([], [10, 20, 30], [10, 11, 12]):
+        b = np.delete(np.where(np.isin(a, edits), 999, a), 50)
+        assert passages.extended(np.concatenate([a, np.arange(1000, 1100)]), np.concatenate([b, np.arange(2000, 2100)])) == (100, 99)
+    assert passages.extended(a[:0], a) == (0, 0) and passages.extended(a, a) == (100, 100) and passages.extended(a, a + 500) == (0, 0)
+
+
 def test_chain_is_the_best_one():
     rng = random.Random(4)
     for _ in range(30):
