@@ -22,15 +22,21 @@ from .common import held_out
 
 WORD = re.compile(r"[^\W\d_]+")
 CACHE = 200_000
+#: Letters of a piece, and how many the next one repeats: the longest n-gram less one, so none is lost.
+PIECE, OVERLAP = 64, 4
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters; of runs over PIECE letters, as in scripts without spaces, overlapping pieces of so many."""
+    out = []
+    for w in WORD.findall(text.lower()) if text else []:
+        out += [w] if len(w) <= PIECE else [w[i : i + PIECE] for i in range(0, len(w) - OVERLAP, PIECE - OVERLAP)]
+    return out
 
 
 def features(word: str, buckets: int) -> list[int]:
     """Buckets of the word itself and of its n-grams of 3 to 5 letters, edge marks included."""
-    marked = f"<{word[:64]}>"
+    marked = f"<{word}>"
     grams = [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in [f"={word}", *grams]]
 

@@ -374,6 +374,18 @@ def test_toxicity_on_held_out_documents_and_misspellings(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_letters_beyond_the_64th_move_the_score():
+    rng = random.Random(3)
+    run = lambda n: "".join(rng.choice("一二三四五六七八九十") for _ in range(n))
+    texts_ = [run(100) + ("悪悪魔" * 5 if i % 2 else "") + run(100) for i in range(400)]
+    score = toxicity.SubwordSoftmax().fit(texts_[:300], [i % 2 for i in range(300)]).scorer()
+    assert np.mean([(score(t) > 0.5) == i % 2 for i, t in enumerate(texts_[300:])]) > 0.95
+    grams = lambda t, n: {t[i : i + n] for i in range(len(t) - n + 1)}
+    for size in (63, 64, 65, 68, 69, 124, 125, 200):
+        w = run(size)
+        assert grams(w, 5) == set().union(*(grams(x, 5) for x in toxicity.words_of(w)))
+
+
 def test_language_on_held_out_documents(spark):
     rng = random.Random(7)
     letters = {"aa": "abcde", "bb": "badce", "cc": "àéîab"}
