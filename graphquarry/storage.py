@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as a URI.  Only where none is configured (tests), a local one is set."""
+    """The folder all executors share, as a URI.
+
+    Where none is configured, local mode sets one of its own; a cluster has to name one, since its
+    executors see no folder of the driver.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), f"graphquarry-{uuid.uuid4().hex}"))
         found = sc.getCheckpointDir()
     path = sc._jvm.org.apache.hadoop.fs.Path(found)
