@@ -1,9 +1,14 @@
 """Language identification by cross-parsing.
 
 Labelled text of each language is folded into a suffix automaton over normalised letters.  A text is
-parsed greedily into the longest phrases that occur in a language's sample; the language that needs
-the fewest phrases a letter wins.  Automata are laid out as dense transition tables, so that workers
-step all texts of a batch through them side by side in numpy.
+parsed greedily into the longest phrases that occur in a language's sample.  A phrase costs the
+logarithm of the sample's length, which is what naming a place in the sample takes; without that a
+language with a short sample, whose phrases are short, would lose to others.  The language of the
+least cost wins.  Automata are laid out as dense transition tables, so that workers step all texts of
+a batch through them side by side in numpy.
+
+Codes are bytes below 64.  Where the samples have more letters than that, the commonest have codes of
+their own and each other one is a sequence of digits, so every letter of the samples stays apart.
 """
 
 from __future__ import annotations
@@ -18,6 +23,10 @@ from .common import held_out
 #: A text is parsed in segments of this many letters, each a phrase anew.
 SEGMENT = 1024
 UNDETERMINED = "und"
+#: Digits that spell letters beyond the commonest, and how many of them a letter has at most.
+DIGITS, PLACES = 24, 4
+#: Fills a letter's codes up to PLACES.
+_NO_CODE = 255
 
 
 def letter_table() -> np.ndarray:
@@ -28,8 +37,36 @@ def letter_table() -> np.ndarray:
 def codes(text: str | None, table: np.ndarray) -> np.ndarray:
     """Alphabet codes of the lower-cased text; runs of non-letters become one 0, and so do both ends."""
     raw = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.concatenate([[0], table[raw], [0]]).astype(np.uint8)
-    return c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
+    blank = table[32]
+    c = np.concatenate([[blank], table[raw], [blank]]).astype(table.dtype)
+    c = c[np.concatenate([[True], (c[1:] != blank) | (c[:-1] != blank)])]
+    if c.itemsize > 1:
+        c = c.view(np.uint8)
+        c = c[c != _NO_CODE]
+    return c
+
+
+def code_table(chars: list[int], letters: int) -> np.ndarray:
+    """Codes by code point, for letters in order of how common they are: 0 no letter, the last code an unknown letter.
+
+    A byte each if ``letters`` codes suffice, else up to PLACES bytes in one number.
+    """
+    is_letter = letter_table()
+    if len(chars) <= letters:
+        table = is_letter * np.uint8(len(chars) + 1)
+        for k, c in enumerate(sorted(chars)):
+            table[c] = k + 1
+        return table
+    own = letters - DIGITS
+    spelt = np.full((len(is_letter), PLACES), _NO_CODE, np.uint8)
+    spelt[:, 0] = is_letter * np.uint8(letters + 1)
+    places = next(n for n in range(1, PLACES + 1) if DIGITS**n >= len(chars) - own)
+    for k, c in enumerate(chars):
+        if k < own:
+            spelt[c, 0] = k + 1
+        else:
+            spelt[c, :places] = [own + 1 + (k - own) // DIGITS**j % DIGITS for j in range(places)]
+    return np.ascontiguousarray(spelt).view("<u4").ravel()
 
 
 def suffix_automaton(sample: np.ndarray, alphabet: int) -> np.ndarray:
@@ -68,27 +105,28 @@ def suffix_automaton(sample: np.ndarray, alphabet: int) -> np.ndarray:
 
 
 class CrossParser:
-    """One automaton per language; ``letters`` are the letters known by themselves, others are one code."""
+    """One automaton per language over at most ``letters`` + 2 codes."""
 
     def __init__(self, samples: dict[str, list[str]], letters: int = 62, budget: int = 240_000):
         self.languages = sorted(samples)
         text = "".join(t.lower() for ts in samples.values() for t in ts)
         chars, n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
         is_letter = letter_table()
-        common = sorted(((-k, c) for c, k in zip(chars.tolist(), n.tolist(), strict=True) if is_letter[c]))[:letters]
-        self.table = is_letter * np.uint8(len(common) + 1)
-        for k, (_, c) in enumerate(sorted(common, key=lambda x: x[1])):
-            self.table[c] = k + 1
-        self.alphabet = len(common) + 2
+        common = [c for _, c in sorted((-k, c) for c, k in zip(chars.tolist(), n.tolist(), strict=True) if is_letter[c])]
+        self.table = code_table(common, letters)
+        self.alphabet = min(len(common), letters) + 2
         share = budget // max(1, len(samples))  # letters of sample per language; bounds what is broadcast
         self.automata = []
+        self.cost = []  # of a phrase, by language
         for lang in self.languages:
             parts, left = [np.zeros(0, np.uint8)], share
             for t in samples[lang]:
                 c = codes(t, self.table)[:left]
                 parts.append(c)
                 left -= len(c)
-            step = suffix_automaton(np.concatenate(parts), self.alphabet)
+            whole = np.concatenate(parts)
+            self.cost.append(float(np.log2(len(whole) + 2)))
+            step = suffix_automaton(whole, self.alphabet)
             # a broken phrase starts again at once with the letter that broke it; ~ marks the break.  The last
             # state goes nowhere: parses start there, and a letter that the sample lacks is a phrase of its own
             dead = len(step)
@@ -127,7 +165,7 @@ class CrossParser:
         coded = [c if ok else c[:0] for c, ok in zip(coded, lettered, strict=True)]
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        n = self.phrases(coded)
+        n = self.phrases(coded) * np.array(self.cost)[:, None]
         best = n.argmin(0)
         first = n.min(0)
         second = np.partition(n, 1, axis=0)[1] if len(n) > 1 else np.full(len(texts), np.inf)
@@ -165,9 +203,11 @@ def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lan
     """docs with held_out, lang_pred and score (columns of those names are replaced).
 
     lang_pred is ``und`` with score 0 for texts that are null or have no letter, or where nothing
-    could be learned.  score is 1 - fewest / second fewest phrases; equal counts go to the first
-    language by name.  Learned from at most about ``per_language`` texts a language, and of those
-    from ``budget`` letters in all, shared evenly.
+    could be learned.  score is 1 - least / second least cost of the phrases; equal costs go to the
+    first language by name.  Learned from at most about ``per_language`` texts a language, and of those
+    from ``budget`` letters in all, shared evenly: the first ones, by hash of the id, up to the share's
+    end, which may fall inside a text.  Repeated rows are predicted alike, texts of any length whole;
+    an empty table gives an empty result.
     """
     parser = CrossParser(samples_by_language(docs, doc_id=doc_id, text=text, lang=lang, per_language=per_language), letters, budget)
     shared = docs.sparkSession.sparkContext.broadcast(parser)
