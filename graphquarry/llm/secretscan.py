@@ -4,6 +4,10 @@ A value that stands where a credential would (``password: ...``, ``client_secret
 dynamic programming into the segments that are cheapest to guess: common words, dates, repeated
 characters, keyboard walks and sequences, or spans tried by brute force.  If even the cheapest cut
 needs ``min_log10`` guesses, the value is a secret of kind ``guess``.
+
+The words that guessers try are a short list of fixed ones, and after those the corpus's own commonest
+words, counted over all documents (``learned_words``): what stands all over the corpus as a word is
+cheap to guess.  Names of code, made of such words, are references and not values.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +33,9 @@ SCHEME = re.compile(r"(?:bearer|basic)\x20+", re.IGNORECASE)
 BARE = re.compile(r"[\"'`]?((?:(?![,;&][\"']?[A-Za-z_][\w-]*[\"']?[=:]|</?[A-Za-z!])[^\s\"'`])+)")
 SHORT = re.compile(r"[^\s\"'`,;<>()\[\]{}]*")
 #: A name called or indexed, as code has it.
+#: Unquoted names of code: parts joined by dots, slashes, dashes or underscores, without digits.
+NAME = re.compile(r"[$%@{]*[A-Za-z]+(?:(?:\.|->|::|/|-|_)+[A-Za-z]+)*[}]*")
+HUMP = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 CALL = re.compile(r"[A-Za-z_][\w.:>-]*(?:[(\[{][^()\[\]{}]*[)\]}]*)+")
 TOKEN = re.compile(r"(?=.*(?:[0-9]|[a-z][A-Z]|[A-Z]{2}))", re.DOTALL)
 CLOSERS = {")": "(", "]": "[", "}": "{", ">": "<"}
@@ -40,24 +48,38 @@ COMMON = (
     "changeme default guest public private server service account database system manager office company summer winter spring autumn "
     "love hello world football baseball soccer hockey princess sunshine shadow michael jennifer jordan superman batman trustno "
     "access online mobile google apple samsung windows linux ubuntu docker cloud data value string null none true false undefined "
-    "your my the and for this that with from here xxxx placeholder redacted insert enter"
+    "your my the and for this that with from here xxxx placeholder redacted insert enter "
+    "administrator forgot forgotten reset remember required optional invalid missing expired session cookie bearer basic header request "
+    "response config settings environment process env get set put new old api http https www com org net html index page path file name "
+    "email phone address number code credentials auth authorization authentication client node local global production development "
+    "staging backup temp update create delete select check validate generate encrypt decrypt hash salt"
 ).split()
 # Rows of a keyboard and plain sequences, along which walks go either way.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "azertyuiop", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef")
 
-_RANK = {w: k + 1 for k, w in reversed(list(enumerate(COMMON)))}
-_LONGEST = max(map(len, COMMON))
+RANKS = {w: k + 1 for k, w in reversed(list(enumerate(COMMON)))}
+#: Letters of a word that guessers know, at least and at most.
+WORD_LETTERS = 3, 20
+#: What a further segment costs: the choice between five patterns.
+JOINT = math.log10(5)
 _STEP = {(a, b) for row in ROWS for x in (row, row[::-1]) for a, b in zip(x, x[1:])}
 _LEET = str.maketrans("4301$5@7!", "aeoissati")
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d", re.ASCII)
 
 
-def log10_guesses(value: str) -> float:
+def _case_cost(word: str) -> float:
+    if word.islower() or not word.isalpha():
+        return 0.0
+    return 0.3 if word.istitle() or word.isupper() else min(len(word), 16) * 0.3
+
+
+def log10_guesses(value: str, ranks: dict[str, int] = RANKS) -> float:
     """log10 of the guesses that the cheapest segmentation of value needs.
 
     cost[i] is the cheapest cut of the first i characters; each segment multiplies the guesses of
-    what came before, and every segment but the first adds a factor for the choice of pattern.
-    Runs of the same cost class are extended, not enumerated, so long values stay linear.
+    what came before, and every segment but the first adds a factor for the choice of pattern.  A
+    segment is a word of ``ranks`` (in any case, letters may be replaced by look-alikes), a date, equal
+    characters or a keyboard walk, both from where their run begins, or characters tried one by one.
     """
     n = len(value)
     lower = value.lower()
@@ -68,9 +90,8 @@ def log10_guesses(value: str) -> float:
     brute = math.log10(max(size, 10))
     cost = [0.0] + [math.inf] * n
     in_brute = [math.inf] * (n + 1)  # the same, where a brute-force span ends here and may go on
-    joint = 1.0
     for i in range(n):
-        here = cost[i] + (joint if i else 0.0)
+        here = cost[i] + (JOINT if i else 0.0)
 
         def offer(end: int, extra: float, here=here) -> None:
             if here + extra < cost[end]:
@@ -78,12 +99,11 @@ def log10_guesses(value: str) -> float:
 
         in_brute[i + 1] = min(in_brute[i], here) + brute
         cost[i + 1] = min(cost[i + 1], in_brute[i + 1])
-        for m in range(min(_LONGEST, n - i), 2, -1):
+        for m in range(min(WORD_LETTERS[1], n - i), WORD_LETTERS[0] - 1, -1):
             for form, extra in ((lower, 0.0), (plain, 0.3)):
-                rank = _RANK.get(form[i : i + m])
+                rank = ranks.get(form[i : i + m])
                 if rank:
-                    case = 0.0 if value[i : i + m].islower() or not value[i : i + m].isalpha() else 0.3 if value[i : i + m].istitle() or value[i : i + m].isupper() else min(m, 16) * 0.3
-                    offer(i + m, math.log10(rank + 1) + extra + case)
+                    offer(i + m, math.log10(rank + 1) + extra + _case_cost(value[i : i + m]))
         d = _DATE.match(value, i)
         if d:
             offer(d.end(), 2.1 if len(d[0]) == 4 else 4.6)
@@ -140,7 +160,12 @@ def _value_at(text: str, at: int, bare_cue: bool) -> tuple[int, int, int]:
     return a, whole, min(whole, SHORT.match(text, a).end()) if CALL.fullmatch(value) else whole
 
 
-def find_secrets(text: str | None, min_log10: float = 10.0, min_length: int = 8) -> list[tuple[int, int, str]]:
+def is_name(value: str, ranks: dict[str, int]) -> bool:
+    """Whether an unquoted value is a name of code: joined or humped words that are all known."""
+    return bool(NAME.fullmatch(value)) and all(h.lower() in ranks for h in HUMP.findall(value))
+
+
+def find_secrets(text: str | None, min_log10: float = 10.0, min_length: int = 8, ranks: dict[str, int] = RANKS) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, by start and then by kind as in KINDS; null: none.
 
     Base spans are whole matches, leftmost and non-overlapping per kind.  A ``guess`` span is a whole
@@ -156,10 +181,19 @@ def find_secrets(text: str | None, min_log10: float = 10.0, min_length: int = 8)
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if any(c in low for c in CUES):
-        base, at = sorted(found), 0
+        base, at, nth, covered = sorted(found), 0, 0, 0
         for m in CONTEXT.finditer(text):
+            if m.end() < at:  # inside a value
+                continue
             a, z, judged = _value_at(text, m.end(), m[0].endswith(" ") and ":" not in m[0] and "=" not in m[0])
-            if judged - a >= min_length and a >= at and not any(x <= a and z <= y for x, y, _ in base) and log10_guesses(text[a:judged]) >= min_log10:
+            if judged - a < min_length or a < at:
+                continue
+            while nth < len(base) and base[nth][0] <= a:  # both go up, so each base span is looked at once
+                covered = max(covered, base[nth][1])
+                nth += 1
+            if z <= covered or text[a - 1] not in "\"'`" and is_name(text[a:judged], ranks):
+                continue
+            if log10_guesses(text[a:judged], ranks) >= min_log10:
                 found.append((a, z, "guess"))
                 at = z
     found.sort(key=lambda x: (x[0], KINDS.index(x[2])))
@@ -183,12 +217,47 @@ def masked(text: str, spans: list[tuple[int, int, str]], mask: str = "[SECRET]")
     return "".join([*parts, text[at:]])
 
 
-def scan(docs: DataFrame, *, text: str = "text", mask: bool = False, min_log10: float = 10.0) -> DataFrame:
+def learned_words(docs: DataFrame, *, text: str = "text", most: int = 20_000) -> list[str]:
+    """The ``most`` commonest words of all documents, commonest first; equal counts in order of the alphabet.
+
+    A word is a run of 3 to 20 letters a-z in either case that stands by itself between blanks, but for
+    punctuation around it, twice at least.  Counts are added up in the cluster; what comes to the driver,
+    and is sent to the workers, is bounded by ``most``.
+    """
+
+    def count(batches):
+        for b in batches:
+            seen: Counter[str] = Counter()
+            for t in b.column(0).to_pylist():
+                own = {}
+                for w, n in Counter((t or "").split()).items():
+                    w = w.strip(".,;:!?\"'()[]").lower()
+                    if WORD_LETTERS[0] <= len(w) <= WORD_LETTERS[1] and w.isascii() and w.isalpha():
+                        own[w] = own.get(w, 0) + n
+                seen.update(own)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
+
+    counted = docs.select(text).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return [r.w for r in counted.filter("n > 1").orderBy(F.desc("n"), "w").limit(most).collect()]
+
+
+def known_ranks(words: list[str]) -> dict[str, int]:
+    """Ranks of the fixed words and, after them, of these."""
+    out = dict(RANKS)
+    for w in words:
+        out.setdefault(w, len(out) + 1)
+    return out
+
+
+def scan(docs: DataFrame, *, text: str = "text", mask: bool = False, min_log10: float = 10.0, most_words: int = 20_000) -> DataFrame:
     """docs with secrets: array of {start, end, kind}; with mask, the text has the spans replaced.
 
-    A null or empty text has no secrets and stays as it is; a column named secrets is replaced.
+    A null or empty text has no secrets and stays as it is; a column named secrets is replaced.  Repeated
+    rows are scanned each on its own, texts of any length whole; an empty table gives an empty result.
+    ``most_words`` bounds the words learned from docs (0: fixed ones only).
     """
     docs = docs.drop("secrets")
+    ranks = docs.sparkSession.sparkContext.broadcast(known_ranks(learned_words(docs, text=text, most=most_words) if most_words else []))
     schema = docs.select("*", F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("secrets")).schema
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
@@ -196,7 +265,7 @@ def scan(docs: DataFrame, *, text: str = "text", mask: bool = False, min_log10:
         for b in batches:
             k = b.schema.names.index(text)
             texts = b.column(k).to_pylist()
-            found = [find_secrets(t, min_log10) for t in texts]
+            found = [find_secrets(t, min_log10, ranks=ranks.value) for t in texts]
             cols = list(b.columns)
             if mask:
                 cols[k] = pa.array([masked(t, s) if s else t for t, s in zip(texts, found, strict=True)], b.schema.types[k])
@@ -217,7 +286,10 @@ def base_digest(spans: list[tuple[int, int, str]]) -> str:
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:
-    """docs with counts per base kind, base_sha256 and spans as text instead of the secrets."""
+    """docs with counts per base kind, base_sha256 and spans as text instead of the secrets.
+
+    Columns of docs that bear these names, or secrets, are replaced; all else is as for ``scan``.
+    """
     n = lambda kind: F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long")
     shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
     base = shown(F.filter("secrets", lambda s: s.kind != "guess"))
