@@ -11,6 +11,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,13 +38,18 @@ def _clean(value: str) -> str:
     return " ".join(value.split()) if value.isprintable() else "".join(c if c.isprintable() else "%{:02X}".format(ord(c)) for c in value)
 
 
+def _urn(page_id: str) -> str:
+    """An id as part of a header value, whatever characters it has."""
+    return f"<urn:page:{quote(page_id, safe='')}>"
+
+
 def record(page_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One gzip member; a revisit names the record it repeats and has no payload of its own."""
     body = payload if refers_to is None else b""
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: {_urn(page_id)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {_clean(url or '')}",
         f"WARC-Payload-Digest: {_b32(digest)}",
@@ -51,7 +57,7 @@ def record(page_id: str, url: str | None, payload: bytes, digest: str, refers_to
         f"X-Payload-Length: {len(payload)}",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to)}"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n") + packer.compress(body) + packer.compress(b"\r\n\r\n") + packer.flush()
@@ -112,7 +118,7 @@ def read_records(chunks: Iterable[bytes]) -> Iterator[dict]:
         kind = head["WARC-Type"]
         if digest != _hex(head["WARC-Block-Digest"]) or kind == "response" and digest != _hex(head["WARC-Payload-Digest"]):
             raise BadArchive(f"{head['WARC-Record-ID']}: the digest differs")
-        page = lambda x: x.removeprefix("<urn:page:").removesuffix(">")
+        page = lambda x: unquote(x.removeprefix("<urn:page:").removesuffix(">"))
         yield {
             "page_id": page(head["WARC-Record-ID"]),
             "payload_bytes": int(head["X-Payload-Length"]),
@@ -135,12 +141,15 @@ def with_revisits(pages: DataFrame, *, page_id: str = "page_id", url: str = "url
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     link = F.col(url).cast("string") if url in pages.columns else F.lit(None).cast("string")
     p = pages.select(F.col(page_id).alias("page_id"), link.alias("url"), payload.alias("payload")).withColumn("payload_digest", F.sha1("payload"))
-    first = p.filter(F.octet_length("payload") >= least_bytes).groupBy(F.col("payload_digest").alias("d")).agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
+    # small payloads are never revisits, so they stay out of the join, where all empty ones would meet in one task
+    small = p.filter(F.octet_length("payload") < least_bytes).withColumn("refers_to", F.lit(None).cast(pages.schema[page_id].dataType))
+    p = p.filter(F.octet_length("payload") >= least_bytes)
+    first = p.groupBy(F.col("payload_digest").alias("d")).agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
     first = first.filter("n > 1").drop("n").hint("shuffle_hash")
     p = p.join(first, F.col("payload_digest") == F.col("d"), "left")
     # of rows that repeat the largest page_id, all are responses
     other = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    return p.select("page_id", "url", "payload", "payload_digest", F.when(other, F.col("keeper")).alias("refers_to"))
+    return p.select("page_id", "url", "payload", "payload_digest", F.when(other, F.col("keeper")).alias("refers_to")).unionByName(small)
 
 
 def write_archives(pages: DataFrame, folder: str, *, archive_bytes: int = 64 << 20, **columns) -> DataFrame:
