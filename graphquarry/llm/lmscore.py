@@ -172,6 +172,10 @@ def _score_block(rows: pa.Table, order: int, words: int) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, kind), "n_words": pa.array(lengths), "log10_score": pa.array(sums)})
 
 
+def spark_conf(df: DataFrame, name: str) -> str:
+    return df.sparkSession.conf.get(name)
+
+
 def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order: int = 2, block_words: int = BLOCK_WORDS, part_words: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, log10_score and mean_log10 (per word), one row per row of docs.
 
@@ -184,8 +188,11 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order:
     words = d.select("text").mapInArrow(_count_words, "n long").agg(F.sum("n")).first()[0] or 0
     bits = max(4, (words * order // part_words).bit_length())
     kind = d.schema["doc_id"].dataType.simpleString()
+    # a block's id follows from its rows, so they are put in an order that reruns of a task repeat
+    d = d.sortWithinPartitions("doc_id", "text")
     schema = f"key long, block long, n int, part long, size int, a binary, b binary, extra int, ids array<{kind}>, lengths array<int>"
     packed = d.mapInArrow(lambda it: _blocks(it, order, bits, block_words), schema)
-    totals = packed.groupBy("key").applyInArrow(_count, schema)
-    scored = totals.groupBy("block").applyInArrow(lambda t: _score_block(t, order, words), f"doc_id {kind}, n_words long, log10_score double")
+    parts = max(int(spark_conf(d, "spark.sql.shuffle.partitions")), -(-words * order // (8 * part_words)))  # so that a task's share doesn't grow with the corpus
+    totals = packed.repartition(parts, "key").groupBy("key").applyInArrow(_count, schema)
+    scored = totals.repartition(parts, "block").groupBy("block").applyInArrow(lambda t: _score_block(t, order, words), f"doc_id {kind}, n_words long, log10_score double")
     return scored.withColumn("mean_log10", F.when(F.col("n_words") > 0, F.col("log10_score") / F.col("n_words")))
