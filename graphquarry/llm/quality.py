@@ -127,7 +127,7 @@ def verdicts(docs: DataFrame, *, text: str = "text", lang: str = "lang", source:
     """
     d = measured(docs.select(*(F.col(c).alias(f"c_{c}") for c in carry), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))).drop("text")
     d = cut(d.withColumn("base_failed", base_failed()))
-    f = fences(sketches(d), min_docs=min_docs, reach=reach)
+    f = cut(fences(sketches(d), min_docs=min_docs, reach=reach))  # its size is known then, so that small fences are broadcast and large ones not
     within = F.lit(True)
     for m, v in measures().items():
         within = within & v.between(F.col(f"lo_{m}"), F.col(f"hi_{m}"))
@@ -137,14 +137,18 @@ def verdicts(docs: DataFrame, *, text: str = "text", lang: str = "lang", source:
 
 
 def keep_good(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = 50, reach: int = 5) -> DataFrame:
-    """The rows of docs that pass, unchanged and with all their columns."""
+    """The rows of docs that pass, unchanged and with all their columns, whatever these are called.
+
+    Null and empty texts fail the base rules; repeated rows are judged each on its own and all stay or
+    go; texts of any length are measured whole; an empty table gives an empty result.
+    """
     bounds = [f"{x}_{m}" for m in MEASURES for x in ("lo", "hi")]
     docs, restored = aside(docs, *BASE, *bounds, "f_lang", "f_source")
-    d = measured(docs, text)
-    f = fences(sketches(cut(d.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *BASE))), min_docs=min_docs, reach=reach)
+    d = cut(measured(docs, text).filter(~base_failed()))  # measured once; the sketches are of these rows alone
+    f = cut(fences(sketches(d.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *BASE)), min_docs=min_docs, reach=reach))
     within = F.lit(True)
     for m, v in measures().items():
         within = within & v.between(F.col(f"lo_{m}"), F.col(f"hi_{m}"))
     f = f.withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
-    joined = d.filter(~base_failed()).join(f, F.col(lang).eqNullSafe(F.col("f_lang")) & F.col(source).eqNullSafe(F.col("f_source")), "left")
+    joined = d.join(f, F.col(lang).eqNullSafe(F.col("f_lang")) & F.col(source).eqNullSafe(F.col("f_source")), "left")
     return restored(joined.filter(F.coalesce(within, F.lit(True))))
