@@ -208,12 +208,18 @@ def test_passages_with_spread_edits(spark):
     assert all(50 <= r.n_dup_words <= 62 for r in got)
 
 
+def extended(a, b):
+    return tuple(int(x[0]) for x in passages.extended([(a, b)]))
+
+
 def test_extension_ends_where_texts_differ():
     a = np.arange(1, 101)
     for edits in ([], [10, 20, 30], [10, 11, 12]):
         b = np.delete(np.where(np.isin(a, edits), 999, a), 50)
-        assert passages.extended(np.concatenate([a, np.arange(1000, 1100)]), np.concatenate([b, np.arange(2000, 2100)])) == (100, 99)
-    assert passages.extended(a[:0], a) == (0, 0) and passages.extended(a, a) == (100, 100) and passages.extended(a, a + 500) == (0, 0)
+        assert extended(np.concatenate([a, np.arange(1000, 1100)]), np.concatenate([b, np.arange(2000, 2100)])) == (100, 99, 99 - len(edits))
+    assert extended(a[:0], a) == (0, 0, 0) and extended(a, a) == (100, 100, 100) and extended(a, a + 500) == (0, 0, 0)
+    many = [(a, a), (a[:0], a), (a, a + 500), (a, a[1:]), (a[:30], a)]
+    assert list(zip(*(x.tolist() for x in passages.extended(many)))) == [extended(*p) for p in many]
 
 
 def test_chain_is_the_best_one():
