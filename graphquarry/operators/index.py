@@ -5,50 +5,58 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..sources import tree as trees
 from ..sources.schemas import EDGES, METADATA, RELATIONS
+from ..storage import cut
 
 Relations = dict[str, DataFrame]
 
 
-def numbered(df: DataFrame, *order: str, start: int = 1) -> DataFrame:
+def numbered(df: DataFrame, *order: str, start: int = 1, running: dict[str, str] | None = None) -> DataFrame:
     """df with id: dense numbers in a total order, without bringing all rows to one task.
 
-    Rows are sorted by range over all tasks; each partition's rows follow those of the partitions
-    before it.
+    Rows are sorted by range over all tasks and put down once, since ranges drawn twice may differ; each
+    partition's rows follow those of the partitions before it.  ``running`` names columns to add: the sum
+    of another column over all rows before.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_place", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
-    sizes = local.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return local.join(F.broadcast(before), "_part").withColumn("id", F.col("_place") + F.col("_before") + start).drop("_part", "_place", "_before")
-
-
-def by_path(df: DataFrame, *order: str, start: int = 1) -> DataFrame:
-    """df with id by a window; for relations of one repository, whose order is its paths'."""
-    return df.withColumn("id", F.row_number().over(Window.orderBy(*order)).cast("long") + (start - 1))
+    running = running or {}
+    ranged = cut(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
+    sums = {"_n": F.count("*"), **{f"_sum_{name}": F.sum(c) for name, c in running.items()}}
+    sizes = ranged.groupBy("_part").agg(*(v.alias(k) for k, v in sums.items()))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    before = sizes.select("_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before{c}") for c in sums))
+    inside = Window.partitionBy("_part").orderBy(*order)
+    so_far = {name: F.coalesce(F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col(f"_before_sum_{name}") for name, c in running.items()}
+    out = ranged.join(F.broadcast(before), "_part").withColumns({"id": F.row_number().over(inside) + F.col("_before_n") + (start - 1), **so_far})
+    return out.drop("_part", *(f"_before{c}" for c in sums))
 
 
 def relations(parsed: DataFrame, *, first: dict[str, int] | None = None, now: str = "current_timestamp()") -> Relations:
-    """files, symbols, imports and calls of a parsed tree; ids count up from ``first`` in path order."""
+    """files, symbols, imports and calls of a parsed tree; ids count up from ``first`` in path order.
+
+    Only files are put in order over all tasks.  What a file holds is numbered from where the files
+    before it end, so symbols, imports and calls need no order of their own.
+    """
     first = first or {}
-    files = by_path(parsed, "path", start=first.get("files", 1))
-    keyed = files.select(F.col("id").alias("file_id"), "symbols", "imports", "calls")
-    symbols = by_path(keyed.select("file_id", F.posexplode("symbols").alias("ord", "s")).select("file_id", "ord", "s.*"), "file_id", "ord", start=first.get("symbols", 1))
-    parents = symbols.select("file_id", F.col("ord").alias("parent"), F.col("id").alias("parent_symbol_id"))
-    linked = symbols.join(parents, ["file_id", "parent"], "left")
-    callers = symbols.select("file_id", F.col("ord").alias("caller"), F.col("id").alias("caller_symbol_id"))
-    calls = keyed.select("file_id", F.posexplode("calls").alias("ord", "c")).select("file_id", "ord", "c.*").join(callers, ["file_id", "caller"])
-    imports = keyed.select("file_id", F.posexplode("imports").alias("ord", "i")).select("file_id", "ord", "i.*")
+    parsed = cut(parsed.withColumn("calls", F.filter("calls", lambda c: c.caller.between(0, F.size("symbols") - 1))))
+    parts = ("symbols", "imports", "calls")
+    sizes = parsed.select("path", *(F.coalesce(F.size(c), F.lit(0)).cast("long").alias(f"n_{c}") for c in parts))
+    places = numbered(sizes, "path", start=first.get("files", 1), running={f"before_{c}": f"n_{c}" for c in parts})
+    files = cut(parsed.join(places, "path"))
+
+    def held(c: str) -> DataFrame:
+        rows = files.select(F.col("id").alias("file_id"), F.col("before_symbols").alias("_symbols"), F.col(f"before_{c}").alias("_before"), F.posexplode(c).alias("ord", "x"))
+        return rows.withColumns({"id": F.col("_before") + F.col("ord") + first.get(c, 1), "_symbols": F.col("_symbols") + first.get("symbols", 1)})
+
     return {
         "files": files.select("id", "path", "language", "size", "line_count", "is_test", "mtime", F.expr(now).cast("timestamp").alias("indexed_at")),
-        "symbols": linked.select("id", "file_id", "name", "kind", "line_start", "line_end", "parent_symbol_id", "signature"),
-        "imports": by_path(imports, "file_id", "ord", start=first.get("imports", 1)).select("id", "file_id", "module", "names"),
-        "calls": by_path(calls, "file_id", "ord", start=first.get("calls", 1)).select("id", "caller_symbol_id", F.col("callee").alias("callee_name"), "line"),
+        "symbols": held("symbols").select("id", "file_id", "x.name", "x.kind", "x.line_start", "x.line_end", (F.col("_symbols") + F.col("x.parent")).alias("parent_symbol_id"), "x.signature"),
+        "imports": held("imports").select("id", "file_id", "x.module", "x.names"),
+        "calls": held("calls").select("id", (F.col("_symbols") + F.col("x.caller")).alias("caller_symbol_id"), F.col("x.callee").alias("callee_name"), "x.line"),
     }
 
 
@@ -62,41 +70,90 @@ def resolved_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.select("call_id", "source_symbol_id", "target_symbol_id", "target_file_id", F.when(F.col("target_symbol_id").isNull(), F.col("callee_name")).alias("target_name"))
 
 
-def test_edges_by_name(files: DataFrame) -> DataFrame:
-    """source_file_id (the test), target_file_id: test files and sources of the name they bear."""
+def resolution_counts(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """source_symbol_id, target_file_id, target_name, n, n_targets: resolved_calls counted by caller and file.
+
+    n are edges and n_targets their distinct symbols.  Calls are counted by caller and name, and symbols
+    by name and file, before the two meet, so a common name isn't multiplied by its callers.
+    """
+    calls = calls.groupBy(F.col("caller_symbol_id").alias("source_symbol_id"), "callee_name").agg(F.count("*").alias("n_calls"))
+    found = symbols.groupBy(F.col("name").alias("callee_name"), F.col("file_id").alias("target_file_id")).agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"))
+    met = calls.join(found, "callee_name", "left").withColumn("target_name", F.when(F.col("n_rows").isNull(), F.col("callee_name")))
+    n = F.sum(F.col("n_calls") * F.coalesce("n_rows", F.lit(1)))
+    return met.groupBy("source_symbol_id", "target_file_id", "target_name").agg(n.alias("n"), F.coalesce(F.sum("n_ids"), F.lit(0)).alias("n_targets"))
+
+
+def test_edges_by_name(files: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """source_file_id (the test), target_file_id: test files and sources (of files unless given) of the name they bear."""
     tests = files.filter("is_test").select(F.col("id").alias("source_file_id"), paths.test_base(F.col("path")).alias("base"))
-    sources = files.filter("not is_test").select(F.col("id").alias("target_file_id"), paths.stem(F.col("path")).alias("base"))
+    sources = (files if sources is None else sources).filter("not is_test").select(F.col("id").alias("target_file_id"), paths.stem(F.col("path")).alias("base"))
     return tests.join(sources, "base").select("source_file_id", "target_file_id")
 
 
-def test_edges_by_import(files: DataFrame, imports: DataFrame) -> DataFrame:
-    """source_file_id, target_file_id: tests and the sources whose path holds what they import, one row per import.
+def test_edges_by_import(files: DataFrame, imports: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """source_file_id, target_file_id: tests and the sources (of files unless given) whose path holds what they import, one row per import.
 
-    Contained texts have no equi-join, but a path that holds a fragment holds its first three
-    characters, so paths and fragments meet by those and are then compared.  Fragments that many
-    tests share are matched once.
+    Contained texts have no equi-join, but a path that holds a fragment holds all its runs of three
+    characters, so paths and fragments meet by the run of the fragment that the fewest paths hold, and
+    are then compared.  Fragments that many tests share are matched once.
     """
     tests = files.filter("is_test").select(F.col("id").alias("file_id"))
     used = imports.join(tests, "file_id", "left_semi").withColumn("fragment", F.replace("module", F.lit("."), F.lit("/"))).filter("fragment <> ''")
-    fragments = used.select("fragment").distinct().withColumn("gram", F.left("fragment", F.lit(3)))
-    grams = lambda n: F.when(F.length("path") >= n, F.transform(F.sequence(F.lit(1), F.length("path") - n + 1), lambda i: F.substr("path", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    sources = files.filter("not is_test").select(F.col("id").alias("target_file_id"), "path")
-    sources = sources.withColumn("gram", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))))
+    grams = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    sources = (files if sources is None else sources).filter("not is_test").select(F.col("id").alias("target_file_id"), "path")
+    sources = sources.withColumn("gram", F.explode(F.array_distinct(F.concat(*(grams(F.col("path"), n) for n in (1, 2, 3))))))
+    held = sources.groupBy("gram").agg(F.count("*").alias("n"))
+    own = F.when(F.length("fragment") < 3, F.array("fragment")).otherwise(F.array_distinct(grams(F.col("fragment"), 3)))
+    runs = used.select("fragment").distinct().withColumn("gram", F.explode(own)).join(held, "gram", "left")
+    fragments = runs.groupBy("fragment").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest")).select("fragment", "rarest.gram")
     hits = sources.join(fragments, "gram").filter(F.contains("path", F.col("fragment"))).select("fragment", "target_file_id")
     return used.join(hits, "fragment").select(F.col("file_id").alias("source_file_id"), "target_file_id")
 
 
+_ENDS = ("source_file_id", "source_symbol_id", "target_file_id", "target_symbol_id")
+
+
+def _edges(kind: str, rank: int, df: DataFrame, order: Column | None = None, **ends: str) -> DataFrame:
+    """df as edges of a kind, with the places by which they are numbered."""
+    end = lambda c: (F.col(ends[c]) if c in ends else F.lit(None).cast("long")).alias(c)
+    name = F.col("target_name") if "target_name" in df.columns else F.lit(None).cast("string")
+    return df.select(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), *map(end, _ENDS), name.alias("target_name"), (F.lit(0) if order is None else order).cast("long").alias("ord"))
+
+
+def _found(files: DataFrame, calls: DataFrame, tests: list[DataFrame], start: int) -> DataFrame:
+    """Numbered edges: contains for files, calls as resolved, tests by name and then by import."""
+    out = _edges("contains", 0, files, F.col("id"), target_file_id="id")
+    out = out.unionByName(_edges("calls", 1, calls, F.col("call_id"), **{c: c for c in _ENDS[1:]}))
+    for rank, t in enumerate(tests, 2):
+        out = out.unionByName(_edges("tests", rank, t, source_file_id="source_file_id", target_file_id="target_file_id"))
+    order = ("rank", "ord", "source_file_id", "target_file_id", "target_symbol_id")
+    return numbered(out, *order, start=start).select(*(x.split()[0] for x in EDGES.split(", ")))
+
+
 def edges(rel: Relations, *, start: int = 1) -> DataFrame:
     """contains, calls and tests edges; tests found by name and by import both stand."""
-    none = {c: F.lit(None).cast("long") for c in ("source_file_id", "source_symbol_id", "target_file_id", "target_symbol_id")}
-    shape = lambda df, kind, rank, **cols: df.select(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), *(cols.get(c, n).alias(c) for c, n in none.items()), cols.get("target_name", F.lit(None).cast("string")).alias("target_name"), cols.get("ord", F.lit(0).cast("long")).alias("ord"))
-    c = F.col
-    found = shape(rel["files"], "contains", 0, target_file_id=c("id"), ord=c("id"))
-    found = found.unionByName(shape(resolved_calls(rel["calls"], rel["symbols"]), "calls", 1, source_symbol_id=c("source_symbol_id"), target_file_id=c("target_file_id"), target_symbol_id=c("target_symbol_id"), target_name=c("target_name"), ord=c("call_id")))
-    for rank, tests in ((2, test_edges_by_name(rel["files"])), (3, test_edges_by_import(rel["files"], rel["imports"]))):
-        found = found.unionByName(shape(tests, "tests", rank, source_file_id=c("source_file_id"), target_file_id=c("target_file_id")))
-    order = ("rank", "ord", "source_file_id", "target_file_id", "target_symbol_id")
-    return by_path(found, *order, start=start).select(*(x.split()[0] for x in EDGES.split(", ")))
+    tests = [test_edges_by_name(rel["files"]), test_edges_by_import(rel["files"], rel["imports"])]
+    return _found(rel["files"], resolved_calls(rel["calls"], rel["symbols"]), tests, start)
+
+
+def edges_after(old: Relations, kept: Relations, stale: DataFrame, fresh: Relations, *, start: int) -> DataFrame:
+    """Edges after a refresh: those of kept that still hold, and new ones where something came or went.
+
+    Calls are resolved again only if they are new or call a name of a symbol that came or went; tests
+    meet sources again only where either is new.
+    """
+    names = old["symbols"].join(stale, "file_id", "left_semi").select("name").unionByName(fresh["symbols"].select("name")).distinct()
+    affected = cut(names)
+    symbols = kept["symbols"].unionByName(fresh["symbols"])
+    named = symbols.join(affected, "name", "left_semi").select(F.col("id").alias("target_symbol_id"))
+    still = kept["edges"].join(named, "target_symbol_id", "left_anti")
+    still = still.join(affected.withColumnRenamed("name", "target_name"), "target_name", "left_anti").select(*old["edges"].columns)
+    calls = kept["calls"].join(affected.withColumnRenamed("name", "callee_name"), "callee_name", "left_semi").select(*old["calls"].columns).unionByName(fresh["calls"])
+    files, imports = kept["files"].unionByName(fresh["files"]), kept["imports"].unionByName(fresh["imports"])
+    # new tests meet all sources, old tests the new sources
+    by_name = test_edges_by_name(fresh["files"], files).unionByName(test_edges_by_name(kept["files"], fresh["files"]))
+    by_import = test_edges_by_import(fresh["files"], imports, files).unionByName(test_edges_by_import(kept["files"], imports, fresh["files"]))
+    return still.unionByName(_found(fresh["files"], resolved_calls(calls, symbols), [by_name, by_import], start))
 
 
 def index_tree(spark: SparkSession, root: str, *, head: str | None = None, **options) -> Relations:
@@ -189,21 +246,23 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "path", mark:
 def refresh(rel: Relations, tree: DataFrame) -> Relations | None:
     """rel brought up to tree (path, content, size, mtime); None if nothing changed.
 
-    Only changed files are parsed.  Their ids and those of their symbols are new, above all old ones;
-    other files keep theirs.  All edges of calls and tests are resolved afresh, so that names that come
-    or go are followed everywhere.
+    Only changed files are parsed, and only the edges that they or their names touch are found again.
+    Their ids and those of their symbols and edges are new, above all old ones; all else keeps its ids.
     """
-    diff = snapshot_diff(rel["files"], tree).filter("change <> 'unchanged'").persist()
+    diff = cut(snapshot_diff(rel["files"], tree).filter("change <> 'unchanged'"))
     if diff.isEmpty():
-        diff.unpersist()
         return None
-    stale = rel["files"].join(diff.filter("change in ('modified', 'deleted')"), "path", "left_semi").select(F.col("id").alias("file_id"))
+    stale = cut(rel["files"].join(diff.filter("change in ('modified', 'deleted')"), "path", "left_semi").select(F.col("id").alias("file_id")))
     kept = without_files(rel, stale)
     changed = tree.join(diff.filter("change in ('modified', 'new')"), "path", "left_semi")
-    tops = {t: (rel[t].agg(F.max("id")).first()[0] or 0) + 1 for t in ("files", "symbols", "imports", "calls")}
+    highest = None
+    for t in ("files", "symbols", "imports", "calls", "edges"):
+        one = rel[t].agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).select(F.lit(t).alias("t"), "top")
+        highest = one if highest is None else highest.unionByName(one)
+    tops = {r.t: r.top + 1 for r in highest.collect()}
     fresh = relations(trees.parsed(trees.described(changed)), first=tops)
     out = {t: kept[t].unionByName(fresh[t]) for t in ("files", "symbols", "imports", "calls")}
-    out["edges"] = edges(out)
+    out["edges"] = edges_after(rel, kept, stale, fresh, start=tops["edges"])
     return out | {"metadata": rel["metadata"]}
 
 

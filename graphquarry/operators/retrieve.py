@@ -5,7 +5,7 @@ Frames of questions carry query_id; terms carry their place, so first hits keep
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
@@ -15,6 +15,28 @@ from ..functions.vocab import FEW_FILES, MAX_HITS, MIN_FUZZY, MIN_PART, MIN_STEM
 from ..storage import cut
 
 
+#: Terms that are broadcast at once.
+MOST_TERMS = 10_000
+
+
+def blocks(terms: DataFrame) -> list[DataFrame]:
+    """terms (column term) in parts of about MOST_TERMS rows at most, each to be broadcast; counted once a frame."""
+    if not hasattr(terms, "_blocks"):
+        n = -(-terms.count() // MOST_TERMS)
+        parts = [terms] if n < 2 else [terms.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == k) for k in range(n)]
+        terms._blocks = [F.broadcast(p) for p in parts]
+    return terms._blocks
+
+
+def matched(rows: DataFrame, terms: DataFrame, condition: Column) -> DataFrame:
+    """rows joined with the terms that the condition finds, a block of terms at a time."""
+    out = None
+    for block in blocks(terms):
+        one = rows.join(block, condition)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def synonym_table(spark: SparkSession) -> DataFrame:
     """kw, synonym, rank: members of the same cluster, in the clusters' order."""
     rows = [(a, b, 100 * c + k) for c, cluster in enumerate(SYNONYMS) for a in cluster for k, b in enumerate(cluster) if a != b]
@@ -37,10 +59,10 @@ def keyword_rows(asks: DataFrame) -> DataFrame:
 
 def hit_counts(terms: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
     """term, file_hits, symbol_hits of distinct terms: one pass over each relation, all terms at once."""
-    known = F.broadcast(terms.select("term").distinct())
-    f = files.select(text.ascii_lower(F.col("path")).alias("x")).join(known, F.contains("x", text.ascii_lower(F.col("term")))).groupBy("term").agg(F.count("*").alias("file_hits"))
-    s = symbols.select(text.ascii_lower(F.col("name")).alias("x")).groupBy("x").agg(F.count("*").alias("n")).join(known, F.contains("x", text.ascii_lower(F.col("term")))).groupBy("term").agg(F.sum("n").alias("symbol_hits"))
-    return terms.select("term").distinct().join(f, "term", "left").join(s, "term", "left").na.fill(0, ["file_hits", "symbol_hits"])
+    known = cut(terms.select("term").distinct())
+    f = matched(files.select(text.ascii_lower(F.col("path")).alias("x")), known, F.contains("x", text.ascii_lower(F.col("term")))).groupBy("term").agg(F.count("*").alias("file_hits"))
+    s = matched(symbols.select(text.ascii_lower(F.col("name")).alias("x")).groupBy("x").agg(F.count("*").alias("n")), known, F.contains("x", text.ascii_lower(F.col("term")))).groupBy("term").agg(F.sum("n").alias("symbol_hits"))
+    return known.join(f, "term", "left").join(s, "term", "left").na.fill(0, ["file_hits", "symbol_hits"])
 
 
 def weighted(kws: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -81,29 +103,29 @@ def _first_hits(df: DataFrame, most: int | None = MAX_HITS) -> DataFrame:
 
 def files_like(terms: DataFrame, files: DataFrame) -> DataFrame:
     """term, id: files whose path is LIKE the term."""
-    return files.select("id", "path").join(F.broadcast(terms), text.like_anywhere(F.col("path"), F.col("term"))).select("term", "id")
+    return matched(files.select("id", "path"), terms, text.like_anywhere(F.col("path"), F.col("term"))).select("term", "id")
 
 
 def symbols_like(terms: DataFrame, symbols: DataFrame) -> DataFrame:
     """term, id: symbols whose name is LIKE the term."""
-    return symbols.select("id", "name").join(F.broadcast(terms), text.like_anywhere(F.col("name"), F.col("term"))).select("term", "id")
+    return matched(symbols.select("id", "name"), terms, text.like_anywhere(F.col("name"), F.col("term"))).select("term", "id")
 
 
 def symbols_by_signature(terms: DataFrame, symbols: DataFrame, most: int = MAX_HITS) -> DataFrame:
     """term, id: symbols whose signature is LIKE the term and whose name isn't; the first by id."""
     hit = text.like_anywhere(F.col("signature"), F.col("term")) & ~text.like_anywhere(F.col("name"), F.col("term"))
-    return _first_hits(symbols.select("id", "name", "signature").join(F.broadcast(terms), hit).select("term", "id"), most)
+    return _first_hits(matched(symbols.select("id", "name", "signature"), terms, hit).select("term", "id"), most)
 
 
 def importing_files(terms: DataFrame, imports: DataFrame, most: int = MAX_HITS) -> DataFrame:
     """term, id: distinct files that import a module LIKE the term; the first by id."""
-    hits = imports.select("file_id", "module").join(F.broadcast(terms), text.like_anywhere(F.col("module"), F.col("term")))
+    hits = matched(imports.select("file_id", "module"), terms, text.like_anywhere(F.col("module"), F.col("term")))
     return _first_hits(hits.select("term", F.col("file_id").alias("id")).distinct(), most)
 
 
 def callers_like(terms: DataFrame, symbols: DataFrame, calls: DataFrame, most: int = MAX_HITS) -> DataFrame:
     """term, id: symbols that call a name LIKE the term and aren't so named themselves; the first by id."""
-    named = calls.select("callee_name").distinct().join(F.broadcast(terms), text.like_anywhere(F.col("callee_name"), F.col("term")))
+    named = matched(calls.select("callee_name").distinct(), terms, text.like_anywhere(F.col("callee_name"), F.col("term")))
     who = calls.join(named, "callee_name").select("term", F.col("caller_symbol_id").alias("id")).distinct()
     hits = who.join(symbols.select("id", "name"), "id").filter(~text.like_anywhere(F.col("name"), F.col("term")))
     return _first_hits(hits.select("term", "id"), most)
@@ -111,20 +133,20 @@ def callers_like(terms: DataFrame, symbols: DataFrame, calls: DataFrame, most: i
 
 def callers_of(names: DataFrame, symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """name, id: distinct symbols that call exactly a name."""
-    return calls.join(F.broadcast(names), F.col("callee_name") == F.col("called")).select("called", F.col("caller_symbol_id").alias("id")).distinct().join(symbols, "id")
+    return calls.join(names, F.col("callee_name") == F.col("called")).select("called", F.col("caller_symbol_id").alias("id")).distinct().join(symbols, "id")
 
 
 def fuzzy(terms: DataFrame, values: DataFrame) -> DataFrame:
     """term, value: distinct values (column value) one edit from a term; lengths apart by two never meet."""
     keyed = values.select("value").distinct().withColumn("size", F.length("value"))
     wide = terms.select("term", F.explode(F.sequence(F.length("term") - 1, F.length("term") + 1)).alias("size"))
-    return keyed.join(F.broadcast(wide), "size").filter(text.one_edit(F.col("value"), F.col("term"))).select("term", "value")
+    return keyed.join(wide, "size").filter(text.one_edit(F.col("value"), F.col("term"))).select("term", "value")
 
 
 def candidates(kws: DataFrame, files: DataFrame, symbols: DataFrame, imports: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(query_id, file_id, ord) and (query_id, symbol_id, ord): all channels' hits, first come first, and rescued typos."""
     st = cut(search_terms(kws))
-    terms = st.select("term").distinct()
+    terms = cut(st.select("term").distinct())
     long = terms.filter(F.octet_length("term") >= MIN_PART)
     f_hits = files_like(terms, files).withColumn("channel", F.lit(0)).unionByName(importing_files(terms, imports).withColumn("channel", F.lit(4)))
     s_hits = symbols_like(terms, symbols).withColumn("channel", F.lit(1)).unionByName(symbols_by_signature(long, symbols).withColumn("channel", F.lit(2))).unionByName(callers_like(long, symbols, calls).withColumn("channel", F.lit(3)))

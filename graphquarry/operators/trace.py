@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocab import MAX_DEPTH, MAX_TRACE_ROWS
+from ..storage import cut
 
 
 def adjacency(calls: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def traced(seeds: DataFrame, calls: DataFrame, symbols: DataFrame, *, hops: int
 
     A symbol stands once for every depth at which it is reached.  A hop goes through names: callers
     to distinct names, then names to symbols, so a name that many share isn't multiplied by its
-    callers; each hop's frontier is made distinct before the next.
+    callers; each hop's frontier is made distinct and cut before the next, so no hop is computed again.
     """
     by_caller = calls.select("caller_symbol_id", "callee_name").distinct()
     by_name = symbols.select(F.col("name").alias("callee_name"), F.col("id").alias("next"))
@@ -27,7 +28,7 @@ def traced(seeds: DataFrame, calls: DataFrame, symbols: DataFrame, *, hops: int
     out = None
     for depth in range(1, hops + 1):
         names = frontier.join(by_caller, F.col("symbol_id") == F.col("caller_symbol_id")).select("seed", "callee_name").distinct()
-        frontier = names.join(by_name, "callee_name").filter("next <> seed").select("seed", F.col("next").alias("symbol_id")).distinct()
+        frontier = cut(names.join(by_name, "callee_name").filter("next <> seed").select("seed", F.col("next").alias("symbol_id")).distinct())
         level = frontier.withColumn("depth", F.lit(depth))
         out = level if out is None else out.unionByName(level)
     return out

@@ -331,8 +331,7 @@ def dup_name_penalty(spark, d):
 def call_resolution(spark, d):
     c = calls_of(spark, d).withColumn("callee_name", F.when(F.col("id") % 11 == 0, F.concat("callee_name", F.lit("_gone"))).otherwise(F.col("callee_name")))
     s = symbols_of(spark, d).withColumnRenamed("file", "file_id")
-    r = index.resolved_calls(c, s)
-    return r.groupBy("source_symbol_id", F.col("target_file_id").alias("target_file"), "target_name").agg(F.count("*").alias("n"), F.count_distinct("target_symbol_id").alias("n_targets"))
+    return index.resolution_counts(c, s).withColumnRenamed("target_file_id", "target_file")
 
 
 _SEEDS = (0, 5, 17)
