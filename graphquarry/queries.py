@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions import paths, scoring, text
 from .functions.vocab import DIR_PENALTIES, IGNORED_DIRS, IGNORED_EXTENSIONS, LANGUAGES, META_PHRASES, MINIFIED_SUFFIXES, SCAFFOLD_DIRS, STOP_WORDS, SYNONYMS, TEST_DIRS, TEST_WORDS
 from .operators import context, evaluate, index, rank, retrieve, session, tokens, trace
+from .storage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -582,6 +583,152 @@ def json_props(spark, d):
 
 # --- whole questions over embedded sources (no SQL: parsing and stemming)
 
+# --- whole questions over the tables
+
+_QUESTIONS = {
+    1: "how does red_widget reach steel plates",
+    2: "where are the gears of example.com/en/685",
+    3: "cache for small_gizmo",
+    4: "thanks",
+    5: "hot_widgte and src1 imports",
+}
+#: What the questions ask for: question, word, place, whether it is a synonym, its stem where that is searched too.
+_SOUGHT = (
+    (1, "red_widget", 0, False, None),
+    (1, "widget", 1, False, None),
+    (1, "reach", 2, False, None),
+    (1, "steel", 3, False, None),
+    (1, "plates", 4, False, "plate"),
+    (2, "gears", 0, False, "gear"),
+    (2, "example", 1, False, "exampl"),
+    (2, "com", 2, False, None),
+    (2, "en", 3, False, None),
+    (2, "685", 4, False, None),
+    (3, "cache", 0, False, "cach"),
+    (3, "small_gizmo", 1, False, None),
+    (3, "small", 2, False, None),
+    (3, "gizmo", 3, False, None),
+    (3, "caching", 4, True, "cach"),
+    (3, "memoize", 5, True, "memoiz"),
+    (4, "thanks", 0, False, "thank"),
+    (5, "hot_widgte", 0, False, "hot_widgt"),
+    (5, "widgte", 1, False, "widgt"),
+    (5, "src1", 2, False, None),
+    (5, "imports", 3, False, "import"),
+)
+_LATE = 1 << 30
+
+
+def _relations(spark, d) -> dict[str, DataFrame]:
+    """The adapters as relations: a part belongs to one of 50 pages, documents are imports, a page in ten tests the one before it."""
+    s = symbols_of(spark, d)
+    kind = F.element_at(F.array(F.lit("function"), F.lit("class"), F.lit("constant"), F.lit("method")), (F.col("id") % 4 + 1).cast("int"))
+    symbols = s.select("id", (F.col("id") % 50).alias("file_id"), "name", kind.alias("kind"), F.lit(1).cast("long").alias("line_start"), F.lit(2).cast("long").alias("line_end"), "signature")
+    imports = table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 97).alias("file_id"), F.concat("source", F.lit("."), "lang").alias("module"))
+    files = described_files(spark, d)
+    edges = files.filter("id % 10 = 3").select("id", F.lit("tests").alias("kind"), F.col("id").alias("source_file_id"), (F.col("id") - 1).alias("target_file_id"))
+    return {"files": files, "symbols": symbols, "imports": imports, "calls": calls_of(spark, d), "edges": edges}
+
+
+def _asked(spark) -> DataFrame:
+    return spark.createDataFrame(list(_QUESTIONS.items()), "query_id long, ask string")
+
+
+def _text(x: str | None) -> str:
+    return "NULL" if x is None else f"'{x}'"
+
+
+_HIT = lambda c, t="term": f"{_LOW(c)} LIKE '%' || {_LOW(t)} || '%'"
+_ONE_EDIT = lambda a, b: f"(strlen({a}) >= 5 AND strlen({b}) >= 5 AND damerau_levenshtein({a}, {b}) = 1)"
+_RARITY = lambda n, hits: f"CASE WHEN {hits} > 0 THEN ln({n}::DOUBLE / {hits}) ELSE 10 END"
+_CAPPED = "QUALIFY row_number() OVER (PARTITION BY term ORDER BY id) <= 200"
+_FOUND = f"""{_DESCRIBED}, {_CALLS},
+    symbols AS (SELECT p_partkey AS id, p_partkey % 50 AS file_id, replace(p_name, ' ', '_') AS name, (['function', 'class', 'constant', 'method'])[p_partkey % 4 + 1] AS kind, p_type || ' size ' || p_size AS signature FROM part),
+    imports AS (SELECT doc_id % 97 AS file_id, source || '.' || lang AS module FROM documents),
+    k0(query_id, kw, ord, syn, ss) AS (VALUES {', '.join(f"({q}, '{w}', {o}, {str(y).lower()}, {_text(t)})" for q, w, o, y, t in _SOUGHT)}),
+    h AS (SELECT t, (SELECT count(*) FROM described WHERE contains({_LOW('path')}, t)) AS fh, (SELECT count(*) FROM symbols WHERE contains({_LOW('name')}, t)) AS sh FROM (SELECT kw AS t FROM k0 UNION SELECT ss FROM k0 WHERE ss IS NOT NULL)),
+    sizes AS (SELECT (SELECT count(*) FROM described) AS nf, (SELECT greatest(count(*), 1) FROM symbols) AS ns),
+    rated AS (SELECT k0.*, a.fh, a.sh, nf, ns, greatest(a.fh, coalesce(b.fh, 0)) AS mf, greatest(a.sh, coalesce(b.sh, 0)) AS ms FROM k0 JOIN h a ON a.t = kw LEFT JOIN h b ON b.t = ss CROSS JOIN sizes),
+    k AS (SELECT query_id, kw, ord, syn, ss, greatest(1.0::DOUBLE, least(10.0::DOUBLE, {_RARITY('nf', 'mf')}, {_RARITY('ns', 'ms')})) * CASE WHEN syn THEN 0.5 ELSE 1.0 END AS idf FROM rated WHERE fh::DOUBLE / nf < 0.3 AND sh::DOUBLE / ns < 0.3 QUALIFY bool_or(NOT syn AND (fh::DOUBLE / nf < 0.05 OR sh::DOUBLE / ns < 0.05)) OVER (PARTITION BY query_id)),
+    st AS (SELECT query_id, term, min(o) AS term_ord FROM (SELECT query_id, kw AS term, ord * 2 AS o FROM k UNION ALL SELECT query_id, ss, ord * 2 + 1 FROM k WHERE ss IS NOT NULL AND ss NOT IN ({', '.join(repr(w) for w in STOP_WORDS)})) GROUP BY ALL),
+    tm AS (SELECT DISTINCT term FROM st),
+    c4 AS (SELECT term, id FROM (SELECT DISTINCT term, file_id AS id FROM imports, tm WHERE {_HIT('module')}) {_CAPPED}),
+    c2 AS (SELECT term, id FROM symbols, tm WHERE strlen(term) >= 4 AND {_HIT('signature')} AND NOT {_HIT('name')} {_CAPPED}),
+    c3 AS (SELECT term, id FROM (SELECT DISTINCT term, s.id FROM calls JOIN symbols s ON s.id = caller_symbol_id, tm WHERE strlen(term) >= 4 AND {_HIT('callee_name')} AND NOT {_HIT('name')}) {_CAPPED}),
+    f_hits AS (SELECT term, id, 0 AS ch FROM described, tm WHERE {_HIT('path')} UNION ALL SELECT term, id, 4 FROM c4),
+    s_hits AS (SELECT term, id, 1 AS ch FROM symbols, tm WHERE {_HIT('name')} UNION ALL SELECT term, id, 2 FROM c2 UNION ALL SELECT term, id, 3 FROM c3),
+    f1 AS (SELECT query_id, id, min(term_ord * 100 + ch) AS code FROM f_hits JOIN st USING (term) GROUP BY query_id, id),
+    s1 AS (SELECT query_id, id, min(term_ord * 100 + ch) AS code FROM s_hits JOIN st USING (term) GROUP BY query_id, id),
+    firsts AS (SELECT query_id, code // 100 AS term_ord FROM f1 UNION SELECT query_id, code // 100 FROM s1 UNION SELECT query_id, term_ord FROM c4 JOIN st USING (term)),
+    lost AS (SELECT st.query_id, st.term FROM st JOIN k ON k.query_id = st.query_id AND k.kw = st.term ANTI JOIN firsts ON firsts.query_id = st.query_id AND firsts.term_ord = st.term_ord WHERE strlen(st.term) >= 5),
+    named AS (SELECT id, unnest(list_distinct(list_concat([{_STEM('lower(path)')}], string_split_regex({_STEM('lower(path)')}, '[-_.]')))) AS value FROM described),
+    f AS (SELECT query_id, id, min(code) AS code FROM (SELECT * FROM f1 UNION ALL SELECT query_id, id, {_LATE * 100 + 9} FROM lost JOIN named ON {_ONE_EDIT('value', 'term')}) GROUP BY ALL),
+    s AS (SELECT query_id, id, min(code) AS code FROM (SELECT * FROM s1 UNION ALL SELECT query_id, id, {_LATE * 100 + 9} FROM lost JOIN symbols ON {_ONE_EDIT('lower(name)', 'term')}) GROUP BY ALL)"""
+
+
+def _files_scored(name: str, cands: str, hosted: str | None = None) -> str:
+    """CTEs: the files of cands (query_id, id) with path and score."""
+    boost, join = (f"coalesce({hosted}.n, 0) * 15", f"LEFT JOIN {hosted} ON {hosted}.query_id = w.query_id AND {hosted}.id = w.id") if hosted else ("0", "")
+    return f"""{name}_w AS (SELECT query_id, id, sum(trunc(CASE rung WHEN 1 THEN 100 WHEN 2 THEN 40 WHEN 4 THEN 5 ELSE 0 END * idf)) + 30 * greatest(0, count(*) FILTER (WHERE rung IN (1, 2) AND NOT syn) - 1) AS x FROM (SELECT k.query_id, described.id, syn, idf, {_RUNG} AS rung FROM {cands} c JOIN described ON described.id = c.id JOIN k ON k.query_id = c.query_id) GROUP BY ALL),
+    {name}_raw AS (SELECT w.query_id, w.id, path, {_BASE('path')} AS fname, (x + {_QUALITY} + CASE WHEN is_test THEN -25 ELSE 0 END + CASE WHEN {_GENERATED} THEN -40 ELSE 0 END + {boost})::BIGINT AS raw FROM {name}_w w JOIN described ON described.id = w.id {join}),
+    {name} AS (SELECT query_id, id, path, (CASE WHEN row_number() OVER (PARTITION BY query_id, fname ORDER BY raw DESC, path) > 2 THEN trunc(raw / 2.0) ELSE raw END)::INTEGER AS score FROM {name}_raw)"""
+
+
+_ALL_FILES = f"all_f AS (SELECT query_id, id, min(code) AS code FROM (SELECT * FROM f UNION ALL SELECT query_id, file_id, {_LATE * 100 + 99} FROM s JOIN symbols USING (id) SEMI JOIN described d ON d.id = file_id) GROUP BY ALL)"
+_BEST_SYMBOLS = f"""{_ALL_FILES}, {_files_scored('fs', 'all_f')},
+    by_words AS (SELECT s.query_id, s.id, s.code, name, kind, file_id, sum(trunc(CASE WHEN lower(name) = kw THEN 100 WHEN starts_with(lower(name), kw) OR starts_with(kw, lower(name)) THEN 50 WHEN contains(lower(name), kw) THEN 10 WHEN {_ONE_EDIT('lower(name)', 'kw')} THEN 5 ELSE 0 END * idf)) AS x FROM s JOIN symbols USING (id) SEMI JOIN described d ON d.id = file_id JOIN k ON k.query_id = s.query_id GROUP BY ALL),
+    sym AS (SELECT w.*, (x + CASE WHEN kind IN ('function', 'method') THEN 20 WHEN kind = 'class' THEN 5 ELSE 0 END + least(coalesce(fs.score, 0), 0))::INTEGER AS score FROM by_words w LEFT JOIN fs ON fs.query_id = w.query_id AND fs.id = file_id),
+    top_s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name, code, id) AS rank FROM (SELECT * FROM sym QUALIFY score >= greatest(15, trunc(max(score) OVER (PARTITION BY query_id) * 0.25))) QUALIFY rank <= 40)"""
+_STEPS = """pairs AS (SELECT DISTINCT caller_symbol_id AS a, callee_name FROM calls), seeds AS (SELECT DISTINCT id AS seed FROM top_s WHERE rank <= 20),
+    cg(seed, id, depth) AS (SELECT seed, seed, 0 FROM seeds UNION SELECT cg.seed, y.id, cg.depth + 1 FROM cg JOIN pairs ON pairs.a = cg.id JOIN symbols y ON y.name = pairs.callee_name WHERE cg.depth < 5 AND y.id <> cg.seed),
+    walked AS (SELECT seed, id, depth, row_number() OVER (PARTITION BY seed ORDER BY depth, id) AS step FROM cg WHERE depth > 0 QUALIFY step <= 50),
+    steps AS (SELECT query_id, rank, step, walked.id, depth FROM walked JOIN top_s ON top_s.id = seed AND rank <= 20 JOIN symbols y ON y.id = walked.id SEMI JOIN described d ON d.id = y.file_id)"""
+
+
+@query(f"WITH {_FOUND} SELECT query_id, 'file' AS kind, id, code FROM f UNION ALL SELECT query_id, 'symbol', id, code FROM s")
+def analyze_candidates(spark, d):
+    rel = _relations(spark, d)
+    kws = cut(retrieve.weighted(retrieve.with_synonyms(retrieve.keyword_rows(_asked(spark))), rel["files"], rel["symbols"]))
+    f, s = retrieve.candidates(kws, rel["files"], rel["symbols"], rel["imports"], rel["calls"])
+    shown = lambda df, kind, c: df.select("query_id", F.lit(kind).alias("kind"), F.col(c).alias("id"), (F.col("ord.term_ord").cast("long") * 100 + F.col("ord.channel")).alias("code"))
+    return shown(f, "file", "file_id").unionByName(shown(s, "symbol", "symbol_id"))
+
+
+def _ranked(spark, d, part: str) -> DataFrame:
+    """One list of all questions' results, a row an element."""
+    from .plans import analyze
+
+    return analyze.analyze(_asked(spark), _relations(spark, d)).select("query_id", F.explode(part).alias("x"))
+
+
+@query(f"WITH {_FOUND}, {_BEST_SYMBOLS} SELECT query_id, rank::INTEGER AS rank, id AS symbol_id, name, score FROM top_s")
+def analyze_symbols(spark, d):
+    return _ranked(spark, d, "symbols").select("query_id", "x.rank", "x.symbol_id", "x.name", "x.score")
+
+
+@query(f"WITH RECURSIVE {_FOUND}, {_BEST_SYMBOLS}, {_STEPS} SELECT query_id, rank AS nth, step::INTEGER AS step, id AS symbol_id, depth FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS rank, rank AS was FROM (SELECT DISTINCT query_id, rank FROM steps)) o JOIN (SELECT query_id, rank AS was, step, id, depth FROM steps) USING (query_id, was)")
+def analyze_paths(spark, d):
+    steps = _ranked(spark, d, F.transform("paths", lambda p, i: F.struct(i.cast("long").alias("nth"), p.alias("p"))))
+    return steps.select("query_id", F.col("x.nth").alias("nth"), F.explode("x.p").alias("s")).filter("s.step > 0").select("query_id", "nth", "s.step", "s.symbol_id", "s.depth")
+
+
+@query(
+    f"""WITH RECURSIVE {_FOUND}, {_BEST_SYMBOLS}, {_STEPS}, hosted AS (SELECT query_id, file_id AS id, count(*) AS n FROM top_s GROUP BY ALL),
+    every AS (SELECT query_id, id FROM all_f UNION SELECT query_id, file_id FROM steps JOIN symbols USING (id)), {_files_scored('es', 'every', 'hosted')}
+    SELECT query_id, rank::INTEGER AS rank, path, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM (SELECT * FROM es QUALIFY score >= greatest(10, trunc(max(score) OVER (PARTITION BY query_id) * 0.25)))) WHERE rank <= 25"""
+)
+def analyze_files(spark, d):
+    return _ranked(spark, d, "files").select("query_id", "x.rank", "x.path", "x.score")
+
+
+@query(
+    f"""WITH {_FOUND}, {_ALL_FILES}, hit AS (SELECT query_id, page_id AS test_id, min((code, all_f.id, page_id)) AS o FROM all_f JOIN pages ON page_id % 10 = 3 AND page_id - 1 = all_f.id GROUP BY ALL)
+    SELECT query_id, rank::INTEGER AS rank, test_id AS file_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o) AS rank FROM hit) WHERE rank <= 10"""
+)
+def analyze_tests(spark, d):
+    return _ranked(spark, d, "tests").select("query_id", "x.rank", "x.file_id")
+
+
 _SOURCES = {
     "src/auth/login.py": "import hashlib\nfrom src.auth.store import find_user\n\n\nclass Session:\n    def open(self, user):\n        return make_token(user)\n\n\ndef login_handler(name, password):\n    user = find_user(name)\n    return Session().open(user)\n\n\ndef make_token(user):\n    return hashlib.sha256(user.encode()).hexdigest()\n",
     "src/auth/store.py": "def find_user(name):\n    return connect_database().lookup(name)\n\n\ndef connect_database():\n    return {}\n",
