@@ -122,6 +122,12 @@ def short_count(n: Column) -> Column:
     return F.when(n >= 1_000_000, F.concat(one(1e6), F.lit("M"))).when(n >= 1000, F.concat(one(1e3), F.lit("K"))).otherwise(n.cast("string"))
 
 
+def change_pct(before: Column, after: Column) -> Column:
+    """By how many whole per cent a count fell or rose, as -12% or +3%; 0% from nothing."""
+    pct = F.round((after - before) * 100.0 / before).cast("long")
+    return F.when(before == 0, "0%").otherwise(F.concat(F.when(pct > 0, "+").otherwise(""), pct.cast("string"), F.lit("%")))
+
+
 def newer(current: Column, latest: Column) -> Column:
     """Version comparison by numeric segments; a leading v is ignored, what isn't a number is 0."""
     parts = lambda v: F.transform(F.split(F.regexp_replace(v, "^v", ""), "\\."), lambda p: F.coalesce(F.expr("try_cast(null as int)"), p.try_cast("int"), F.lit(0)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
 
@@ -174,6 +175,17 @@ def stats(rel: Relations) -> DataFrame:
     return out
 
 
+def counters(rel: Relations, diff: DataFrame | None = None, skipped: int = 0) -> DataFrame:
+    """counter, n of an index run: what the relations hold, and how many files were parsed, unchanged, deleted or skipped."""
+    held = stats(rel).withColumnRenamed("relation", "counter")
+    if diff is None:
+        parsed = rel["files"].filter("language is not null").agg(F.lit("parsed").alias("counter"), F.count("*").alias("n"))
+    else:
+        kind = F.when(F.col("change").isin("new", "modified"), "parsed").otherwise(F.col("change"))
+        parsed = diff.groupBy(kind.alias("counter")).agg(F.count("*").alias("n"))
+    return held.unionByName(parsed).unionByName(rel["files"].sparkSession.createDataFrame([("skipped", skipped)], "counter string, n long"))
+
+
 # --- snapshots
 
 
@@ -266,6 +278,11 @@ def refresh(rel: Relations, tree: DataFrame) -> Relations | None:
     return out | {"metadata": rel["metadata"]}
 
 
-def is_stale(age_seconds: float | None, head: str | None, indexed_head: str | None, *, limit: float = 300) -> bool:
-    """Whether an index should be looked at again: it is missing or old, or another version is checked out."""
+def is_stale(age_seconds: float | None, head: str | None, indexed_head: str | None, *, limit: float | None = None) -> bool:
+    """Whether an index should be looked at again: it is missing or old, or another version is checked out.
+
+    The age that is old is ``limit``, else GRAPHQUARRY_STALE_SECONDS of the environment, else 300 seconds.
+    """
+    if limit is None:
+        limit = float(os.environ.get("GRAPHQUARRY_STALE_SECONDS") or 300)
     return age_seconds is None or age_seconds >= limit or (head is not None and head != indexed_head)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Share of common words and subsystems from which two questions are on one subject.
@@ -46,3 +47,14 @@ def output_hash(text: Column) -> Column:
 def save_last(state: DataFrame, path: str) -> None:
     """Write sessions' last questions (session, kws, subsystems, output_hash)."""
     state.write.mode("overwrite").parquet(path)
+
+
+_STATE = "session string, kws array<string>, subsystems array<string>, output_hash string"
+
+
+def load_last(spark: SparkSession, path: str) -> DataFrame:
+    """Sessions' last questions as saved; none where nothing was."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], _STATE)

@@ -638,7 +638,7 @@ def _text(x: str | None) -> str:
     return "NULL" if x is None else f"'{x}'"
 
 
-_HIT = lambda c, t="term": f"{_LOW(c)} LIKE '%' || {_LOW(t)} || '%'"
+_LIKE = lambda c, t="term": f"{_LOW(c)} LIKE '%' || {_LOW(t)} || '%'"
 _ONE_EDIT = lambda a, b: f"(strlen({a}) >= 5 AND strlen({b}) >= 5 AND damerau_levenshtein({a}, {b}) = 1)"
 _RARITY = lambda n, hits: f"CASE WHEN {hits} > 0 THEN ln({n}::DOUBLE / {hits}) ELSE 10 END"
 _CAPPED = "QUALIFY row_number() OVER (PARTITION BY term ORDER BY id) <= 200"
@@ -652,11 +652,11 @@ _FOUND = f"""{_DESCRIBED}, {_CALLS},
     k AS (SELECT query_id, kw, ord, syn, ss, greatest(1.0::DOUBLE, least(10.0::DOUBLE, {_RARITY('nf', 'mf')}, {_RARITY('ns', 'ms')})) * CASE WHEN syn THEN 0.5 ELSE 1.0 END AS idf FROM rated WHERE fh::DOUBLE / nf < 0.3 AND sh::DOUBLE / ns < 0.3 QUALIFY bool_or(NOT syn AND (fh::DOUBLE / nf < 0.05 OR sh::DOUBLE / ns < 0.05)) OVER (PARTITION BY query_id)),
     st AS (SELECT query_id, term, min(o) AS term_ord FROM (SELECT query_id, kw AS term, ord * 2 AS o FROM k UNION ALL SELECT query_id, ss, ord * 2 + 1 FROM k WHERE ss IS NOT NULL AND ss NOT IN ({', '.join(repr(w) for w in STOP_WORDS)})) GROUP BY ALL),
     tm AS (SELECT DISTINCT term FROM st),
-    c4 AS (SELECT term, id FROM (SELECT DISTINCT term, file_id AS id FROM imports, tm WHERE {_HIT('module')}) {_CAPPED}),
-    c2 AS (SELECT term, id FROM symbols, tm WHERE strlen(term) >= 4 AND {_HIT('signature')} AND NOT {_HIT('name')} {_CAPPED}),
-    c3 AS (SELECT term, id FROM (SELECT DISTINCT term, s.id FROM calls JOIN symbols s ON s.id = caller_symbol_id, tm WHERE strlen(term) >= 4 AND {_HIT('callee_name')} AND NOT {_HIT('name')}) {_CAPPED}),
-    f_hits AS (SELECT term, id, 0 AS ch FROM described, tm WHERE {_HIT('path')} UNION ALL SELECT term, id, 4 FROM c4),
-    s_hits AS (SELECT term, id, 1 AS ch FROM symbols, tm WHERE {_HIT('name')} UNION ALL SELECT term, id, 2 FROM c2 UNION ALL SELECT term, id, 3 FROM c3),
+    c4 AS (SELECT term, id FROM (SELECT DISTINCT term, file_id AS id FROM imports, tm WHERE {_LIKE('module')}) {_CAPPED}),
+    c2 AS (SELECT term, id FROM symbols, tm WHERE strlen(term) >= 4 AND {_LIKE('signature')} AND NOT {_LIKE('name')} {_CAPPED}),
+    c3 AS (SELECT term, id FROM (SELECT DISTINCT term, s.id FROM calls JOIN symbols s ON s.id = caller_symbol_id, tm WHERE strlen(term) >= 4 AND {_LIKE('callee_name')} AND NOT {_LIKE('name')}) {_CAPPED}),
+    f_hits AS (SELECT term, id, 0 AS ch FROM described, tm WHERE {_LIKE('path')} UNION ALL SELECT term, id, 4 FROM c4),
+    s_hits AS (SELECT term, id, 1 AS ch FROM symbols, tm WHERE {_LIKE('name')} UNION ALL SELECT term, id, 2 FROM c2 UNION ALL SELECT term, id, 3 FROM c3),
     f1 AS (SELECT query_id, id, min(term_ord * 100 + ch) AS code FROM f_hits JOIN st USING (term) GROUP BY query_id, id),
     s1 AS (SELECT query_id, id, min(term_ord * 100 + ch) AS code FROM s_hits JOIN st USING (term) GROUP BY query_id, id),
     firsts AS (SELECT query_id, code // 100 AS term_ord FROM f1 UNION SELECT query_id, code // 100 FROM s1 UNION SELECT query_id, term_ord FROM c4 JOIN st USING (term)),

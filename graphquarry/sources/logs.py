@@ -15,6 +15,14 @@ NAVIGATION = ("Grep", "Glob", "Bash", "Agent")
 PRODUCTIVE = ("Read", "Edit", "Write", "NotebookEdit")
 
 
+def log_files(spark: SparkSession, root: str) -> list[str]:
+    """Logs below root: those of its round folders first, then its own, each in order of name."""
+    sc = spark.sparkContext
+    fs = sc._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(sc._jsc.hadoopConfiguration())
+    found = lambda pattern: sorted(str(f.getPath().toString()) for f in fs.globStatus(sc._jvm.org.apache.hadoop.fs.Path(f"{root}/{pattern}")) or [])
+    return found("round*/*.jsonl") + found("*.jsonl")
+
+
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """run (file name), line_no, line of text logs; line numbers count within a file."""
     raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("run"), F.posexplode(F.split("value", "\\r?\\n")).alias("line_no", "line"))
@@ -88,5 +96,23 @@ def preview_path(preview: Column) -> Column:
     return F.when(p.rlike("\\.\\w+$"), p)
 
 
+def task_of(run: Column) -> Column:
+    """The task that a log's file name bears: what is before its side, turn and extension."""
+    return F.regexp_replace(F.regexp_replace(run, "\\.jsonl$", ""), "(_turn\\d+|_(with|without|control|treatment))+$", "")
+
+
+def failed_turns(lines: DataFrame, run: str = "run") -> DataFrame:
+    """run, failed_turns: in order, the turns of form A's sessions whose last result is an error or missing.
+
+    A run's name ends in _turn and its number; its session is what is before.
+    """
+    schema = _EVENT_A + ", is_error boolean"
+    last = events(lines, schema).groupBy(run).agg(F.max_by(F.struct("e.type", "e.is_error"), F.when(F.col("e.type") == "result", F.col("line_no"))).alias("r"))
+    turn = F.regexp_extract(run, "_turn(\\d+)", 1).try_cast("int")
+    failed = F.col("r").isNull() | (F.col("r.type") != "result") | F.coalesce(F.col("r.is_error"), F.lit(False))
+    per = last.select(F.regexp_replace(run, "_turn\\d+(\\.jsonl)?$", "").alias(run), F.coalesce(turn, F.lit(0)).alias("turn"), failed.alias("failed"))
+    return per.groupBy(run).agg(F.array_sort(F.collect_list(F.when(F.col("failed"), F.col("turn")))).alias("failed_turns"))
+
+
 def is_followup(run: Column) -> Column:
     return run.rlike("_turn[1-9]\\d*\\.jsonl$")
