@@ -182,7 +182,9 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order:
     Each word scores count(context, word) / count(context) with the longest context, up to order - 1
     words of its document, that occurs with it in other documents; each shorter step costs a factor
     0.4; a word that occurs nowhere else counts as half an occurrence.  Repeated rows count as often as they occur, each being
-    another document to the next.  Null and empty texts have no words, score 0 and mean null.
+    another document to the next.  Null and empty texts have no words, score 0 and mean null; texts of any
+    length are scored whole; other columns are left out, whatever their names; an empty table gives an
+    empty result.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     words = d.select("text").mapInArrow(_count_words, "n long").agg(F.sum("n")).first()[0] or 0

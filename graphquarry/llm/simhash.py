@@ -166,7 +166,9 @@ def links(distinct: DataFrame, max_bits: int = 4, cell_limit: int = CELL) -> Dat
                 cell, row = cells_of(part)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(part[row])], names=["cell", "fp"])
 
-    entered = distinct.select("fp").mapInArrow(enter, "cell long, fp long")
+    # a fingerprint makes some 50 rows, so a few small tasks of fingerprints would make large ones of cells
+    spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    entered = spread.mapInArrow(enter, "cell long, fp long")
     runs = entered.repartition("cell").sortWithinPartitions("cell", "fp")
     found = cut(runs.mapInArrow(lambda it: _in_cells(it, max_bits, cell_limit), "a long, b long, cell long"))
     out = found.filter("cell is null").select("a", "b")
@@ -214,7 +216,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     fingerprint is 16 lower-case hex digits; texts that are null or have no words have fingerprint 0
     and link like any other.  component_id is the smallest doc_id that links reach, the row's own
-    included; null ids are never the smallest unless a component has no other.
+    included; null ids are never the smallest unless a component has no other.  Repeated rows have equal
+    results, texts of any length are read whole, and an empty table gives an empty result.
     """
     rows = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry)), "text", width))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
@@ -230,7 +233,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", find=near_duplicates, **options) -> DataFrame:
     """One row of each group of near-duplicates, with all its columns: that of the smallest doc_id.
 
-    ``find`` makes the groups.  Rows are told apart by id and text; of rows alike in both, one stays.
+    ``find`` makes the groups.  Rows are told apart by id and text; of rows alike in both, one stays.  Null
+    texts, and texts without words, are of one group; a null id stays only where its group has no other.
+    Columns may have any names; an empty table gives an empty result.
     """
     docs, restored = aside(docs, "row_mark", "i", "r")
     marked = docs.withColumn("row_mark", F.xxhash64(doc_id, text))

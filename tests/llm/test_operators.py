@@ -509,3 +509,205 @@ def test_reader_streams_and_rejects_damage():
 def test_inputs_can_repeat_columns_of_results(spark):
     d = spark.createDataFrame([(1, "a b c", "en", "s", "mine")], "doc_id long, text string, lang string, source string, kept string")
     assert quality.keep_good(d).columns == d.columns
+
+
+# --- harder cases
+
+
+def plain_guesses(value, ranks):
+    """The least cost over all segmentations, each segment by its cheapest pattern."""
+    import math
+    from functools import cache
+
+    brute = math.log10(max(10, sum(k for k, p in ((26, "[a-z]"), (26, "[A-Z]"), (10, "[0-9]"), (33, "[^a-zA-Z0-9]")) if re.search(p, value))))
+    low, leet = value.lower(), value.lower().translate(str.maketrans("4301$5@7!", "aeoissati"))
+    rows = ["1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "azertyuiop", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"]
+    step = lambda a, b: any(a + b in r or b + a in r for r in rows)
+
+    def segment(i, j):
+        s, n = value[i:j], j - i
+        costs = [n * brute]
+        if 3 <= n <= 20:
+            case = 0 if s.islower() or not s.isalpha() else 0.3 if s.istitle() or s.isupper() else min(n, 16) * 0.3
+            costs += [math.log10(ranks[f[i:j]] + 1) + x + case for f, x in ((low, 0), (leet, 0.3)) if f[i:j] in ranks]
+        if n >= 3 and len(set(s)) == 1 and (i == 0 or value[i - 1] != value[i]):
+            costs.append(brute + math.log10(n))
+        if n >= 3 and all(step(a, b) for a, b in zip(low[i:j], low[i + 1 : j])) and (i == 0 or not step(low[i - 1], low[i])):
+            costs.append(1.7 + math.log10(n))
+        if re.fullmatch(r"(19|20)\d\d", s):
+            costs.append(2.1)
+        if re.fullmatch(r"(19|20)\d\d[-/._]?(0[1-9]|1[0-2])[-/._]?(0[1-9]|[12]\d|3[01])", s):
+            costs.append(4.6)
+        return min(costs)
+
+    @cache
+    def best(i):
+        return 0.0 if i == len(value) else min(segment(i, j) + (math.log10(5) if i else 0) + best(j) for j in range(i + 1, len(value) + 1))
+
+    return best(0)
+
+
+def test_guess_costs_like_all_segmentations():
+    rng = random.Random(4)
+    bits = ["pass", "Word", "p4ss", "admin", "aaa", "zz", "qwe", "poiu", "123", "1998", "x", "Q", "7", "#", "é", "cab", "tok", "en"]
+    for _ in range(400):
+        v = "".join(rng.choice(bits) for _ in range(rng.randint(1, 5)))
+        # a full date is one pattern to the scan wherever one begins, so years stand alone here
+        assert secretscan.log10_guesses(v) == pytest.approx(plain_guesses(v, secretscan.RANKS)), v
+
+
+def test_planted_credentials_and_plain_values(spark):
+    rng = random.Random(6)
+    alphabet = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    words = ["harvest", "lantern", "meadow", "quarry", "sailor", "thunder", "velvet", "window", "copper", "bridge"]
+    rows, truth = [], {}
+    for i in range(400):
+        prose = " ".join(rng.choice(words) for _ in range(30))
+        kind = i % 4
+        if kind == 0:
+            v = "".join(rng.choice(alphabet + "-_!#") for _ in range(rng.randint(10, 11)))
+        elif kind == 1:
+            v = "".join(w.capitalize() if k else w for k, w in enumerate(rng.sample(["get", "user", "token", "from", "header", "session", "cookie"], 4)))
+        elif kind == 2:
+            v = rng.choice(["administrator", "forgottenpassword", "process.env.TOKEN", "settings.secret_key", rng.choice(words) + rng.choice(words)])
+        else:
+            v = rng.choice(words).capitalize() + str(rng.randint(1990, 2020))
+        rows.append((i, f"{prose} pwd: {v} {prose}"))
+        truth[i] = kind == 0
+    got = {r.doc_id: "guess" in r.spans for r in secretscan.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = sum(got[i] and truth[i] for i in got)
+    assert hits / sum(truth.values()) >= 0.95 and hits / max(1, sum(got.values())) >= 0.95
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    def seconds(n):
+        text = "pwd: abcdefabcdef0123456789 " * n
+        began = time.process_time()
+        assert len(secretscan.find_secrets(text)) == n
+        return time.process_time() - began
+
+    seconds(2000)
+    assert seconds(16_000) < 20 * max(seconds(2000), 0.005)
+
+
+def test_unequal_samples_and_many_letters():
+    rng = random.Random(3)
+    texts_ = {"en": "the house and the garden of my father were there when we came with those children", "de": "das haus und der garten meines vaters waren schon dort als wir mit jenen kindern kamen"}
+    made = lambda lang, n: " ".join(rng.choice(texts_[lang].split()) for _ in range(n))
+    whole, short = [made("de", 100) for _ in range(40)], [made("en", 40)]
+    assert sum(map(len, whole)) > 90 * sum(map(len, short))
+    parser = langid.CrossParser({"de": whole, "en": short})
+    tests = [(lang, made(lang, 30)) for lang in ("de", "en") for _ in range(100)]
+    assert np.mean([p == lang for (lang, _), p in zip(tests, parser.predict([t for _, t in tests])[0])]) >= 0.98
+    # three languages of 150 letters each, in one script, that share no letter with their neighbours' words
+    scripts = {f"l{k}": [chr(0x4E00 + 150 * k + j) for j in range(150)] for k in range(3)}
+    sample = lambda k: " ".join("".join(rng.choice(scripts[k]) for _ in range(4)) for _ in range(200))
+    parser = langid.CrossParser({k: [sample(k) + " " + "".join(scripts[k])] for k in scripts})
+    assert parser.alphabet == 64 and len({langid.codes(c, parser.table).tobytes() for s in scripts.values() for c in s}) == 450
+    tests = [(k, sample(k)[:60]) for k in scripts for _ in range(50)]
+    assert np.mean([p == k for (k, _), p in zip(tests, parser.predict([t for _, t in tests])[0])]) >= 0.98
+
+
+def test_groups_of_items_are_passes_of_their_own(spark, monkeypatch):
+    cuts = []
+    real = decontam.cut
+    monkeypatch.setattr(decontam, "cut", lambda df: cuts.append(df) or real(df))
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(20))) for i in range(30)]
+    docs = [(i, " ".join([t for _, t in rng.sample(items, 2)])) for i in range(20)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.contamination(d, b, group_words=300)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(cuts) >= 2 and plan.count("MapInArrow") == 1
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got.collect()} == plain_contamination(docs, items)
+
+
+def test_labelled_ids_that_repeat_stay_few(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, toxic int")
+    rows, _ = toxicity.training_rows(docs, labels, doc_id="doc_id", text="text", label="toxic", max_rows=10)
+    assert len(rows) == sum(__import__("zlib").crc32(str(i).encode()) % 4 != 2 for i in range(5))
+
+
+def test_scores_are_sums_over_words_and_their_ngrams():
+    rng = random.Random(2)
+    t = [" ".join(rng.choice(WORDS) + rng.choice(["", "bad", "idiot"]) for _ in range(30)) for _ in range(80)]
+    m = toxicity.SubwordSoftmax(epochs=2).fit(t, ["idiot" in x for x in t])
+    for x in [*t[:10], "", "unseen wordz", None]:
+        w = re.findall(r"[^\W\d_]+", (x or "").lower())
+        total = 0.0
+        for v in w:
+            f = [f"={v}"] + [f"<{v}>"[i : i + n] for n in (3, 4, 5) for i in range(len(v) + 3 - n)]
+            total += float(np.mean([m.weight[__import__("zlib").crc32(g.encode()) % m.buckets] for g in f]))
+        assert m.scorer()(x) == pytest.approx(1 / (1 + np.exp(-(m.bias + (total / len(w) if w else 0)))), abs=1e-5)
+
+
+def test_blocks_of_words_repeat_in_any_order(spark):
+    rows = [(i, t) for i, t in enumerate(texts(60, 3))]
+    first = lmscore.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), block_words=300)
+    other = lmscore.score(spark.createDataFrame(rows[::-1], "doc_id long, text string").coalesce(1), block_words=300)
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, other.collect()))
+    made = []
+    for r in (rows, rows[::-1]):
+        d = spark.createDataFrame(r, "doc_id long, text string").coalesce(1).sortWithinPartitions("doc_id", "text")
+        schema = "key long, block long, n int, part long, size int, a binary, b binary, extra int, ids array<bigint>, lengths array<int>"
+        made.append({x.block for x in d.mapInArrow(lambda it: lmscore._blocks(it, 2, 4, 300), schema).collect()})
+    assert made[0] == made[1] and len(made[0]) > 3
+
+
+def test_ids_of_any_characters_come_back(spark, tmp_path):
+    rows = [("a\r\n\r\nb", "u", "x" * 2000), ("<urn:é>", "u", "x" * 2000), ("%41", "u", "small"), ("z z", "u", None)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string"), folder=f"file://{tmp_path}/w").collect()
+    assert {r.page_id for r in got} == {r[0] for r in rows}
+
+
+def plain_repeats(docs, least=50):
+    """Words inside runs of ``least`` or more that stand in another document too."""
+    at = defaultdict(list)
+    for d, w in docs.items():
+        for i in range(len(w) - least + 1):
+            at[tuple(w[i : i + least])].append((d, i))
+    out = defaultdict(set)
+    for places in at.values():
+        if len({d for d, _ in places}) > 1:
+            for d, i in places:
+                out[d] |= set(range(i, i + least))
+    return out
+
+
+def test_repeats_like_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"v{k}" for k in range(400)]
+    fresh = lambda n: [vocabulary[min(399, int(rng.paretovariate(0.6)))] for _ in range(n)]
+    shared = [fresh(rng.randint(50, 140)) for _ in range(25)]
+    docs = {}
+    for i in range(300):
+        w = fresh(rng.randint(5, 120))
+        for p in rng.sample(shared, rng.choice([0, 0, 1, 1, 2])):
+            cut_ = rng.randint(0, max(0, len(p) - 50)) if rng.random() < 0.3 else 0
+            w += p[cut_:] * rng.choice([1, 1, 1, 2]) + fresh(rng.randint(0, 60))
+        docs[i] = w
+    want = plain_repeats(docs)
+    got = {r.doc_id: {k for s in r.spans for k in range(s.s, s.e)} for r in passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()}
+    covered = sum(len(want[i] & got[i]) for i in docs)
+    assert covered / sum(map(len, want.values())) >= 0.98
+    assert all(got[i] == set() for i in docs if i not in want and len(docs[i]) < 50)
+
+
+def test_fuzzy_passages_are_found(spark):
+    rng = random.Random(13)
+    fresh = lambda n: [f"u{rng.randrange(2000)}" for _ in range(n)]
+    docs, edits = [], {}
+    for i in range(0, 600, 2):
+        shared = fresh(80)
+        n = (2, 5, 8)[i // 2 % 3]
+        edited = list(shared)
+        for k in rng.sample(range(80), n):
+            edited[k] = "edit"
+        docs += [(i, " ".join(fresh(70) + shared + fresh(50))), (i + 1, " ".join(fresh(30) + edited + fresh(90)))]
+        edits[i] = n
+    got = {r.doc_id: r.n_dup_words for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for n in (2, 5, 8):
+        assert np.mean([got[i] >= 50 and got[i + 1] >= 50 for i, m in edits.items() if m == n]) >= 0.9, n

@@ -1,11 +1,13 @@
 """The pipeline against a plain version, stage by stage."""
 
+import re
+
 import duckdb
 import pandas as pd
 import pytest
 
 import corpus_pipeline
-from graphquarry.llm import decontam, queries, secretscan, simhash
+from graphquarry.llm import queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,40 +21,84 @@ def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "decontamination", "secret_masking", "source_mixing"]
 
 
-def test_run_like_a_plain_version(spark, docs):
-    got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
-    con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
-    kept = {r[0] for r in con.execute(f"select doc_id from ({queries.ORACLE_SQL['op4_quality_rules']}) where kept").fetchall()}
-    rows = {r.doc_id: r.asDict() for r in docs.collect() if r.doc_id in kept}
-    fps = {i: simhash.fingerprint(r["text"]) for i, r in rows.items()}
-    at = {i: i for i in rows}
+def low(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def plain_groups(texts, alike=0.8):
+    """Least member by member, of texts linked where their sets of five-word shingles are alike."""
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    at = {i: i for i in texts}
 
     def find(x):
         while at[x] != x:
             x = at[x]
         return x
 
-    for a in rows:
-        for b in rows:
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 4 and find(a) != find(b):
+    for a in texts:
+        for b in texts:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= alike * len(sets[a] | sets[b])) and find(a) != find(b):
                 x, y = sorted((find(a), find(b)))
                 at[y] = x
-    rows = {i: r for i, r in rows.items() if find(i) == i}
-    items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
-    automaton = decontam.ItemAutomaton(10).build([(str(r.item_id), decontam.words_of(r.text)) for r in items])
+    return {i: find(i) for i in texts}
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_decontaminated(text, windows):
+    """text without its runs of words inside windows; None if those are over half of all."""
+    found = list(WORD.finditer(low(text)))
+    words, hit = [m[0] for m in found], set()
+    for n in {len(w) for w in windows}:
+        for a in range(len(words) - n + 1):
+            if tuple(words[a : a + n]) in windows:
+                hit |= set(range(a, a + n))
+    if 2 * len(hit) > len(words):
+        return None
+    out, at = [], 0
+    for k in sorted(hit):
+        if k - 1 not in hit:
+            out.append(text[at : found[k].start()])
+        at = found[k].end()
+    return "".join([*out, text[at:]])
+
+
+def plain_masked(text):
+    """text with what the three base patterns find replaced, of assignments only the value."""
+    spans = [m.span(2) for m in re.finditer(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.ASCII) if len(m[2]) >= 12]
+    spans += [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    spans += [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    out, at = [], 0
+    for a, z in sorted(spans):
+        if a >= at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, z)
+    return "".join([*out, text[at:]])
+
+
+def test_run_like_a_plain_version(spark, docs):
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    kept = {r[0] for r in con.execute(f"select doc_id from ({queries.ORACLE_SQL['op4_quality_rules']}) where kept").fetchall()}
+    rows = {r.doc_id: r.asDict() for r in docs.collect() if r.doc_id in kept}
+    group = plain_groups({i: r["text"] for i, r in rows.items()})
+    rows = {i: r for i, r in rows.items() if group[i] == i}
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = WORD.findall(low(r.text or ""))
+        n = min(10, len(w))
+        windows |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1 if n else 0)}
     for i, r in list(rows.items()):
-        words = decontam.words_of(r["text"])
-        spans, _ = automaton.scan(words)
-        if sum(z - a for a, z in spans) > 0.5 * len(words):
+        left = plain_decontaminated(r["text"], windows)
+        if left is None:
             del rows[i]
-            continue
-        b, at_, parts = r["text"].encode(), 0, []
-        for a, z in decontam._char_spans(r["text"], spans):
-            parts.append(b[at_:a])
-            at_ = z
-        r["text"] = b"".join([*parts, b[at_:]]).decode()
-        r["text"] = secretscan.masked(r["text"], secretscan.find_secrets(r["text"]))
+        else:
+            r["text"] = plain_masked(left)
     con.execute("drop view documents")
     con.register("documents", pd.DataFrame(list(rows.values())))
     mixed = con.execute(f"select doc_id, size, source_size, target, taken from ({queries.ORACLE_SQL['op8_mixing']}) where taken > 0").fetchall()
