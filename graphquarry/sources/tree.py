@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.text import line_count
+from ..functions.vocab import IGNORED_DIRS
+from ..storage import cut
 from . import parsers
 from .schemas import PARSED
 
@@ -52,30 +55,75 @@ def ignored_by(path: Column, patterns: list[str]) -> Column:
     return out
 
 
-def read_tree(spark: SparkSession, root: str, *, ignore: list[str] | None = None, exclude: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+def _listed(batches, uri: str, exclude: tuple[str, ...]):
+    """Entries of directories: path, is_dir, size, mtime, rules, from (path, rules); ignored ones and what is below them are left out.
+
+    rules are the lines of ignore files above, as JSON of [directory, line]; a directory's own come after.
+    """
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(uri)
+    base = base.rstrip("/")
+    never = frozenset(IGNORED_DIRS)
+
+    def lines(path: str) -> list[str]:
+        with store.open_input_file(path) as f:
+            return f.read().decode("utf-8", "replace").splitlines()
+
+    for b in batches:
+        out = []
+        for at, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            found = store.get_file_info(fs.FileSelector(f"{base}/{at}".rstrip("/"), allow_not_found=True))
+            rules = json.loads(text)
+            own = [i.path for i in found if i.base_name == ".gitignore" and i.type == fs.FileType.File]
+            rules += [[at, x] for x in (lines(own[0]) if own else [])]
+            parsed = [(d, r) for d, x in rules if (r := ignore_rule(x))]
+            rules = json.dumps(rules)
+            for i in found:
+                path, is_dir = f"{at}/{i.base_name}".lstrip("/"), i.type == fs.FileType.Directory
+                spelt, ignored = path + "/" * is_dir, False
+                for d, (pattern, back) in parsed:
+                    if re.match(pattern, spelt[len(d) :].lstrip("/")):
+                        ignored = not back
+                if not ignored and not (is_dir and i.base_name in never) and not f"{path}/".startswith(exclude):
+                    out.append((path, is_dir, i.size or 0, int(i.mtime_ns // 1_000_000_000) if i.mtime_ns else 0, rules if is_dir else None))
+        kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string())
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["path", "is_dir", "size", "mtime", "rules"])
+
+
+def list_tree(spark: SparkSession, root: str, *, ignore: list[str] | None = None, exclude: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """path, size, mtime of the files below root that no ignore file or list leaves out.
+
+    Directories are listed by tasks, a level of the tree at a time, so the driver holds no names.  The
+    ignore file of each directory holds for what is below it.
+    """
+    uri = root if "://" in root else os.path.abspath(root)
+    out = tuple(d.strip("/") + "/" for d in exclude or [])
+    level = spark.createDataFrame([("", json.dumps([["", x] for x in ignore or []]))], "path string, rules string")
+    files = None
+    while True:
+        spread = level.repartition(partitions or spark.sparkContext.defaultParallelism)
+        found = cut(spread.mapInArrow(lambda it: _listed(it, uri, out), "path string, is_dir boolean, size long, mtime long, rules string"))
+        here = found.filter("not is_dir").select("path", "size", "mtime")
+        files = here if files is None else files.unionByName(here)
+        level = found.filter("is_dir").select("path", "rules")
+        if level.isEmpty():
+            return files
+
+
+def read_tree(spark: SparkSession, root: str, *, ignore: list[str] | None = None, exclude: list[str] | None = None, partitions: int | None = None, unreadable: bool = False) -> DataFrame:
     """path (relative), content, size, mtime of the files below root that are text and not ignored.
 
-    root is a local path or a URI that pyarrow's file systems know.  Names are listed by the driver,
-    since Spark's own readers pass over names that begin with a dot or an underscore; contents are
-    read by tasks, and only of files that the patterns keep.  ``ignore`` are patterns of an ignore
-    file at the root (its own is read too); ``exclude`` are relative directories left out.  Files
-    that aren't UTF-8, or are gone when read, are left out.
+    root is a local path or a URI that pyarrow's file systems know; Spark's own readers would pass over
+    names that begin with a dot or an underscore.  ``ignore`` are patterns of an ignore file at the root
+    (those of all directories are read too); ``exclude`` are relative directories left out.  Files that
+    aren't UTF-8 are left out, or have a null content with ``unreadable``; files gone when read are left out.
     """
     from pyarrow import fs
 
-    store, base = fs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
-    listed = [i for i in store.get_file_info(fs.FileSelector(base, recursive=True)) if i.type == fs.FileType.File]
-    start = len(base.rstrip("/")) + 1
-    rows = [(i.path[start:], i.size, int(i.mtime_ns // 1_000_000_000) if i.mtime_ns else 0) for i in listed]
-    patterns = list(ignore or [])
-    if any(r[0] == ".gitignore" for r in rows):
-        with store.open_input_file(f"{base}/.gitignore") as f:
-            patterns += f.read().decode("utf-8", "replace").splitlines()
-    path = F.col("path")
-    keep = ~paths.ignored_dir(path) & ~paths.ignored_file(path) & ~ignored_by(path, patterns)
-    for d in exclude or []:
-        keep = keep & ~F.startswith(path, F.lit(d.strip("/") + "/"))
-    kept = spark.createDataFrame(rows, "path string, size long, mtime long").filter(keep)
+    listed = list_tree(spark, root, ignore=ignore, exclude=exclude, partitions=partitions)
+    kept = listed.filter(~paths.ignored_file(F.col("path")))
     uri = root if "://" in root else os.path.abspath(root)
 
     def read(batches):
@@ -85,12 +133,15 @@ def read_tree(spark: SparkSession, root: str, *, ignore: list[str] | None = None
                 try:
                     with store.open_input_stream(f"{base}/{p}", compression=None) as f:
                         text = f.read().decode("utf-8")
-                except (UnicodeDecodeError, FileNotFoundError):
+                except FileNotFoundError:
                     continue
-                yield pa.RecordBatch.from_pydict({"path": [p], "content": [text], "size": pa.array([size], pa.int64()), "mtime": pa.array([mtime], pa.int64())})
+                except UnicodeDecodeError:
+                    text = None
+                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([text], pa.string()), pa.array([size], pa.int64()), pa.array([mtime], pa.int64())], names=["path", "content", "size", "mtime"])
 
     spread = kept.repartition(partitions or spark.sparkContext.defaultParallelism)
-    return spread.mapInArrow(read, "path string, content string, size long, mtime long")
+    out = spread.mapInArrow(read, "path string, content string, size long, mtime long")
+    return out if unreadable else out.filter("content is not null")
 
 
 def described(tree: DataFrame) -> DataFrame:

@@ -95,6 +95,59 @@ def test_refresh(spark, app, tmp_path):
     assert index.is_stale(None, "a", "a") and index.is_stale(301, "a", "a") and index.is_stale(1, "b", "a") and not index.is_stale(1, "a", "a")
 
 
+def shown(rel, kinds=("contains", "calls", "tests")):
+    """Edges by names instead of ids."""
+    path = {r.id: r.path for r in rel["files"].collect()}
+    name = {r.id: (path[r.file_id], r.name) for r in rel["symbols"].collect()}
+    return sorted(str((r.kind, path.get(r.source_file_id), name.get(r.source_symbol_id), path.get(r.target_file_id), name.get(r.target_symbol_id), r.target_name)) for r in rel["edges"].collect() if r.kind in kinds)
+
+
+def test_refresh_like_a_new_index(spark, app):
+    rel, _ = app
+    files = dict(APP)
+    files["services.py"] += "\n\ndef lookup(name):\n    return User()\n"
+    files["tests/test_models.py"] = "from models import User\n\n\ndef test_user():\n    assert User().find('a')\n"
+    files["lookup.py"] = "def authenticate_user():\n    return 1\n"
+    del files["routes.py"]
+    old = {r.path: r.mtime for r in rel["files"].collect()}
+    stamps = {p: 99 if p == "services.py" else old.get(p, 9) for p in files}
+    now = spark.createDataFrame([(p, c, len(c), stamps[p]) for p, c in files.items()], "path string, content string, size long, mtime long")
+    new = index.refresh(rel, now)
+    whole = index.relations(tree.parsed(tree.described(now)))
+    whole["edges"] = index.edges(whole)
+    assert shown(new) == shown(whole)
+    ids = [r.id for r in new["edges"].collect()]
+    assert len(set(ids)) == len(ids)
+    before = {r.id: str(r) for r in rel["edges"].collect()}
+    assert any(before.get(r.id) == str(r) for r in new["edges"].collect())
+
+
+def test_running_numbers(spark):
+    d = spark.range(500).select((F.col("id") * 7919 % 500).alias("k"), (F.col("id") % 7).alias("n")).repartition(6)
+    rows = sorted((r.k, r.id, r.n, r.before) for r in index.numbered(d, "k", start=10, running={"before": "n"}).collect())
+    total = 0
+    for k, i, n, before in rows:
+        assert i == k + 10 and before == total
+        total += n
+
+
+def test_counts_of_resolutions(spark):
+    symbols = spark.createDataFrame([(1, 1, "a"), (2, 1, "a"), (3, 2, "a"), (4, 2, "b")], "id long, file_id long, name string")
+    calls = spark.createDataFrame([(1, 9, "a"), (2, 9, "a"), (3, 9, "b"), (4, 8, "c")], "id long, caller_symbol_id long, callee_name string")
+    edges = index.resolved_calls(calls, symbols)
+    want = edges.groupBy("source_symbol_id", "target_file_id", "target_name").agg(F.count("*").alias("n"), F.count_distinct("target_symbol_id").alias("n_targets"))
+    assert sorted(map(str, index.resolution_counts(calls, symbols).collect())) == sorted(map(str, want.collect()))
+
+
+def test_terms_in_blocks(spark, monkeypatch):
+    symbols = spark.createDataFrame([(i, f"name_{i}") for i in range(20)], "id long, name string")
+    terms = [(f"_{i}",) for i in range(12)]
+    whole = retrieve.symbols_like(spark.createDataFrame(terms, "term string"), symbols).collect()
+    monkeypatch.setattr(retrieve, "MOST_TERMS", 3)
+    parts = retrieve.symbols_like(spark.createDataFrame(terms, "term string"), symbols)
+    assert sorted(parts.collect()) == sorted(whole) and len(whole) > 12
+
+
 def test_trace(spark):
     symbols = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "b")], "id long, name string")
     calls = spark.createDataFrame([(1, "b"), (2, "c"), (3, "a"), (4, "b"), (1, "a")], "caller_symbol_id long, callee_name string")
@@ -242,3 +295,32 @@ def test_evaluation(spark):
     assert evaluate.interleaved(["a"]) == [("a", "with"), ("a", "without")]
     sched = spark.createDataFrame(list(enumerate("abba")), "n int, c string")
     assert [r.n for r in evaluate.adjacent_repeats(sched, "n", "c").collect()] == [2]
+
+
+def test_sinks_and_states(spark, answers, tmp_path):
+    from graphquarry.sources import logs, sinks
+
+    results = answers[1]
+    p = context.packaged(results, mode="auto")
+    assert sinks.write_packages(p, str(tmp_path / "out"), "both") == [f"{tmp_path}/out/{x}" for x in ("text", "whole", "json")]
+    assert spark.read.json(f"{tmp_path}/out/json").count() == spark.read.json(f"{tmp_path}/out/text").count() == results.count()
+    assert 0 < spark.read.json(f"{tmp_path}/out/whole").count() == p.filter("mode = 'brief'").count()
+    with pytest.raises(ValueError):
+        sinks.write_packages(p, str(tmp_path), "xml")
+    assert session.load_last(spark, f"{tmp_path}/none").count() == 0
+    session.save_last(spark.createDataFrame([("s", ["a"], [], "h")], "session string, kws array<string>, subsystems array<string>, output_hash string"), f"{tmp_path}/last")
+    assert session.load_last(spark, f"{tmp_path}/last").first().session == "s"
+    for name in ("round2/b.jsonl", "round1/z.jsonl", "a.jsonl", "round1/c.txt"):
+        f = tmp_path / "logs" / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("{}")
+    assert [x.split("/logs/")[1] for x in logs.log_files(spark, f"file://{tmp_path}/logs")] == ["round1/z.jsonl", "round2/b.jsonl", "a.jsonl"]
+
+
+def test_nested_ignore_files_and_unreadable(spark, tmp_path):
+    write(tmp_path, {"a.py": "x = 1\n", ".gitignore": "*.log\nbuild/\n", "x.log": "", "build/b.py": "", "in/.gitignore": "skip.py\n!keep.log\n", "in/skip.py": "", "in/keep.log": "k", "in/deep/skip.py": "", "skip.py": "y = 2\n", "node_modules/m.js": "", "out/c.py": ""})
+    (tmp_path / "bad.py").write_bytes(b"\xff\xfe\x00")
+    got = {r.path for r in tree.read_tree(spark, str(tmp_path), exclude=["out"], partitions=2).collect()}
+    assert got == {"a.py", ".gitignore", "in/.gitignore", "in/keep.log", "skip.py"}
+    every = tree.read_tree(spark, str(tmp_path), exclude=["out"], partitions=2, unreadable=True)
+    assert [r.path for r in every.filter("content is null").collect()] == ["bad.py"]
