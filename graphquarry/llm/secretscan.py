@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside
+from .common import aside, cut, discard
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -237,8 +237,18 @@ def learned_words(docs: DataFrame, *, text: str = "text", most: int = 20_000) ->
                 seen.update(own)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
 
-    counted = docs.select(text).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r.w for r in counted.filter("n > 1").orderBy(F.desc("n"), "w").limit(most).collect()]
+    counted = docs.select(text).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1")
+    # only words from the step of counts on that fills the list go into the sort, so its tasks send few more than ``most`` in all
+    step = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2("n") * 16).cast("long"))
+    counted = cut(counted.withColumn("step", step))
+    least, left = 0, most
+    for r in sorted(counted.groupBy("step").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.step):
+        least, left = r.step, left - r.words
+        if left <= 0:
+            break
+    words = [r.w for r in counted.filter(F.col("step") >= least).orderBy(F.desc("n"), "w").limit(most).collect()]
+    discard(counted)
+    return words
 
 
 def known_ranks(words: list[str]) -> dict[str, int]:
