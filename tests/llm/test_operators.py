@@ -711,3 +711,15 @@ def test_fuzzy_passages_are_found(spark):
     got = {r.doc_id: r.n_dup_words for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     for n in (2, 5, 8):
         assert np.mean([got[i] >= 50 and got[i + 1] >= 50 for i, m in edits.items() if m == n]) >= 0.9, n
+
+
+def test_sides_dealt_to_several_tasks_find_the_same_passages(spark, monkeypatch):
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = [text(70) for _ in range(12)]
+    docs = [(0, " ".join(f"{p} {text(30)}" for p in shared))] + [(i + 1, f"{text(40)} {p} {text(20)}") for i, p in enumerate(shared)] + [(20, None), (21, "")]
+    frame = spark.createDataFrame(docs + docs[:2], "doc_id long, text string")
+    rows = lambda: sorted(map(str, passages.repeated_passages(frame).collect()))
+    whole = rows()
+    monkeypatch.setattr(passages, "SIDES", 2)
+    assert rows() == whole and sum("n_dup_words=70" in r for r in whole) >= 12
