@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lmscore, mixing, passages, quality, secretscan, simhash, toxicity, warc
+from . import decontam, divergence, langid, lmscore, mixing, packing, passages, periods, quality, secretscan, simhash, toxicity, warc
+from .common import WORD_REGEX
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -57,7 +58,44 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(docs, items).drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_toxicity, op3_warc, op4_quality_rules, op5_substring_dedup, op6_language_id, op7_lm_scoring, op8_mixing, op9_secret_scan, op10_decontamination)}
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of every tenth document by crc32 the words from some place on go round (a null id: none)."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(f"({WORD_REGEX})"))
+
+    def turned(w):
+        n = F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int")))), " ")
+
+    planted = F.get(F.transform(F.array(words), turned), F.lit(0))
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").rlike(WORD_REGEX), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = periods.periodic_runs(_with_planted_periods(_table(spark, sf_dir, "documents", "doc_id", "text")))
+    run = "struct<length:bigint,start:bigint,period:bigint>"
+    longest = F.array_sort(F.transform("runs", lambda r: F.struct((-r.length).alias("length"), r.start.alias("start"), r.period.alias("period"))))
+    d = d.withColumns({"longest": F.get(longest, F.lit(0)).cast(run), "lines": F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))), "")})
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    exponent = F.expr("1000 * -longest.length div longest.period")
+    return d.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("longest.start").alias("start"), (-F.col("longest.length")).alias("length"), F.col("longest.period").alias("period"), exponent.alias("exponent_milli"), sha("lines").alias("runs_sha256"), sha("collapsed").alias("collapsed_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    d = packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), path("word_bpe_49k.json"))
+    return d.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_dedup, op2_toxicity, op3_warc, op4_quality_rules, op5_substring_dedup, op6_language_id, op7_lm_scoring, op8_mixing, op9_secret_scan, op10_decontamination, op11_periodic_runs, op12_source_divergence, op13_packing)}
 
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -180,5 +218,25 @@ items AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(items.s, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_LETTERS = f"list_filter(string_split_regex({_LOW}, '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+
+_OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LETTERS} AS w FROM documents),
+t AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+lang_size AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+size AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, (1 + 1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT // (size.total + lang_size.v))::HUGEINT AS p, (1 + 1000000000 * (kept.n + 1)::HUGEINT // (lang_size.total + lang_size.v))::HUGEINT AS q
+  FROM g JOIN kept USING (lang) JOIN lang_size USING (lang) JOIN size USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sums.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER FROM terms)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 #: Fingerprints need XXH64, and chains, automata, models and guess costs a loop; tests compare those with plain versions.
-ORACLE_SQL: dict[str, str] = {"op3_warc": _OP3, "op4_quality_rules": _OP4, "op7_lm_scoring": _OP7, "op8_mixing": _OP8, "op10_decontamination": _OP10}
+ORACLE_SQL: dict[str, str] = {"op3_warc": _OP3, "op4_quality_rules": _OP4, "op7_lm_scoring": _OP7, "op8_mixing": _OP8, "op10_decontamination": _OP10, "op12_source_divergence": _OP12}
