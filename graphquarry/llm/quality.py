@@ -1,11 +1,14 @@
 """Quality rules with adaptive thresholds.
 
 Every document is measured once.  The measures go into mergeable quantile sketches, one per language,
-source and measure: a sketch is a count per bucket of a fixed integer grid (exact below 32, then 16
-buckets to each power of two, so a quantile is off by 1/16 at most), and sketches merge by adding
-counts.  A group of fewer than ``min_docs`` documents borrows its language's sketch, and a small
-language the sketch of everything.  The fences taken from the sketches are joined to the documents.
-Nothing here depends on the order of rows, so reruns agree.
+source and measure: a sketch is a count per bucket of a fixed integer grid (exact below 128, then 64
+buckets to each power of two, so a quantile is off by 1/64 at most), and sketches merge by adding
+counts.  A group of too few documents borrows its language's sketch, and a small language the sketch
+of everything.  The fences taken from the sketches are joined to the documents.
+
+Most measures are zero in most documents, so an upper fence takes its spread from the values above
+zero; where a stretch in which a group has nothing parts a few documents from all others, the fence
+stands in that gap.  Nothing here depends on the order of rows, so reruns agree.
 """
 
 from __future__ import annotations
@@ -18,9 +21,12 @@ from .common import WHITESPACE, aside, cut, utf8
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Measures as integers: (name, parts per thousand of ..., the least spread a fence allows for).
-MEASURES = {"symbol_rate": 60, "dup_line_rate": 40, "repeat_rate": 60, "word_length": 400}
-GRID = 16
+#: Measures as integers, per thousand words.
+MEASURES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length")
+#: Buckets to a power of two, and the bits of the first number that isn't its own bucket, less one.
+GRID, EXACT_BITS = 64, 7
+#: How many times as high the far end of a gap is, and how many of four documents are below it, at least.
+GAP, GAP_QUARTERS = 64, 3
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -72,7 +78,8 @@ def measures() -> dict[str, Column]:
 
 def bucket(v: str) -> str:
     """SQL for the grid bucket of a non-negative integer; buckets keep the order of values."""
-    return f"case when {v} < {2 * GRID} then {v} else {GRID} * (length(bin({v})) - 5) + {v} div cast(pow(2, length(bin({v})) - 5) as bigint) end"
+    e = f"(length(bin({v})) - {EXACT_BITS})"
+    return f"case when {v} < {2 * GRID} then {v} else {GRID} * {e} + {v} div cast(pow(2, {e}) as bigint) end"
 
 
 def bucket_low(b: str) -> str:
@@ -92,28 +99,38 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """keys, measure, docs, and the low ends of the buckets that hold the 10th, 50th and 90th hundredth."""
+    """keys, measure, docs, above, and what fences are made of, each the end of a bucket.
+
+    q10 and q50 are the low end of the 10th and the high end of the 50th hundredth of all values; p50 and
+    p90 the low end of the 50th and the high end of the 90th of those above zero, ``above`` in number; gap
+    is the middle, by ratio, of the first gap, null if there is none.
+    """
     w = Window.partitionBy(*keys, "measure")
-    run = sketch.withColumns({"upto": F.sum("n").over(w.orderBy("bucket")), "docs": F.sum("n").over(w)}).withColumn("low", F.expr(bucket_low("bucket")))
-    at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("docs"), F.col("low")))
-    return run.groupBy(*keys, "measure").agg(F.max("docs").alias("docs"), at(10).alias("q10"), at(50).alias("q50"), at(90).alias("q90"))
+    run = sketch.withColumns({"low": F.expr(bucket_low("bucket")), "high": F.expr(f"{bucket_low('(bucket + 1)')} - 1")})
+    run = run.withColumns({"upto": F.sum("n").over(w.orderBy("bucket")), "docs": F.sum("n").over(w), "zeros": F.sum(F.when(F.col("bucket") == 0, F.col("n")).otherwise(0)).over(w), "under": F.lag("high").over(w.orderBy("bucket"))})
+    at = lambda p, end: F.min(F.when(100 * F.col("upto") >= p * F.col("docs"), F.col(end)))
+    above = lambda p, end: F.min(F.when((F.col("bucket") > 0) & (100 * (F.col("upto") - F.col("zeros")) >= p * (F.col("docs") - F.col("zeros"))), F.col(end)))
+    apart = (1 + F.col("low") >= GAP * (1 + F.col("under"))) & (4 * (F.col("upto") - F.col("n")) >= GAP_QUARTERS * F.col("docs"))
+    gap = F.min(F.when(apart, F.floor(F.sqrt(((1 + F.col("low")) * (1 + F.col("under"))).cast("double")))))
+    return run.groupBy(*keys, "measure").agg(F.max("docs").alias("docs"), (F.max("docs") - F.max("zeros")).alias("above"), at(10, "low").alias("q10"), at(50, "high").alias("q50"), above(50, "low").alias("p50"), above(90, "high").alias("p90"), gap.alias("gap"))
 
 
-def fences(sketch: DataFrame, *, min_docs: int = 50, reach: int = 5) -> DataFrame:
+def fences(sketch: DataFrame, *, min_docs: int = 50, min_above: int = 20, reach: int = 5) -> DataFrame:
     """lang, source and per measure the lowest and highest value that passes.
 
-    A fence stands ``reach`` spreads beyond the median; the spread is the distance from the median
-    to the 10th (or, below, the 90th) hundredth, and a set least width keeps a quiet source from
-    rejecting ordinary documents.  Only word length has a lower fence.
+    The upper fence stands in the gap if there is one, else ``reach`` spreads beyond the median of the values above zero;
+    the spread is the distance from there to their 90th hundredth.  Only word length has a lower fence, ``reach``
+    distances from the median to the 10th hundredth below the median.  A group with fewer than ``min_docs`` documents,
+    or ``min_above`` above zero, takes its language's sketch, and a language with fewer that of everything.  A
+    measure that is zero everywhere has no fence.
     """
     pair, lang, whole = quantiles(sketch, "lang", "source"), quantiles(merged(sketch, "lang"), "lang"), quantiles(merged(sketch))
     a, b, c = pair.alias("a"), lang.alias("b"), whole.alias("c")
     both = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.measure") == F.col("b.measure"))).join(c, F.col("a.measure") == F.col("c.measure"))
-    q = lambda x: F.when(F.col("a.docs") >= min_docs, F.col(f"a.{x}")).when(F.col("b.docs") >= min_docs, F.col(f"b.{x}")).otherwise(F.col(f"c.{x}"))
-    got = both.select("a.lang", "a.source", "a.measure", q("q10").alias("q10"), q("q50").alias("q50"), q("q90").alias("q90"))
-    least = F.create_map(*(F.lit(x) for kv in MEASURES.items() for x in kv))[F.col("measure")]
-    hi = F.col("q50") + reach * F.greatest(F.col("q50") - F.col("q10"), least)
-    lo = F.when(F.col("measure") == "word_length", F.col("q50") - F.expr("greatest(q90 - q50, 400)") * reach).otherwise(F.lit(0))
+    q = lambda x, n, least: F.when(F.col(f"a.{n}") >= least, F.col(f"a.{x}")).when(F.col(f"b.{n}") >= least, F.col(f"b.{x}")).otherwise(F.col(f"c.{x}")).alias(x)
+    got = both.select("a.lang", "a.source", "a.measure", *(q(x, "docs", min_docs) for x in ("q10", "q50", "gap")), *(q(x, "above", min_above) for x in ("p50", "p90")))
+    hi = F.coalesce("gap", F.col("p50") + reach * (F.col("p90") - F.col("p50")), F.lit(1 << 62))
+    lo = F.when(F.col("measure") == "word_length", F.col("q50") - reach * (F.col("q50") - F.col("q10"))).otherwise(F.lit(0))
     got = got.select("lang", "source", "measure", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
     one = lambda m, x: F.max(F.when(F.col("measure") == m, F.col(x))).alias(f"{x}_{m}")
     return got.groupBy("lang", "source").agg(*(one(m, x) for m in MEASURES for x in ("lo", "hi")))

@@ -115,18 +115,21 @@ def _fence_sql() -> str:
     per = {"symbol_rate": "n_symbols", "dup_line_rate": "n_dup_lines", "repeat_rate": "n_repeat_words", "word_length": "word_chars"}
     value = {m: f"((1000 * {c}) // greatest(n_words, 1))" for m, c in per.items()}
     grid = quality.GRID
-    e = "(length(bin(v)) - 5)"
+    e = f"(length(bin(v)) - {quality.EXACT_BITS})"
     bucket = f"CASE WHEN v < {2 * grid} THEN v ELSE {grid} * {e} + v // (1::BIGINT << {e}::INTEGER) END"
-    low = f"CASE WHEN bucket < {2 * grid} THEN bucket ELSE (bucket - {grid} * (bucket // {grid} - 1)) * (1::BIGINT << (bucket // {grid} - 1)::INTEGER) END"
+    low = lambda b: f"CASE WHEN {b} < {2 * grid} THEN {b} ELSE ({b} - {grid} * ({b} // {grid} - 1)) * (1::BIGINT << ({b} // {grid} - 1)::INTEGER) END"
 
     def quantiles(name: str, source: str, keys: str) -> str:
         by = f"{keys}, measure" if keys else "measure"
-        at = lambda p: f"min(CASE WHEN 100 * upto >= {p} * docs THEN low END)"
-        return f"""{name}_run AS (SELECT {by}, {low} AS low, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS docs FROM {source}),
-{name} AS (SELECT {by}, max(docs) AS docs, {at(10)} AS q10, {at(50)} AS q50, {at(90)} AS q90 FROM {name}_run GROUP BY {by})"""
-
-    least = " ".join(f"WHEN '{m}' THEN {x}" for m, x in quality.MEASURES.items())
-    q = lambda x: f"CASE WHEN a.docs >= 50 THEN a.{x} WHEN b.docs >= 50 THEN b.{x} ELSE c.{x} END AS {x}"
+        at = lambda p, end: f"min(CASE WHEN 100 * upto >= {p} * docs THEN {end} END)"
+        above = lambda p, end: f"min(CASE WHEN bucket > 0 AND 100 * (upto - zeros) >= {p} * (docs - zeros) THEN {end} END)"
+        apart = f"1 + low >= {quality.GAP} * (1 + under) AND 4 * (upto - n) >= {quality.GAP_QUARTERS} * docs"
+        return f"""{name}_ends AS (SELECT *, {low('bucket')} AS low, {low('(bucket + 1)')} - 1 AS high FROM {source}),
+{name}_run AS (SELECT {by}, bucket, n, low, high, sum(n) OVER w AS upto, sum(n) OVER (PARTITION BY {by}) AS docs, sum(CASE WHEN bucket = 0 THEN n ELSE 0 END) OVER (PARTITION BY {by}) AS zeros, lag(high) OVER w AS under FROM {name}_ends WINDOW w AS (PARTITION BY {by} ORDER BY bucket)),
+{name} AS (SELECT {by}, max(docs) AS docs, max(docs) - max(zeros) AS above, {at(10, 'low')} AS q10, {at(50, 'high')} AS q50, {above(50, 'low')} AS p50, {above(90, 'high')} AS p90, min(CASE WHEN {apart} THEN floor(sqrt(((1 + low) * (1 + under))::DOUBLE))::BIGINT END) AS gap FROM {name}_run GROUP BY {by})"""
+
+    q = lambda x, n, least: f"CASE WHEN a.{n} >= {least} THEN a.{x} WHEN b.{n} >= {least} THEN b.{x} ELSE c.{x} END AS {x}"
+    picks = ", ".join([q(x, "docs", 50) for x in ("q10", "q50", "gap")] + [q(x, "above", 20) for x in ("p50", "p90")])
     within = " AND ".join(f"{v} BETWEEN lo_{m} AND hi_{m}" for m, v in value.items())
     wide = ", ".join(f"max(CASE WHEN measure = '{m}' THEN {x} END) AS {x}_{m}" for m in value for x in ("lo", "hi"))
     return f"""
@@ -137,8 +140,8 @@ whole AS (SELECT measure, bucket, sum(n) AS n FROM sketch GROUP BY ALL),
 {quantiles('qa', 'sketch', 'lang, source')},
 {quantiles('qb', 'by_lang', 'lang')},
 {quantiles('qc', 'whole', '')},
-picked AS (SELECT a.lang, a.source, a.measure, {q('q10')}, {q('q50')}, {q('q90')} FROM qa a JOIN qb b ON a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN qc c ON c.measure = a.measure),
-fence AS (SELECT lang, source, measure, CASE WHEN measure = 'word_length' THEN q50 - greatest(q90 - q50, 400) * 5 ELSE 0 END AS lo, q50 + 5 * greatest(q50 - q10, CASE measure {least} END) AS hi FROM picked),
+picked AS (SELECT a.lang, a.source, a.measure, {picks} FROM qa a JOIN qb b ON a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN qc c ON c.measure = a.measure),
+fence AS (SELECT lang, source, measure, CASE WHEN measure = 'word_length' THEN q50 - 5 * (q50 - q10) ELSE 0 END AS lo, coalesce(gap, p50 + 5 * (p90 - p50), {1 << 62}) AS hi FROM picked),
 fences AS (SELECT lang, source, {wide} FROM fence GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({within}, true) AS kept
 FROM base LEFT JOIN fences ON base.lang IS NOT DISTINCT FROM fences.lang AND base.source IS NOT DISTINCT FROM fences.source
