@@ -6,8 +6,10 @@ characters, keyboard walks and sequences, or spans tried by brute force.  If eve
 needs ``min_log10`` guesses, the value is a secret of kind ``guess``.
 
 The words that guessers try are a short list of fixed ones, and after those the corpus's own commonest
-words, counted over all documents (``learned_words``): what stands all over the corpus as a word is
-cheap to guess.  Names of code, made of such words, are references and not values.
+words (``learned_words``): what stands between many different words, and not at a credential's place, is
+a word of the language and cheap to guess.  Copies of a document show a word between the same words again,
+so they teach nothing, however many there are.  Names of code, made of such words, are references and not
+values, and an address is as secret as its most secret part.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, cut, discard
+from .common import aside, cut, discard, utf8
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -37,8 +40,14 @@ SHORT = re.compile(r"[^\s\"'`,;<>()\[\]{}]*")
 NAME = re.compile(r"[$%@{]*[A-Za-z]+(?:(?:\.|->|::|/|-|_)+[A-Za-z]+)*[}]*")
 HUMP = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 CALL = re.compile(r"[A-Za-z_][\w.:>-]*(?:[(\[{][^()\[\]{}]*[)\]}]*)+")
+#: An address, its host, where its parts end, and parts that are plain words.
+ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
+HOST = re.compile(r"(?:[\w-]+\.)*[\w-]+(?::\d+)?(?=[/?#]|$)")
+PARTS = re.compile(r"[/:@?&=#]+")
+PLAIN = re.compile(r"[A-Z]?[a-z]{1,15}(?:[-_.][A-Za-z]{1,15})*|[0-9]{1,6}")
 TOKEN = re.compile(r"(?=.*(?:[0-9]|[a-z][A-Z]|[A-Z]{2}))", re.DOTALL)
 CLOSERS = {")": "(", "]": "[", "}": "{", ">": "<"}
+CUE = re.compile(rb"(?i:pass|pwd|secret|token|key|credential|auth|bearer|basic)")
 CUES = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -165,6 +174,16 @@ def is_name(value: str, ranks: dict[str, int]) -> bool:
     return bool(NAME.fullmatch(value)) and all(h.lower() in ranks for h in HUMP.findall(value))
 
 
+def cost_of(value: str, ranks: dict[str, int]) -> float:
+    """log10 of the guesses for a value; for an address, those for its dearest part, the scheme and host's words left out."""
+    if not ADDRESS.match(value):
+        return log10_guesses(value, ranks)
+    rest = value.split("://", 1)[1]
+    host = HOST.match(rest)
+    parts = [p for p in PARTS.split(rest[host.end() :] if host else rest) if p]
+    return max((log10_guesses(p, ranks) for p in parts if not PLAIN.fullmatch(p)), default=0.0)
+
+
 def find_secrets(text: str | None, min_log10: float = 10.0, min_length: int = 8, ranks: dict[str, int] = RANKS) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, by start and then by kind as in KINDS; null: none.
 
@@ -193,7 +212,7 @@ def find_secrets(text: str | None, min_log10: float = 10.0, min_length: int = 8,
                 nth += 1
             if z <= covered or text[a - 1] not in "\"'`" and is_name(text[a:judged], ranks):
                 continue
-            if log10_guesses(text[a:judged], ranks) >= min_log10:
+            if cost_of(text[a:judged], ranks) >= min_log10:
                 found.append((a, z, "guess"))
                 at = z
     found.sort(key=lambda x: (x[0], KINDS.index(x[2])))
@@ -217,30 +236,50 @@ def masked(text: str, spans: list[tuple[int, int, str]], mask: str = "[SECRET]")
     return "".join([*parts, text[at:]])
 
 
-def learned_words(docs: DataFrame, *, text: str = "text", most: int = 20_000) -> list[str]:
-    """The ``most`` commonest words of all documents, commonest first; equal counts in order of the alphabet.
+def _places(docs: list[str | None]) -> dict[str, list[int]]:
+    """word: [documents, bits]: one place a document, told by a bit that the words beside it choose; not at a credential's place."""
+    seen: dict[str, list[int]] = {}
+    for t in docs:
+        words = utf8(t).split() if t else []
+        if len(words) < 3:
+            continue
+        own: dict[bytes, int] = {}
+        for w, (before, after) in dict(zip(words[1:], zip(words, words[2:]))).items():
+            if before[-1] not in b":=>" and not CUE.search(before):
+                w = w.strip(b".,;:!?\"'()[]").lower()
+                if WORD_LETTERS[0] <= len(w) <= WORD_LETTERS[1] and w.isalpha():
+                    own[w] = own.get(w, 0) | 1 << (zlib.crc32(after, zlib.crc32(before)) & 63)
+        for w, bits in own.items():
+            got = seen.get(w)
+            if got:
+                got[0] += 1
+                got[1] |= bits
+            else:
+                seen[w] = [1, bits]
+    return seen
+
+
+def learned_words(docs: DataFrame, *, text: str = "text", most: int = 20_000, unlike: int = 24) -> list[str]:
+    """The words that most documents hold, ``most`` at most, of those that stand between many different words; equal counts in order of the alphabet.
 
     A word is a run of 3 to 20 letters a-z in either case that stands by itself between blanks, but for
-    punctuation around it, twice at least.  Counts are added up in the cluster; what comes to the driver,
-    and is sent to the workers, is bounded by ``most``.
+    punctuation around it.  Each document shows one place of it in each spelling, unless the text before
+    it ends like a credential's name or in ``:``, ``=`` or ``>``; the words beside it set one of 64 bits, and a word is
+    learned if ``unlike`` of them are set.  Copies of a text set the same bits, so they can't make a word of
+    what they repeat.  Bits and counts are merged in the cluster; what comes to the driver, and is sent to
+    the workers, is bounded by ``most``.
     """
 
     def count(batches):
         for b in batches:
-            seen: Counter[str] = Counter()
-            for t in b.column(0).to_pylist():
-                own = {}
-                for w, n in Counter((t or "").split()).items():
-                    w = w.strip(".,;:!?\"'()[]").lower()
-                    if WORD_LETTERS[0] <= len(w) <= WORD_LETTERS[1] and w.isascii() and w.isalpha():
-                        own[w] = own.get(w, 0) + n
-                seen.update(own)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
-
-    counted = docs.select(text).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1")
+            seen = _places(b.column(0).to_pylist())
+            n, bits = ([x[k] for x in seen.values()] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(np.array(bits, np.uint64).view(np.int64), pa.int64())], names=["w", "n", "bits"])
+
+    found = docs.select(text).mapInArrow(count, "w string, n long, bits long").groupBy("w").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits")).filter(F.bit_count("bits") >= unlike)
     # only words from the step of counts on that fills the list go into the sort, so its tasks send few more than ``most`` in all
     step = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2("n") * 16).cast("long"))
-    counted = cut(counted.withColumn("step", step))
+    counted = cut(found.select("w", "n", step.alias("step")))
     least, left = 0, most
     for r in sorted(counted.groupBy("step").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.step):
         least, left = r.step, left - r.words

@@ -110,4 +110,4 @@ def test_run_like_a_plain_version(spark, docs):
 
 def test_queries_and_sql_agree_on_names():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
