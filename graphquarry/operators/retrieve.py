@@ -5,7 +5,7 @@ Frames of questions carry query_id; terms carry their place, so first hits keep
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
@@ -13,28 +13,31 @@ from ..functions.scoring import idf
 from ..functions.stem import stem_of
 from ..functions.vocab import FEW_FILES, MAX_HITS, MIN_FUZZY, MIN_PART, MIN_STEM, SPECIFIC_RATIO, STOP_RATIO, STOP_WORDS, SYNONYM_FACTOR, SYNONYMS
 from ..storage import cut
+from .grams import GramIndex, containing, distinct_texts, neighbours, one_edit_apart
 
+#: Relations' columns that are searched for terms, by the name of their index.
+SEARCHED = {"path": ("files", "path"), "name": ("symbols", "name"), "signature": ("symbols", "signature"), "module": ("imports", "module"), "callee": ("calls", "callee_name")}
+Names = dict[str, GramIndex]
 
-#: Terms that are broadcast at once.
-MOST_TERMS = 10_000
 
+def matched(rows: DataFrame, column: str, terms: DataFrame, texts: GramIndex | None = None, *, wild: bool = True) -> DataFrame:
+    """term and rows' columns: the rows whose column contains a term; found by grams, of an index if one is given."""
+    hits = containing(terms, texts or distinct_texts(rows, column), wild=wild).select("term", "value")
+    return rows.join(hits, text.ascii_lower(F.col(column)) == F.col("value")).drop("value")
 
-def blocks(terms: DataFrame) -> list[DataFrame]:
-    """terms (column term) in parts of about MOST_TERMS rows at most, each to be broadcast; counted once a frame."""
-    if not hasattr(terms, "_blocks"):
-        n = -(-terms.count() // MOST_TERMS)
-        parts = [terms] if n < 2 else [terms.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == k) for k in range(n)]
-        terms._blocks = [F.broadcast(p) for p in parts]
-    return terms._blocks
 
+def indexed_names(rel: dict[str, DataFrame]) -> Names:
+    """Gram indexes of all searched columns of the relations."""
+    return {name: GramIndex.build(distinct_texts(rel[t], c)) for name, (t, c) in SEARCHED.items()}
 
-def matched(rows: DataFrame, terms: DataFrame, condition: Column) -> DataFrame:
-    """rows joined with the terms that the condition finds, a block of terms at a time."""
-    out = None
-    for block in blocks(terms):
-        one = rows.join(block, condition)
-        out = one if out is None else out.unionByName(one)
-    return out
+
+def write_names(names: Names, folder: str) -> None:
+    for name, texts in names.items():
+        texts.write(folder, name)
+
+
+def read_names(spark: SparkSession, folder: str) -> Names:
+    return {name: GramIndex.read(spark, folder, name) for name in SEARCHED}
 
 
 def synonym_table(spark: SparkSession) -> DataFrame:
@@ -57,15 +60,17 @@ def keyword_rows(asks: DataFrame) -> DataFrame:
     return asks.select("query_id", F.posexplode(text.keywords(F.col("ask"))).alias("ord", "kw"))
 
 
-def hit_counts(terms: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """term, file_hits, symbol_hits of distinct terms: one pass over each relation, all terms at once."""
+def hit_counts(terms: DataFrame, files: DataFrame, symbols: DataFrame, names: Names | None = None) -> DataFrame:
+    """term, file_hits, symbol_hits of distinct terms: how many paths and names hold them, all terms at once."""
+    names = names or {}
     known = cut(terms.select("term").distinct())
-    f = matched(files.select(text.ascii_lower(F.col("path")).alias("x")), known, F.contains("x", text.ascii_lower(F.col("term")))).groupBy("term").agg(F.count("*").alias("file_hits"))
-    s = matched(symbols.select(text.ascii_lower(F.col("name")).alias("x")).groupBy("x").agg(F.count("*").alias("n")), known, F.contains("x", text.ascii_lower(F.col("term")))).groupBy("term").agg(F.sum("n").alias("symbol_hits"))
+    hits = lambda texts, c: containing(known, texts, wild=False).groupBy("term").agg(F.sum("n").alias(c))
+    f = hits(names.get("path") or distinct_texts(files, "path"), "file_hits")
+    s = hits(names.get("name") or distinct_texts(symbols, "name"), "symbol_hits")
     return known.join(f, "term", "left").join(s, "term", "left").na.fill(0, ["file_hits", "symbol_hits"])
 
 
-def weighted(kws: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+def weighted(kws: DataFrame, files: DataFrame, symbols: DataFrame, names: Names | None = None) -> DataFrame:
     """query_id, kw, ord, is_synonym, kw_stem, idf of the keywords that aren't too common, for questions specific enough.
 
     Below FEW_FILES files nothing is filtered.  A keyword counts as rare by its own hits or by its
@@ -73,7 +78,7 @@ def weighted(kws: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
     """
     k = kws.withColumn("kw_stem", stem_of(F.col("kw"))).withColumn("search_stem", F.when((F.col("kw_stem") != F.col("kw")) & (F.octet_length("kw_stem") >= MIN_STEM), F.col("kw_stem")))
     terms = k.select(F.explode(F.array_distinct(F.array_compact(F.array("kw", "search_stem")))).alias("term"))
-    hits = hit_counts(terms, files, symbols)
+    hits = hit_counts(terms, files, symbols, names)
     totals = F.broadcast(files.agg(F.count("*").alias("n_files")).crossJoin(symbols.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_symbols"))))
     own = hits.toDF("kw", "fh", "sh")
     by_stem = hits.toDF("search_stem", "sfh", "ssh")
@@ -101,32 +106,31 @@ def _first_hits(df: DataFrame, most: int | None = MAX_HITS) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy("term").orderBy("id"))).filter(F.col("_r") <= most).drop("_r")
 
 
-def files_like(terms: DataFrame, files: DataFrame) -> DataFrame:
+def files_like(terms: DataFrame, files: DataFrame, texts: GramIndex | None = None) -> DataFrame:
     """term, id: files whose path is LIKE the term."""
-    return matched(files.select("id", "path"), terms, text.like_anywhere(F.col("path"), F.col("term"))).select("term", "id")
+    return matched(files.select("id", "path"), "path", terms, texts).select("term", "id")
 
 
-def symbols_like(terms: DataFrame, symbols: DataFrame) -> DataFrame:
+def symbols_like(terms: DataFrame, symbols: DataFrame, texts: GramIndex | None = None) -> DataFrame:
     """term, id: symbols whose name is LIKE the term."""
-    return matched(symbols.select("id", "name"), terms, text.like_anywhere(F.col("name"), F.col("term"))).select("term", "id")
+    return matched(symbols.select("id", "name"), "name", terms, texts).select("term", "id")
 
 
-def symbols_by_signature(terms: DataFrame, symbols: DataFrame, most: int = MAX_HITS) -> DataFrame:
+def symbols_by_signature(terms: DataFrame, symbols: DataFrame, most: int = MAX_HITS, texts: GramIndex | None = None) -> DataFrame:
     """term, id: symbols whose signature is LIKE the term and whose name isn't; the first by id."""
-    hit = text.like_anywhere(F.col("signature"), F.col("term")) & ~text.like_anywhere(F.col("name"), F.col("term"))
-    return _first_hits(matched(symbols.select("id", "name", "signature"), terms, hit).select("term", "id"), most)
+    hits = matched(symbols.select("id", "name", "signature"), "signature", terms, texts)
+    return _first_hits(hits.filter(~text.like_anywhere(F.col("name"), F.col("term"))).select("term", "id"), most)
 
 
-def importing_files(terms: DataFrame, imports: DataFrame, most: int = MAX_HITS) -> DataFrame:
+def importing_files(terms: DataFrame, imports: DataFrame, most: int = MAX_HITS, texts: GramIndex | None = None) -> DataFrame:
     """term, id: distinct files that import a module LIKE the term; the first by id."""
-    hits = matched(imports.select("file_id", "module"), terms, text.like_anywhere(F.col("module"), F.col("term")))
+    hits = matched(imports.select("file_id", "module"), "module", terms, texts)
     return _first_hits(hits.select("term", F.col("file_id").alias("id")).distinct(), most)
 
 
-def callers_like(terms: DataFrame, symbols: DataFrame, calls: DataFrame, most: int = MAX_HITS) -> DataFrame:
+def callers_like(terms: DataFrame, symbols: DataFrame, calls: DataFrame, most: int = MAX_HITS, texts: GramIndex | None = None) -> DataFrame:
     """term, id: symbols that call a name LIKE the term and aren't so named themselves; the first by id."""
-    named = matched(calls.select("callee_name").distinct(), terms, text.like_anywhere(F.col("callee_name"), F.col("term")))
-    who = calls.join(named, "callee_name").select("term", F.col("caller_symbol_id").alias("id")).distinct()
+    who = matched(calls.select("caller_symbol_id", "callee_name"), "callee_name", terms, texts).select("term", F.col("caller_symbol_id").alias("id")).distinct()
     hits = who.join(symbols.select("id", "name"), "id").filter(~text.like_anywhere(F.col("name"), F.col("term")))
     return _first_hits(hits.select("term", "id"), most)
 
@@ -137,19 +141,19 @@ def callers_of(names: DataFrame, symbols: DataFrame, calls: DataFrame) -> DataFr
 
 
 def fuzzy(terms: DataFrame, values: DataFrame) -> DataFrame:
-    """term, value: distinct values (column value) one edit from a term; lengths apart by two never meet."""
-    keyed = values.select("value").distinct().withColumn("size", F.length("value"))
-    wide = terms.select("term", F.explode(F.sequence(F.length("term") - 1, F.length("term") + 1)).alias("size"))
-    return keyed.join(wide, "size").filter(text.one_edit(F.col("value"), F.col("term"))).select("term", "value")
+    """term, value: distinct values (column value) one edit from a term, met by the hashes of their neighbourhoods."""
+    return one_edit_apart(terms, neighbours(values))
 
 
-def candidates(kws: DataFrame, files: DataFrame, symbols: DataFrame, imports: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(kws: DataFrame, files: DataFrame, symbols: DataFrame, imports: DataFrame, calls: DataFrame, names: Names | None = None) -> tuple[DataFrame, DataFrame]:
     """(query_id, file_id, ord) and (query_id, symbol_id, ord): all channels' hits, first come first, and rescued typos."""
+    names = names or {}
     st = cut(search_terms(kws))
     terms = cut(st.select("term").distinct())
     long = terms.filter(F.octet_length("term") >= MIN_PART)
-    f_hits = files_like(terms, files).withColumn("channel", F.lit(0)).unionByName(importing_files(terms, imports).withColumn("channel", F.lit(4)))
-    s_hits = symbols_like(terms, symbols).withColumn("channel", F.lit(1)).unionByName(symbols_by_signature(long, symbols).withColumn("channel", F.lit(2))).unionByName(callers_like(long, symbols, calls).withColumn("channel", F.lit(3)))
+    of = lambda hits, channel: hits.withColumn("channel", F.lit(channel))
+    f_hits = of(files_like(terms, files, names.get("path")), 0).unionByName(of(importing_files(terms, imports, texts=names.get("module")), 4))
+    s_hits = of(symbols_like(terms, symbols, names.get("name")), 1).unionByName(of(symbols_by_signature(long, symbols, texts=names.get("signature")), 2)).unionByName(of(callers_like(long, symbols, calls, texts=names.get("callee")), 3))
     order = F.struct("term_ord", "channel", "id")
     ranked = lambda h: h.join(st, "term").groupBy("query_id", "id").agg(F.min(order).alias("ord"))
     f, s = cut(ranked(f_hits)), cut(ranked(s_hits))
@@ -157,8 +161,8 @@ def candidates(kws: DataFrame, files: DataFrame, symbols: DataFrame, imports: Da
     first = f.select("query_id", "ord.term_ord").unionByName(s.select("query_id", "ord.term_ord")).unionByName(f_hits.filter("channel = 4").join(st, "term").select("query_id", "term_ord")).distinct()
     lost = cut(st.join(first, ["query_id", "term_ord"], "left_anti").join(kws.select("query_id", F.col("kw").alias("term")), ["query_id", "term"], "left_semi").filter(F.octet_length("term") >= MIN_FUZZY))
     lost_terms = lost.select("term").distinct()
-    names = symbols.select("id", F.lower("name").alias("value"))
-    s_more = fuzzy(lost_terms, names).join(names, "value").select("term", "id")
+    called = symbols.select("id", F.lower("name").alias("value"))
+    s_more = fuzzy(lost_terms, called).join(called, "value").select("term", "id")
     low = F.lower("path")
     parts = files.select("id", F.explode(F.array_union(F.array(paths.stem(low)), paths.stem_parts(low))).alias("value"))
     f_more = fuzzy(lost_terms, parts).join(parts, "value").select("term", "id").distinct()

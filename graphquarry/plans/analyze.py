@@ -24,20 +24,20 @@ def related_tests(files: DataFrame, rel: Relations) -> DataFrame:
     return hits.select("query_id", F.col("test_id").alias("file_id"), r.alias("rank")).filter(F.col("rank") <= MAX_TESTS)
 
 
-def analyze(asks: DataFrame, rel: Relations) -> DataFrame:
+def analyze(asks: DataFrame, rel: Relations, names: retrieve.Names | None = None) -> DataFrame:
     """query_id, ask, keywords, files, symbols, tests, paths, subsystems and index counts, one row per question.
 
     asks has query_id and ask.  A question about process, or one without a rare enough keyword, has
     empty results.  The steps are cut into tables of the shared folder, since one plan of all of them takes
     longer to analyse than to run.  files, symbols, tests and paths are arrays of structs in order of rank; a path is
-    its seed and what it reaches, step by step.
+    its seed and what it reaches, step by step.  ``names`` are gram indexes of the relations, if they were built.
     """
     files, symbols, calls = rel["files"], rel["symbols"], rel["calls"]
     asked = asks.select("query_id", "ask").filter(~text.is_meta(F.col("ask")))
     own = retrieve.keyword_rows(asked)
     about = asked.select("query_id", text.about_tests(text.keywords(F.col("ask"))).alias("about_tests"))
-    kws = cut(retrieve.weighted(cut(retrieve.with_synonyms(own)), files, symbols))
-    f, s = retrieve.candidates(kws, files, symbols, rel["imports"], calls)
+    kws = cut(retrieve.weighted(cut(retrieve.with_synonyms(own)), files, symbols, names))
+    f, s = retrieve.candidates(kws, files, symbols, rel["imports"], calls, names)
     where = symbols.select(F.col("id").alias("symbol_id"), "file_id", "name", "kind", "line_start", "line_end", "signature").join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
     f, s = cut(f), cut(s.join(where, "symbol_id"))
     hosts = s.groupBy("query_id", "file_id").agg(F.min("ord").alias("o")).select("query_id", "file_id", F.struct(F.lit(1 << 30).alias("term_ord"), F.lit(99).alias("channel"), F.col("file_id").alias("id")).alias("ord"))

@@ -139,15 +139,6 @@ def test_counts_of_resolutions(spark):
     assert sorted(map(str, index.resolution_counts(calls, symbols).collect())) == sorted(map(str, want.collect()))
 
 
-def test_terms_in_blocks(spark, monkeypatch):
-    symbols = spark.createDataFrame([(i, f"name_{i}") for i in range(20)], "id long, name string")
-    terms = [(f"_{i}",) for i in range(12)]
-    whole = retrieve.symbols_like(spark.createDataFrame(terms, "term string"), symbols).collect()
-    monkeypatch.setattr(retrieve, "MOST_TERMS", 3)
-    parts = retrieve.symbols_like(spark.createDataFrame(terms, "term string"), symbols)
-    assert sorted(parts.collect()) == sorted(whole) and len(whole) > 12
-
-
 def test_trace(spark):
     symbols = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "b")], "id long, name string")
     calls = spark.createDataFrame([(1, "b"), (2, "c"), (3, "a"), (4, "b"), (1, "a")], "caller_symbol_id long, callee_name string")
