@@ -209,14 +209,18 @@ def audit(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     known = spread.withColumns({"in_docs": F.sum("docs").over(w), "of_lang": F.sum("n").over(w), "groups": F.count("*").over(w), "first": (F.min("source").over(w) == F.col("source")).cast("int")})
     known = cut(known.filter(F.col("term").isNull() | (F.col("in_docs") >= min_docs)).drop("docs", "in_docs"))
     marks = known.filter("term is null").select("lang", "source", F.col("groups").alias("g"))
-    terms = known.filter("term is not null").join(marks.groupBy("lang").agg(F.max("g").alias("g")), "lang").withColumn("heavy", F.col("groups") > heavy * F.col("g"))
+    terms = known.filter("term is not null")
     of_group = terms.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    of_lang = terms.groupBy("lang").agg(F.sum("n").alias("whole"), F.sum("first").alias("v"), F.sum(F.col("first") * F.col("heavy").cast("int")).alias("n_heavy"))
+    whole = terms.groupBy("lang").agg(F.sum("n").alias("whole"))
+    # how many terms are in so many groups: a few rows a language, so which are heavy is known without a join of the terms
+    spread_of = terms.filter("first = 1").groupBy("lang", "groups").agg(F.count("*").alias("v")).join(marks.groupBy("lang").agg(F.max("g").alias("g")), "lang")
+    is_heavy = F.col("groups") > heavy * F.col("g")
+    of_lang = spread_of.groupBy("lang").agg(F.sum("v").alias("v"), F.sum(F.when(is_heavy, F.col("v")).otherwise(0)).alias("n_heavy")).join(whole, "lang")
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     facts = marks.join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left")
     facts = facts.select("lang", "source", "g", (none("v") - none("n_heavy")).alias("light"), F.greatest(none("total") + none("v"), F.lit(1)).alias("of"), (none("whole") + none("v")).alias("of_whole"), F.ceil(none("n_heavy") * F.col("g") / F.lit(cells)).alias("tiles"), F.ceil(F.col("g") / F.lit(block)).alias("blocks"))
     facts = cut(facts)  # its size is known then, so that it is broadcast only while small
-    full = terms.join(facts.drop("g"), ["lang", "source"])
+    full = terms.join(facts, ["lang", "source"]).withColumn("heavy", is_heavy)
 
     place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
     dense = full.filter("heavy").select("lang", place("term", "tiles").alias("tile"), "source", "term", "n", "of")
