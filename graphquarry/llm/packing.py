@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from array import array
 from functools import lru_cache
 from itertools import pairwise
 
@@ -22,62 +22,68 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: What the tokenizer takes as one unit of printable ASCII in lower case, so that units can be encoded apart.
-UNIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-PRINTABLE = re.compile(rb"[!-~]+")
-#: Bytes of a chunk that is remembered, at most.
+# Letters U+00C0 to U+00FF in UTF-8, without the two signs among them; parts of runs of such letters, digits and printable ASCII.
+_LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+_UNITS = rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]++(?:" + _LATIN + rb"[a-z]*+)*+|(?:" + _LATIN + rb"[a-z]*+)++|[0-9]|[!-/:-@\[-`{-~]+"
+#: What the tokenizer takes as one unit of such characters in lower case, so that units can be encoded apart; what else stands between blanks is whole.
+UNIT = re.compile(rb"(?<![^ \t-\r])[!-~]*+(?:" + _LATIN + rb"[!-~]*+)*+[^ \t-\r]++|" + _UNITS)
+ASCII_UNIT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[!-/:-@\[-`{-~]+")
+PLAIN = bytes(range(0x20, 0x7F)) + b"\t\n\x0b\x0c\r"
+#: Bytes of a unit that is remembered, at most.
 LONG = 64
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of texts by a tokenizer of the ``tokenizers`` library that splits at white space and drops it.
 
-    Chunks between blanks are encoded once and remembered, as little-endian ids of ``width`` bytes; chunks
-    of printable ASCII go by units, since many chunks share those.  At most ``most`` chunks and units are
-    remembered.  ``by_units`` is for tokenizers that lower-case and split as ``UNIT`` does.
+    A dict of units and their ids, little-endian with ``kind.itemsize`` bytes each: what stands between
+    blanks, or, with ``by_units``, for tokenizers that lower-case and split as ``UNIT`` does, its parts.  Each
+    unit is encoded when it is first asked for.  Two generations of ``most`` units at most are remembered;
+    units of the older one that are asked for again go on to the newer.
     """
 
-    def __init__(self, path: str, *, by_units: bool = True, most: int = 300_000):
+    def __init__(self, path: str, *, by_units: bool = True, most: int = 400_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core of its own
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.by_units, self.most = by_units, most
         self.specials = tuple({t.content[:2].encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
-        self.chunks: dict[bytes, bytes] = {}
-        self.units: dict[bytes, bytes] = {}
-
-    def _encode(self, pieces: list[bytes]) -> Iterator[bytes]:
-        got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in pieces], add_special_tokens=False)
-        return (np.array(e.ids, self.kind).tobytes() for e in got)
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        if len(self.units) > self.most:
-            self.units.clear()
-        plain = {c for c in chunks if PRINTABLE.fullmatch(c) and not any(s in c for s in self.specials)} if self.by_units else set()
-        other = list(chunks - plain)
-        self.chunks.update(zip(other, self._encode(other), strict=True))
-        parts = {c: UNIT.findall(c.lower()) for c in plain}
-        new = list({u for us in parts.values() for u in us}.difference(self.units))
-        self.units.update(zip(new, self._encode(new), strict=True))
-        for c, us in parts.items():
-            self.chunks[c] = b"".join(map(self.units.__getitem__, us))
-
-    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        for t in texts:
-            if len(self.chunks) > self.most:
-                self.chunks.clear()
-            chunks = t.split()
-            new = set(chunks).difference(self.chunks)
-            if new:
-                self._learn(new)
-            out = b"".join(map(self.chunks.__getitem__, chunks))
-            for known in (self.chunks, self.units):
-                for c in new:
-                    if len(c) > LONG:  # such hardly come again
-                        known.pop(c, None)
-            yield out
+        self.older: dict[bytes, bytes] = {}
+
+    def __missing__(self, unit: bytes) -> bytes:
+        ids = self.older.get(unit)
+        if ids is None:
+            if self.by_units and ASCII_UNIT.fullmatch(unit):
+                found = [t.id for t in self.tokenizer.model.tokenize(unit.decode())]  # its normal form and only part
+            else:
+                found = self._ids(unit)
+            ids = self._packed(found)
+        if len(unit) <= LONG:
+            self[unit] = ids
+        return ids
+
+    def _ids(self, text: bytes) -> list[int]:
+        return self.tokenizer.encode(text.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
+
+    def encode(self, text: bytes) -> bytes:
+        """The ids of a text in UTF-8."""
+        if any(s in text for s in self.specials):
+            return self._packed(self._ids(text))
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        if self.by_units:
+            low = text.lower()
+            units = (UNIT if low.translate(None, PLAIN) else ASCII_UNIT).findall(low)
+        else:
+            units = text.split()
+        return b"".join(map(self.__getitem__, units))
 
 
 @lru_cache(maxsize=2)
@@ -174,17 +180,14 @@ def tokenized(docs: DataFrame, path: str, *, text: str = "text", end_id: int | N
     schema = rest.select("*", F.lit(0).cast("long").alias("doc_tokens"), F.lit(b"").alias("ids")).schema
 
     def work(batches):
-        encode = encoder(path, by_units)
-        end = b"" if end_id is None else np.array([end_id], encode.kind).tobytes()
+        known = encoder(path, by_units)
+        end = b"" if end_id is None else np.array([end_id], known.kind).tobytes()
         for b in batches:
-            k = b.schema.names.index(text)
-            texts = [t or b"" for t in b.column(k).cast(pa.binary()).to_pylist()]
-            for a in range(0, max(1, len(texts)), 500):  # few texts' ids at a time
-                part = b.slice(a, 500)
-                ids = [x + end for x in encode(texts[a : a + 500])]
-                cols = [c for n, c in zip(part.schema.names, part.columns, strict=True) if n != text]
+            for at in range(0, max(1, b.num_rows), 500):  # few texts and ids at a time
+                part = b.slice(at, 500)
+                ids = [known.encode(t or b"") + end for t in part.column(text).cast(pa.binary()).to_pylist()]
                 names = [n for n in part.schema.names if n != text]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([len(x) // wide for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*names, "doc_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array([len(x) // wide for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*names, "doc_tokens", "ids"])
 
     return docs.select(*rest.columns, text).mapInArrow(work, schema)
 
