@@ -34,6 +34,36 @@ def traced(seeds: DataFrame, calls: DataFrame, symbols: DataFrame, *, hops: int
     return out
 
 
+def first_traced(seeds: DataFrame, calls: DataFrame, symbols: DataFrame, *, most: int = MAX_TRACE_ROWS, hops: int = MAX_DEPTH, sizes: list[int] | None = None) -> DataFrame:
+    """seed, symbol_id, depth, step: per seed the first ``most`` steps by depth and symbol, the same as first_steps(traced(...)).
+
+    Steps are in order of depth, so a seed that has ``most`` of them goes no deeper, and one that goes on has
+    fewer symbols than that: a hop starts from less than ``most`` symbols a seed, whatever they call.  Of a
+    name's symbols the first ``most`` and one are enough (the seed itself doesn't count), and they are found
+    once a hop for all seeds that come by the name.  Ends when no seed goes on.  Calls by caller and symbols by
+    name are each joined where they lie, if they are laid out by these keys.  ``sizes`` gets the rows of each hop.
+    """
+    by_caller, by_name = calls.select("caller_symbol_id", "callee_name"), symbols.select(F.col("name").alias("callee_name"), F.col("id").alias("next"))
+    frontier = seeds.select("seed", F.col("seed").alias("symbol_id"), F.lit(0).alias("so_far")).distinct()
+    out = None
+    for depth in range(1, hops + 1):
+        names = cut(frontier.join(by_caller, F.col("symbol_id") == F.col("caller_symbol_id")).select("seed", "so_far", "callee_name").distinct())
+        nth = F.row_number().over(Window.partitionBy("callee_name").orderBy("next"))
+        few = by_name.join(names.select("callee_name").distinct(), "callee_name", "left_semi").withColumn("nth", nth).filter(F.col("nth") <= most + 1)
+        met = names.join(few, "callee_name").filter("next <> seed").select("seed", "so_far", F.col("next").alias("symbol_id")).distinct()
+        step = F.row_number().over(Window.partitionBy("seed").orderBy("symbol_id")) + F.col("so_far")
+        level = cut(met.withColumn("step", step).filter(F.col("step") <= most).select("seed", "symbol_id", F.lit(depth).alias("depth"), "step"))
+        out = level if out is None else out.unionByName(level)
+        reached = level.groupBy("seed").agg(F.max("step").alias("so_far")).filter(F.col("so_far") < most)
+        frontier = level.join(reached, "seed").select("seed", "symbol_id", "so_far")
+        n = frontier.count()
+        if sizes is not None:
+            sizes.append(n)
+        if not n:
+            break
+    return out
+
+
 def first_steps(traced: DataFrame, most: int = MAX_TRACE_ROWS, by: tuple[str, ...] = ("seed",)) -> DataFrame:
     """Per seed the first ``most`` steps by depth and symbol."""
     w = Window.partitionBy(*by).orderBy("depth", "symbol_id")

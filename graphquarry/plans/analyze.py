@@ -48,7 +48,7 @@ def analyze(asks: DataFrame, rel: Relations, names: retrieve.Names | None = None
     scored_s = rank.symbol_scores(s, kws, rank.file_scores(cands, kws, about))
     best_s = cut(rank.best_symbols(scored_s))
     seeds = rank.seeds(best_s).select("query_id", F.col("symbol_id").alias("seed"), "rank")
-    walked = trace.first_steps(trace.traced(seeds.select("seed"), calls, symbols))
+    walked = trace.first_traced(seeds.select("seed"), calls, symbols)
     steps = cut(seeds.join(walked, "seed").join(where, "symbol_id"))
     reached = steps.select("query_id", "file_id").distinct()
     hosted = best_s.groupBy("query_id", "file_id").agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ are ``events``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .functions import paths, scoring, text
 from .functions.vocab import DIR_PENALTIES, IGNORED_DIRS, IGNORED_EXTENSIONS, LANGUAGES, META_PHRASES, MINIFIED_SUFFIXES, SCAFFOLD_DIRS, STOP_WORDS, SYNONYMS, TEST_DIRS, TEST_WORDS
-from .operators import context, evaluate, index, rank, retrieve, session, tokens, trace
-from .storage import cut
+from .operators import context, evaluate, grams, index, keyed, rank, retrieve, session, tokens, trace
+from .storage import cut, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -190,6 +191,32 @@ def callers_exact(spark, d):
     return retrieve.callers_of(names, symbols_of(spark, d), calls_of(spark, d)).select("called", "id", "name")
 
 
+_PIECES = ("red", "RED_W", "t_r", "small%ring", "%", "ge", "x", "_plate", "cold_gizmo")
+
+
+@query(f"WITH {_SYMBOLS}, {_VALUES(*_PIECES)} SELECT term, {_LOW('name')} AS name, count(*) AS n FROM symbols, terms WHERE {_LOW('name')} LIKE '%' || {_LOW('term')} || '%' GROUP BY ALL")
+def gram_search(spark, d):
+    """Terms looked up in a gram index of the parts' names."""
+    names = grams.GramIndex.build(grams.distinct_texts(symbols_of(spark, d), "name"))
+    return grams.containing(_terms(spark, *_PIECES), names).select("term", F.col("value").alias("name"), "n")
+
+
+@query(f"WITH {_FILES}, v AS (SELECT DISTINCT {_LOW('path')} AS value FROM files), g AS (SELECT DISTINCT value, substr(value, i, 3) AS gram FROM (SELECT value, unnest(range(1, length(value) - 1)) AS i FROM v)) SELECT gram, count(*) AS n FROM g GROUP BY gram")
+def gram_postings(spark, d):
+    """How many paths hold each run of three characters, by the index's posting lists."""
+    held = grams.GramIndex.build(grams.distinct_texts(files_of(spark, d), "path")).postings
+    return held.filter(F.length("gram") == grams.SIZE).groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+@query("WITH w AS (SELECT DISTINCT lower(unnest(string_split_regex(coalesce(p_name, '') || ' ' || coalesce(p_type, '') || ' ' || coalesce(p_brand, ''), '[ #]+'))) || CASE WHEN p_partkey % 3 = 0 THEN 's' ELSE '' END AS w FROM part) SELECT a.w AS term, b.w AS value FROM w a JOIN w b ON strlen(a.w) >= 5 AND strlen(b.w) >= 5 AND damerau_levenshtein(a.w, b.w) = 1")
+def words_one_edit_apart(spark, d):
+    """All pairs of the parts' words that are one edit apart."""
+    p = table(spark, d, "part")
+    every = F.split(F.concat_ws(" ", F.coalesce("p_name", F.lit("")), F.coalesce("p_type", F.lit("")), F.coalesce("p_brand", F.lit(""))), "[ #]+")
+    w = p.select(F.explode(every).alias("w"), "p_partkey").select(F.concat(F.lower("w"), F.when(F.col("p_partkey") % 3 == 0, "s").otherwise("")).alias("value")).distinct()
+    return retrieve.fuzzy(w.select(F.col("value").alias("term")), w)
+
+
 # --- keywords
 
 _KWS = (("red", False), ("widget", False), ("gear", True), ("example", False), ("685", False), ("zzz", False), ("small_r", True), ("en/9", False))
@@ -349,6 +376,20 @@ def call_trace(spark, d):
     return trace.first_steps(trace.traced(seeds, calls_of(spark, d), symbols_of(spark, d), hops=3))
 
 
+@query(
+    f"""WITH {_SYMBOLS}, {_CALLS}, pairs AS (SELECT DISTINCT caller_symbol_id AS a, callee_name FROM calls),
+    by_name AS (SELECT name, callee_name, count(*) AS n FROM pairs JOIN symbols ON id = a GROUP BY ALL),
+    two AS (SELECT DISTINCT one.a, by_name.callee_name FROM pairs one JOIN by_name ON name = one.callee_name JOIN symbols me ON me.id = one.a
+      LEFT JOIN pairs own ON own.a = one.a AND own.callee_name = by_name.callee_name AND me.name = one.callee_name WHERE by_name.n > CASE WHEN own.a IS NULL THEN 0 ELSE 1 END),
+    walked AS (SELECT a AS seed, id, 1 AS depth FROM pairs JOIN symbols ON name = callee_name WHERE id <> a UNION ALL SELECT a, id, 2 FROM two JOIN symbols ON name = callee_name WHERE id <> a)
+    SELECT seed, id AS symbol_id, depth, step FROM (SELECT *, (row_number() OVER (PARTITION BY seed ORDER BY depth, id))::INTEGER AS step FROM walked) WHERE step <= 50"""
+)
+def call_trace_all(spark, d):
+    """The first steps of every symbol, each seed going no deeper than its answer."""
+    s = symbols_of(spark, d)
+    return trace.first_traced(s.select(F.col("id").alias("seed")), calls_of(spark, d), s, hops=2)
+
+
 def _test_tree(spark, d):
     p = table(spark, d, "part")
     name = F.replace("p_name", F.lit(" "), F.lit("_"))
@@ -729,6 +770,24 @@ def analyze_tests(spark, d):
     return _ranked(spark, d, "tests").select("query_id", "x.rank", "x.file_id")
 
 
+@query(
+    f"""WITH {_DESCRIBED}, {_CALLS}, symbols AS (SELECT p_partkey AS id, p_partkey % 50 AS file_id, replace(p_name, ' ', '_') AS name FROM part), html AS (SELECT id FROM described WHERE language = 'html'),
+    held AS (SELECT id, name FROM symbols SEMI JOIN html ON html.id = file_id)
+    SELECT 'symbol' AS relation, id, name AS shown FROM held UNION ALL SELECT 'import', doc_id, source || '.' || lang FROM documents SEMI JOIN html ON html.id = doc_id % 97
+    UNION ALL SELECT 'call', calls.id, callee_name FROM calls SEMI JOIN held ON held.id = caller_symbol_id UNION ALL SELECT 'test', d.id, d.path FROM described d JOIN html ON html.id = d.id - 1 WHERE d.id % 10 = 3"""
+)
+def keyed_scans(spark, d):
+    """What all pages of a language hold and are tested by, each relation read by its key."""
+    folder = f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}"
+    keyed.write(_relations(spark, d), folder)
+    k = keyed.Keyed.open(spark, folder)
+    files = k.table("files", "id").filter("language = 'html'").select("id")
+    symbols = k.symbols_of(files)
+    tests = k.many("files", "id", k.edges_to(files, "tests").select("source_file_id"))
+    shown = lambda df, relation, c: df.select(F.lit(relation).alias("relation"), "id", F.col(c).alias("shown"))
+    return shown(symbols, "symbol", "name").unionByName(shown(k.imports_of(files), "import", "module")).unionByName(shown(k.calls_of(symbols.select("id")), "call", "callee_name")).unionByName(shown(tests, "test", "path"))
+
+
 _SOURCES = {
     "src/auth/login.py": "import hashlib\nfrom src.auth.store import find_user\n\n\nclass Session:\n    def open(self, user):\n        return make_token(user)\n\n\ndef login_handler(name, password):\n    user = find_user(name)\n    return Session().open(user)\n\n\ndef make_token(user):\n    return hashlib.sha256(user.encode()).hexdigest()\n",
     "src/auth/store.py": "def find_user(name):\n    return connect_database().lookup(name)\n\n\ndef connect_database():\n    return {}\n",
