@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import versions
 from ..functions import paths
 from ..sources import tree as trees
 from ..sources.schemas import EDGES, METADATA, RELATIONS
@@ -137,24 +137,27 @@ def edges(rel: Relations, *, start: int = 1) -> DataFrame:
     return _found(rel["files"], resolved_calls(rel["calls"], rel["symbols"]), tests, start)
 
 
-def edges_after(old: Relations, kept: Relations, stale: DataFrame, fresh: Relations, *, start: int) -> DataFrame:
-    """Edges after a refresh: those of kept that still hold, and new ones where something came or went.
+def edge_changes(old: Relations, kept: Relations, stale: DataFrame, fresh: Relations, *, start: int) -> tuple[DataFrame, DataFrame]:
+    """(ids of edges that a refresh takes away, edges that it adds).
 
-    Calls are resolved again only if they are new or call a name of a symbol that came or went; tests
-    meet sources again only where either is new.
+    Edges go with the stale files and their symbols.  Calls are resolved again only if they are new or call a
+    name of a symbol that came or went; tests meet sources again only where either is new.
     """
-    names = old["symbols"].join(stale, "file_id", "left_semi").select("name").unionByName(fresh["symbols"].select("name")).distinct()
-    affected = cut(names)
+    gone = old["symbols"].join(stale, "file_id", "left_semi").select(F.col("id").alias("symbol_id"), "name")
+    affected = cut(gone.select("name").unionByName(fresh["symbols"].select("name")).distinct())
     symbols = kept["symbols"].unionByName(fresh["symbols"])
-    named = symbols.join(affected, "name", "left_semi").select(F.col("id").alias("target_symbol_id"))
-    still = kept["edges"].join(named, "target_symbol_id", "left_anti")
-    still = still.join(affected.withColumnRenamed("name", "target_name"), "target_name", "left_anti").select(*old["edges"].columns)
+    named = symbols.join(affected, "name", "left_semi").select(F.col("id").alias("symbol_id"))
+    ends = {"source_file_id": stale, "target_file_id": stale, "source_symbol_id": gone.select("symbol_id"), "target_symbol_id": gone.select("symbol_id").unionByName(named).distinct(), "target_name": affected}
+    lost = None
+    for end, keys in ends.items():
+        one = old["edges"].join(keys.toDF(end), end, "left_semi").select("id")
+        lost = one if lost is None else lost.unionByName(one)
     calls = kept["calls"].join(affected.withColumnRenamed("name", "callee_name"), "callee_name", "left_semi").select(*old["calls"].columns).unionByName(fresh["calls"])
     files, imports = kept["files"].unionByName(fresh["files"]), kept["imports"].unionByName(fresh["imports"])
     # new tests meet all sources, old tests the new sources
     by_name = test_edges_by_name(fresh["files"], files).unionByName(test_edges_by_name(kept["files"], fresh["files"]))
     by_import = test_edges_by_import(fresh["files"], imports, files).unionByName(test_edges_by_import(kept["files"], imports, fresh["files"]))
-    return still.unionByName(_found(fresh["files"], resolved_calls(calls, symbols), [by_name, by_import], start))
+    return lost.distinct(), _found(fresh["files"], resolved_calls(calls, symbols), [by_name, by_import], start)
 
 
 def index_tree(spark: SparkSession, root: str, *, head: str | None = None, **options) -> Relations:
@@ -188,21 +191,102 @@ def counters(rel: Relations, diff: DataFrame | None = None, skipped: int = 0) ->
 
 # --- snapshots
 
+#: Relations whose rows a delta removes by id; imports go with their files and calls with their symbols.
+_REMOVED = ("files", "symbols", "edges")
 
-def write_snapshot(rel: Relations, folder: str) -> str:
-    """Write all relations below folder and then point to them; readers see the old or the new ones whole."""
+
+def _schema(t: str) -> str:
+    return "id long" if t.startswith("removed_") else RELATIONS[t]
+
+
+def completed(t: str, df: DataFrame) -> DataFrame:
+    """df with all columns of relation t in their order and types, null where df lacks them."""
+    parts = (x.split() for x in RELATIONS[t].split(", "))
+    return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in parts))
+
+
+def write_snapshot(rel: Relations, folder: str) -> int:
+    """Write all relations below folder as a base of their own, and make it the next version, whose number it gives.
+
+    Readers see the old version or the new one whole.  Of two writers of one version one raises LostRace.
+    """
     spark = rel["files"].sparkSession
-    name = f"{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-    for table, df in rel.items():
-        df.write.parquet(f"{folder}/{name}/{table}")
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("append").text(f"{folder}/current")
-    return name
+    number, _ = versions.latest(spark, folder)
+    return _committed(spark, folder, number + 1, f"base-{uuid.uuid4().hex}", rel, [])
+
+
+def _committed(spark: SparkSession, folder: str, number: int, part: str, tables: Relations, before: list[str]) -> int:
+    """Write tables as a part of folder and make the version of it and the parts before; what is written goes again if another writer was first."""
+    for t, df in tables.items():
+        df.write.parquet(f"{folder}/{part}/{t}")
+    try:
+        versions.commit(spark, folder, number, {"parts": [*before, part]})
+    except versions.LostRace:
+        versions.removed(spark, folder, part)
+        raise
+    return number
+
+
+def read_snapshot(spark: SparkSession, folder: str, *, version: int | None = None) -> Relations:
+    """The relations of the latest version or another: its base and deltas, less what later parts removed.
+
+    Ids are never used again, so one anti-join with all removed ids serves all parts.
+    """
+    content = versions.latest(spark, folder)[1] if version is None else versions.at(spark, folder, version)
+    base, *deltas = content["parts"]
+    read = lambda part, t: spark.read.schema(_schema(t)).parquet(f"{folder}/{part}/{t}")
+    every = lambda parts, t: spark.read.schema(_schema(t)).parquet(*(f"{folder}/{p}/{t}" for p in parts))
+    if not deltas:
+        return {t: read(base, t) for t in RELATIONS}
+    rel = {t: every(content["parts"], t) for t in RELATIONS if t != "metadata"}
+    out = without_ids(rel, {t: every(deltas, f"removed_{t}") for t in _REMOVED})
+    return out | {"metadata": read(deltas[-1], "metadata")}
+
 
+def without_ids(rel: Relations, removed: Relations) -> Relations:
+    """rel less the files, symbols and edges of removed (column id), the files' imports and the symbols' calls."""
+    less = lambda t, c, of: rel[t].join(removed[of].select(F.col("id").alias(c)), c, "left_anti").select(*rel[t].columns)
+    return rel | {"files": less("files", "id", "files"), "symbols": less("symbols", "id", "symbols"), "imports": less("imports", "file_id", "files"), "calls": less("calls", "caller_symbol_id", "symbols"), "edges": less("edges", "id", "edges")}
 
-def read_snapshot(spark: SparkSession, folder: str) -> Relations:
-    """The relations of the latest snapshot."""
-    name = spark.read.text(f"{folder}/current").agg(F.max("value")).first()[0]
-    return {t: spark.read.schema(s).parquet(f"{folder}/{name}/{t}") for t, s in RELATIONS.items()}
+
+def write_delta(spark: SparkSession, folder: str, removed: Relations, added: Relations, metadata: DataFrame, *, after: int | None = None) -> int:
+    """Make a version of the one ``after`` (the latest, unless given) and a delta: rows added, and ids removed.
+
+    What is written has the size of the change.  If ``after`` is the latest no more, raises LostRace.
+    """
+    number, content = versions.latest(spark, folder)
+    if after is not None and after != number:
+        raise versions.LostRace(f"version {after} of {folder} is followed by others")
+    tables = {f"removed_{t}": removed[t].select("id") for t in _REMOVED} | {t: added[t] for t in RELATIONS if t != "metadata"} | {"metadata": metadata}
+    return _committed(spark, folder, number + 1, f"delta-{uuid.uuid4().hex}", tables, content["parts"])
+
+
+def refresh_snapshot(spark: SparkSession, folder: str, tree: DataFrame, *, head: str | None = None) -> int | None:
+    """Bring the latest version up to tree by a delta, and give its number; None if nothing changed."""
+    number, _ = versions.latest(spark, folder)
+    rel = read_snapshot(spark, folder, version=number)
+    found = changes(rel, tree)
+    if found is None:
+        return None
+    metadata = set_metadata(rel["metadata"], "head", head) if head else rel["metadata"]
+    return write_delta(spark, folder, *found, metadata, after=number)
+
+
+def compact_snapshot(spark: SparkSession, folder: str) -> int:
+    """Fold the latest version's deltas into a base of its own; the older parts stay for their readers."""
+    number, _ = versions.latest(spark, folder)
+    return _committed(spark, folder, number + 1, f"base-{uuid.uuid4().hex}", read_snapshot(spark, folder, version=number), [])
+
+
+def vacuum_snapshots(spark: SparkSession, folder: str, *, keep: int = 1) -> list[str]:
+    """Delete the parts that only versions before the last ``keep`` name; gives their names."""
+    number, _ = versions.latest(spark, folder)
+    parts = [versions.at(spark, folder, k)["parts"] for k in range(1, number + 1)]
+    live = {p for ps in parts[-keep:] for p in ps}
+    dead = sorted({p for ps in parts for p in ps} - live)
+    for p in dead:
+        versions.removed(spark, folder, p)
+    return dead
 
 
 def set_metadata(metadata: DataFrame, key: str, value: str) -> DataFrame:
@@ -255,8 +339,8 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "path", mark:
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
 
 
-def refresh(rel: Relations, tree: DataFrame) -> Relations | None:
-    """rel brought up to tree (path, content, size, mtime); None if nothing changed.
+def changes(rel: Relations, tree: DataFrame) -> tuple[Relations, Relations] | None:
+    """(ids removed, rows added) that bring rel up to tree (path, content, size, mtime); None if nothing changed.
 
     Only changed files are parsed, and only the edges that they or their names touch are found again.
     Their ids and those of their symbols and edges are new, above all old ones; all else keeps its ids.
@@ -273,9 +357,19 @@ def refresh(rel: Relations, tree: DataFrame) -> Relations | None:
         highest = one if highest is None else highest.unionByName(one)
     tops = {r.t: r.top + 1 for r in highest.collect()}
     fresh = relations(trees.parsed(trees.described(changed)), first=tops)
-    out = {t: kept[t].unionByName(fresh[t]) for t in ("files", "symbols", "imports", "calls")}
-    out["edges"] = edges_after(rel, kept, stale, fresh, start=tops["edges"])
-    return out | {"metadata": rel["metadata"]}
+    lost, found = edge_changes(rel, kept, stale, fresh, start=tops["edges"])
+    symbols = rel["symbols"].join(stale, "file_id", "left_semi").select("id")
+    return {"files": stale.select(F.col("file_id").alias("id")), "symbols": symbols, "edges": cut(lost)}, fresh | {"edges": found}
+
+
+def refresh(rel: Relations, tree: DataFrame) -> Relations | None:
+    """rel brought up to tree, as changes has it; None if nothing changed."""
+    found = changes(rel, tree)
+    if found is None:
+        return None
+    removed, added = found
+    left = without_ids(rel, removed)
+    return {t: left[t].unionByName(added[t]) for t in added} | {"metadata": rel["metadata"]}
 
 
 def is_stale(age_seconds: float | None, head: str | None, indexed_head: str | None, *, limit: float | None = None) -> bool:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .functions import paths, scoring, text
 from .functions.vocab import DIR_PENALTIES, IGNORED_DIRS, IGNORED_EXTENSIONS, LANGUAGES, META_PHRASES, MINIFIED_SUFFIXES, SCAFFOLD_DIRS, STOP_WORDS, SYNONYMS, TEST_DIRS, TEST_WORDS
 from .operators import context, evaluate, grams, index, keyed, rank, retrieve, session, tokens, trace
+from .sources.schemas import METADATA
 from .storage import cut, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -788,6 +789,38 @@ def keyed_scans(spark, d):
     return shown(symbols, "symbol", "name").unionByName(shown(k.imports_of(files), "import", "module")).unionByName(shown(k.calls_of(symbols.select("id")), "call", "callee_name")).unionByName(shown(tests, "test", "path"))
 
 
+_CHANGED = "(name LIKE '%bolt' OR name LIKE 'red%')"
+
+
+@query(
+    f"""WITH {_DESCRIBED}, {_CALLS}, symbols AS (SELECT p_partkey AS id, p_partkey % 50 AS file_id, replace(p_name, ' ', '_') AS name FROM part), imports AS (SELECT doc_id AS id, doc_id % 97 AS file_id FROM documents),
+    dead AS (SELECT id FROM described WHERE is_test OR path LIKE '%7%'), names AS (SELECT * FROM symbols ANTI JOIN dead ON dead.id = file_id),
+    after_s AS (SELECT id, name FROM names WHERE NOT {_CHANGED} UNION ALL SELECT id + 1000000000, name || '_2' FROM names WHERE {_CHANGED}),
+    after_c AS (SELECT calls.* FROM calls SEMI JOIN (SELECT id FROM names WHERE NOT {_CHANGED}) s ON s.id = caller_symbol_id)
+    SELECT 'files' AS relation, count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT id FROM described ANTI JOIN dead USING (id)) UNION ALL SELECT 'symbols', count(*), sum(id)::BIGINT FROM after_s UNION ALL SELECT 'imports', count(*), sum(id)::BIGINT FROM (SELECT imports.id FROM imports ANTI JOIN dead ON dead.id = file_id)
+    UNION ALL SELECT 'calls', count(*), sum(id)::BIGINT FROM after_c UNION ALL SELECT 'edges', count(*), sum(id)::BIGINT FROM (SELECT id FROM described WHERE id % 10 = 3 AND id NOT IN (SELECT id FROM dead)) UNION ALL SELECT 'renamed', count(*), sum(id)::BIGINT FROM after_s WHERE name LIKE '%!_2' ESCAPE '!'"""
+)
+def snapshot_of_deltas(spark, d):
+    """The tables as a base, two deltas after it (files removed; names changed), read back whole."""
+    folder = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    rel = {t: index.completed(t, df) for t, df in _relations(spark, d).items()} | {"metadata": spark.createDataFrame([], METADATA)}
+    index.write_snapshot(rel, folder)
+    none = {t: df.limit(0) for t, df in rel.items()}
+    dead = rel["files"].filter("is_test or path like '%7%'").select("id")
+    gone = rel["symbols"].join(dead.withColumnRenamed("id", "file_id"), "file_id", "left_semi")
+    edges = rel["edges"].join(dead, F.col("source_file_id") == dead["id"], "left_semi")
+    index.write_delta(spark, folder, {"files": dead, "symbols": gone, "edges": edges}, none, rel["metadata"])
+    new = index.read_snapshot(spark, folder)["symbols"].filter(_CHANGED)
+    renamed = new.withColumns({"id": F.col("id") + 1_000_000_000, "name": F.concat("name", F.lit("_2"))})
+    index.write_delta(spark, folder, {"files": none["files"], "symbols": new, "edges": none["edges"]}, none | {"symbols": renamed}, rel["metadata"])
+    now = index.read_snapshot(spark, folder)
+    told = lambda name, df: df.agg(F.lit(name).alias("relation"), F.count("*").alias("n"), F.sum("id").alias("ids"))
+    out = told("renamed", now["symbols"].filter(F.endswith("name", F.lit("_2"))))
+    for t in ("files", "symbols", "imports", "calls", "edges"):
+        out = out.unionByName(told(t, now[t]))
+    return out
+
+
 _SOURCES = {
     "src/auth/login.py": "import hashlib\nfrom src.auth.store import find_user\n\n\nclass Session:\n    def open(self, user):\n        return make_token(user)\n\n\ndef login_handler(name, password):\n    user = find_user(name)\n    return Session().open(user)\n\n\ndef make_token(user):\n    return hashlib.sha256(user.encode()).hexdigest()\n",
     "src/auth/store.py": "def find_user(name):\n    return connect_database().lookup(name)\n\n\ndef connect_database():\n    return {}\n",
