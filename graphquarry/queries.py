@@ -497,6 +497,39 @@ def session_budget(spark, d):
     return session.budgets(a, "conv_id", "turn").select("conv_id", "turn", "budget")
 
 
+_SUBS = "list_distinct(list_transform(list_sort(k)[1:3], lambda x: left(x, 2)))"
+
+
+@query(
+    f"""WITH a AS (SELECT conv_id, turn, {_WORDS} AS k, md5(text) AS h FROM conversations WHERE role = 'user'),
+    b AS (SELECT *, {_SUBS} AS s FROM a),
+    p AS (SELECT *, lag(k) OVER w AS lk, lag(s) OVER w AS ls, lag(h) OVER w AS lh FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    c AS (SELECT *, ({_HIT('k', 'lk')} + {_HIT('lk', 'k')}) / 2.0::DOUBLE AS ck, ({_HIT('s', 'ls')} + {_HIT('ls', 's')}) / 2.0::DOUBLE AS cs FROM p),
+    r AS (SELECT *, CASE WHEN len(k) + len(lk) - ck > 0 THEN ck / (len(k) + len(lk) - ck) ELSE 0 END AS by_words, CASE WHEN len(s) + len(ls) - cs > 0 THEN cs / (len(s) + len(ls) - cs) ELSE 0 END AS by_subs FROM c)
+    SELECT conv_id, turn, CASE WHEN lk IS NULL THEN 'full' WHEN h = lh THEN 'skip' WHEN CASE WHEN len(s) = 0 OR len(ls) = 0 THEN by_words ELSE by_words * 0.7::DOUBLE + by_subs * 0.3::DOUBLE END >= 0.35 THEN 'brief' ELSE 'full' END AS budget FROM r"""
+)
+def streamed_session_budgets(spark, d):
+    """Budgets by two streams: the second, with a checkpoint of its own, goes on from the sessions that the first one left."""
+    from .streaming import sessions
+
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source = f"{d}/conversations.parquet"
+    kws = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.octet_length(w) >= 3))
+    turns = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*").filter("role = 'user'")
+    subs = F.array_distinct(F.transform(F.slice(F.array_sort("kws"), 1, 3), lambda x: F.substring(x, 1, 2)))
+    asks = turns.select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("ask_id"), kws.alias("kws"), F.md5("text").alias("output_hash")).withColumn("subsystems", subs)
+
+    def run(rows: DataFrame, name: str, saved: DataFrame | None) -> DataFrame:
+        out = sessions.session_budgets(rows, saved=saved, idle=None).writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/at-{name}")
+        out.trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema("session string, ask_id long, budget string").parquet(f"{folder}/{name}")
+
+    first = run(asks.filter("ask_id < 4"), "first", None)
+    session.save_last(sessions.sessions_at(spark, f"{folder}/at-first"), f"{folder}/saved")
+    second = run(asks.filter("ask_id >= 4"), "second", session.load_last(spark, f"{folder}/saved"))
+    return first.unionByName(second).select(F.col("session").cast("long").alias("conv_id"), F.col("ask_id").alias("turn"), "budget")
+
+
 # --- packaging
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.session import SAME_TOPIC
@@ -65,6 +66,77 @@ def streamed_budgets(asks: DataFrame, *, idle: int | None = 24 * 3600 * 1000) ->
     return asks.groupBy("session").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class SessionBudgets(StatefulProcessor):
+    """The last question of a session as a value that lives ``idle`` milliseconds, from what was saved before if there is any.
+
+    With ``closing``, a timer tells when a session has been idle so long, by a row without a question.
+    """
+
+    def __init__(self, idle: int | None, closing: bool):
+        self.idle, self.closing = idle, closing
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", _STATE, self.idle)
+
+    def _keep(self, last: tuple, timers) -> None:
+        self.last.update(last)
+        if self.closing:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self._keep(_question(next(initialState.itertuples())), timerValues)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get() if self.last.exists() else None
+        out = []
+        for r in pd.concat(list(rows)).sort_values("ask_id").itertuples():
+            now = _question(r)
+            out.append((key[0], r.ask_id, decided(*now, last)))
+            last = now
+        self._keep(last, timerValues)
+        yield pd.DataFrame(out, columns=["session", "ask_id", "budget"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame({"session": [key[0]], "ask_id": pd.array([None], "Int64"), "budget": ["closed"]})
+
+    def close(self) -> None:
+        pass
+
+
+def _question(r) -> tuple[list[str], list[str], str | None]:
+    some = lambda x: list(x) if x is not None else []
+    return some(r.kws), some(r.subsystems), r.output_hash
+
+
+def session_budgets(asks: DataFrame, *, saved: DataFrame | None = None, idle: int | None = 24 * 3600 * 1000, closing: bool = False) -> DataFrame:
+    """session, ask_id, budget of a stream of session, ask_id, kws, subsystems, output_hash, going on from saved sessions.
+
+    ``saved`` has sessions' last questions, one a session, as operators.session.load_last reads them; they
+    are taken in when the stream first starts.  A session idle for ``idle`` milliseconds begins anew (None:
+    never); with closing, a row with budget ``closed`` and no ask_id tells of it.  Questions of one trigger
+    are taken in order of ask_id.  With ``idle``, a stream also runs batches without data, so one over available
+    data doesn't end by itself.  State is kept by RocksDB, which the session is set to.
+    """
+    asks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    first = None if saved is None else saved.select("session", "kws", "subsystems", "output_hash").groupBy("session")
+    cols = asks.select("session", "ask_id", "kws", "subsystems", "output_hash")
+    return cols.groupBy("session").transformWithStateInPandas(SessionBudgets(idle, closing), _OUT, "append", "ProcessingTime" if idle else "None", first)
+
+
+def sessions_at(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """session, kws, subsystems, output_hash: the sessions' last questions in a stopped stream's checkpoint, to be saved and gone on from."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "last").load()
+    value = "value.value" if "value" in state.schema["value"].dataType.names else "value"
+    return state.select("key.session", f"{value}.kws", f"{value}.subsystems", f"{value}.output_hash")
+
+
 def refreshed(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, *, trigger: str = "300 seconds"):
     """Start a stream that hands each batch of changed files to ``apply`` (usually a refresh and a snapshot)."""
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
