@@ -189,14 +189,14 @@ def posting_corrections(batches):
             yield _frame(lang, names, pairs[:, 0], pairs[:, 1], np.array([of_pair[a, z] for a, z in pairs.tolist()], np.int64))
 
 
-def audit(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = 3, top: int = 200, heavy: float = 0.25, cells: int = 1_000_000, block: int = 64) -> DataFrame:
+def audit(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = 3, top: int = 200, heavy: float = 0.25, cells: int = 100_000, block: int = 64) -> DataFrame:
     """lang, source, part, item, value, rank: how far each group is from each other source of its language, and by which terms.
 
     Part ``pair``: item is another source of the language, value the sum over all kept terms (0 if none are).
     Part ``term``: item is a term that the group has, with a greater share than in the whole language, value how
     far these shares are apart; the first ``top`` by rank.  Terms are kept that stand in ``min_docs`` documents of
     their language at least.  A term is heavy if it is in more than ``heavy`` of its language's groups; a dense tile
-    holds about ``cells`` counts, a sparse one ``block`` groups against all.
+    holds about ``cells`` counts, or as many terms as there are groups, a sparse one ``block`` groups against all.
 
     Null texts have no terms, and null languages and sources are ''; a group without terms is compared like
     others; rows that repeat count each; texts of any length are read whole; an empty table gives an empty
@@ -218,7 +218,7 @@ def audit(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     of_lang = spread_of.groupBy("lang").agg(F.sum("v").alias("v"), F.sum(F.when(is_heavy, F.col("v")).otherwise(0)).alias("n_heavy")).join(whole, "lang")
     none = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     facts = marks.join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left")
-    facts = facts.select("lang", "source", "g", (none("v") - none("n_heavy")).alias("light"), F.greatest(none("total") + none("v"), F.lit(1)).alias("of"), (none("whole") + none("v")).alias("of_whole"), F.ceil(none("n_heavy") * F.col("g") / F.lit(cells)).alias("tiles"), F.ceil(F.col("g") / F.lit(block)).alias("blocks"))
+    facts = facts.select("lang", "source", "g", (none("v") - none("n_heavy")).alias("light"), F.greatest(none("total") + none("v"), F.lit(1)).alias("of"), (none("whole") + none("v")).alias("of_whole"), F.ceil(none("n_heavy") / F.greatest(F.lit(cells) / F.col("g"), F.col("g"))).alias("tiles"), F.ceil(F.col("g") / F.lit(block)).alias("blocks"))
     facts = cut(facts)  # its size is known then, so that it is broadcast only while small
     full = terms.join(facts, ["lang", "source"]).withColumn("heavy", is_heavy)
 
