@@ -822,6 +822,16 @@ def keyed_scans(spark, d):
     return shown(symbols, "symbol", "name").unionByName(shown(k.imports_of(files), "import", "module")).unionByName(shown(k.calls_of(symbols.select("id")), "call", "callee_name")).unionByName(shown(tests, "test", "path"))
 
 
+@query(f"SELECT repo, x.* FROM ({SQL['analyze_files']}) x, (VALUES ('copy'), ('tables')) r(repo)")
+def repository_files(spark, d):
+    """Files found in two repositories at once that hold the same: each gives what it would by itself."""
+    from .plans import analyze
+
+    rel = _relations(spark, d)
+    got = analyze.analyze_repositories(_asked(spark), {"tables": rel, "copy": rel})
+    return got.select("repo", "query_id", F.explode("files").alias("x")).select("repo", "query_id", "x.rank", "x.path", "x.score")
+
+
 _CHANGED = "(name LIKE '%bolt' OR name LIKE 'red%')"
 
 
