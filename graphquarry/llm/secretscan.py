@@ -18,6 +18,7 @@ import hashlib
 import math
 import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -236,27 +237,38 @@ def masked(text: str, spans: list[tuple[int, int, str]], mask: str = "[SECRET]")
     return "".join([*parts, text[at:]])
 
 
-def _places(docs: list[str | None]) -> dict[str, list[int]]:
-    """word: [documents, bits]: one place a document, told by a bit that the words beside it choose; not at a credential's place."""
-    seen: dict[str, list[int]] = {}
-    for t in docs:
-        words = utf8(t).split() if t else []
-        if len(words) < 3:
-            continue
-        own: dict[bytes, int] = {}
-        for w, (before, after) in dict(zip(words[1:], zip(words, words[2:]))).items():
-            if before[-1] not in b":=>" and not CUE.search(before):
-                w = w.strip(b".,;:!?\"'()[]").lower()
-                if WORD_LETTERS[0] <= len(w) <= WORD_LETTERS[1] and w.isalpha():
-                    own[w] = own.get(w, 0) | 1 << (zlib.crc32(after, zlib.crc32(before)) & 63)
-        for w, bits in own.items():
-            got = seen.get(w)
-            if got:
-                got[0] += 1
-                got[1] |= bits
-            else:
-                seen[w] = [1, bits]
-    return seen
+def _bare(token: bytes) -> bytes:
+    """The word of 3 to 20 letters in a token, in lower case; or nothing."""
+    w = token.strip(b".,;:!?\"'()[]").lower()
+    return w if WORD_LETTERS[0] <= len(w) <= WORD_LETTERS[1] and w.isalpha() else b""
+
+
+def _places(docs: list[str | None], at_once: int = 500) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(words, documents, bits): one place a document for each spelling, told by a bit that the words beside it choose.
+
+    The last place of a spelling counts, if no credential may stand there.
+    """
+    number: dict[bytes, int] = {}  # of tokens, in order
+    words: dict[bytes, int] = {}
+    word, check = np.empty(0, np.int64), np.empty(0, np.int64)  # by token: its word's number or -1, and its checksum, -1 before a credential
+    held, bits = np.empty(0, np.int64), np.empty(0, np.uint64)
+    for at in range(0, len(docs), at_once):
+        texts = [utf8(t).split() if t else [] for t in docs[at : at + at_once]]
+        known = len(number)
+        token = np.array([number.setdefault(w, len(number)) for ws in texts for w in ws], np.int64)
+        new = list(islice(number, known, None))
+        bare = [_bare(w) for w in new]
+        word = np.append(word, np.array([words.setdefault(w, len(words)) if w else -1 for w in bare], np.int64))
+        check = np.append(check, np.array([-1 if w[-1] in b":=>" or CUE.search(w) else zlib.crc32(w) for w in new], np.int64))
+        held, bits = np.append(held, np.zeros(len(words) - len(held), np.int64)), np.append(bits, np.zeros(len(words) - len(bits), np.uint64))
+        doc = np.repeat(np.arange(len(texts)), [len(ws) for ws in texts])
+        i = np.flatnonzero((doc[2:] == doc[:-2]) & (word[token[1:-1]] >= 0))[::-1] + 1  # words between two of their text, the last ones first
+        i = i[np.unique(doc[i] << 32 | token[i], return_index=True)[1]]
+        i = i[check[token[i - 1]] >= 0]
+        w = word[token[i]]
+        np.bitwise_or.at(bits, w, np.uint64(1) << (check[token[i - 1]] + 31 * np.abs(check[token[i + 1]]) & 63).astype(np.uint64))
+        held += np.bincount(np.unique(doc[i] << 32 | w) & 0xFFFFFFFF, minlength=len(words))
+    return list(words), held, bits
 
 
 def learned_words(docs: DataFrame, *, text: str = "text", most: int = 20_000, unlike: int = 24) -> list[str]:
@@ -272,9 +284,8 @@ def learned_words(docs: DataFrame, *, text: str = "text", most: int = 20_000, un
 
     def count(batches):
         for b in batches:
-            seen = _places(b.column(0).to_pylist())
-            n, bits = ([x[k] for x in seen.values()] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(np.array(bits, np.uint64).view(np.int64), pa.int64())], names=["w", "n", "bits"])
+            words, n, bits = _places(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n), pa.array(bits.view(np.int64))], names=["w", "n", "bits"])
 
     found = docs.select(text).mapInArrow(count, "w string, n long, bits long").groupBy("w").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits")).filter(F.bit_count("bits") >= unlike)
     # only words from the step of counts on that fills the list go into the sort, so its tasks send few more than ``most`` in all

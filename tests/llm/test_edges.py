@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphquarry.llm import decontam, langid, lmscore, mixing, passages, quality, secretscan, simhash, toxicity, warc
+from graphquarry.llm import decontam, langid, lmscore, mixing, passages, periods, quality, secretscan, simhash, toxicity, warc
 
 LONG = "the quick brown fox jumps over the lazy dog " * 20_000
 ROWS = [
@@ -21,7 +21,7 @@ ROWS = [
     (8, "Über \U0001f600 çà   x y", "fr", "b"),
     (9, "12345 !!! ---", "en", "c"),
 ]
-CLASHES = ("n_words", "spans", "items", "secrets", "score", "row_mark", "key", "fp", "i", "r", "m", "lo_symbol_rate", "f_lang", "nth", "got", "held_out", "label")
+CLASHES = ("n_words", "spans", "items", "secrets", "score", "row_mark", "key", "fp", "i", "r", "m", "lo_symbol_rate", "f_lang", "runs", "collapsed", "nth", "got", "held_out", "label")
 SCHEMA = "doc_id long, text string, lang string, source string"
 
 
@@ -57,6 +57,7 @@ OPERATORS = {
     "mixing": lambda d, b, y: mixing.mix(d),
     "secretscan": lambda d, b, y: secretscan.digests(d),
     "decontam": lambda d, b, y: decontam.contamination(d, b),
+    "periods": lambda d, b, y: periods.periodic_runs(d),
 }
 
 
@@ -102,5 +103,8 @@ def test_defined_results(odd, benchmark):
     assert c[4].n_hit == 3 and c[1].n_words == 0 and c[6].contaminated
     p = by(passages.repeated_passages(odd))
     assert p[6].n_dup_words > 170_000 and p[4].n_dup_words == 0
+    r = by(periods.periodic_runs(odd))
+    assert r[1].n_words == r[3].n_words == 0 and r[1].runs == [] and r[2].collapsed == ""
+    assert [tuple(x) for x in r[6].runs] == [(0, 180_000, 9)] and r[6].collapsed == "the quick brown fox jumps over the lazy dog"
     lm = by(lmscore.score(odd))
     assert lm[1].mean_log10 is None and lm[1].log10_score == 0
