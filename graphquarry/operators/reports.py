@@ -23,6 +23,16 @@ def side_means(runs: DataFrame, side: str, *by: str) -> DataFrame:
     return runs.groupBy(*by, side).agg(F.count("*").alias("n"), *means, share.alias("navigation_pct"))
 
 
+def task_report(runs: DataFrame, calls: DataFrame, *keys: str) -> DataFrame:
+    """runs (with these keys) with total, navigation, productive and files: what their calls (keys, file_path, is_navigation) did.
+
+    files counts the distinct paths that calls name; a run without calls has none of all.
+    """
+    n = lambda c: F.count_if(c)
+    done = calls.groupBy(*keys).agg(F.count("*").alias("total"), n(F.col("is_navigation")).alias("navigation"), n(~F.col("is_navigation")).alias("productive"), F.count_distinct("file_path").alias("files"))
+    return runs.join(done, list(keys), "left").na.fill(0, ["total", "navigation", "productive", "files"])
+
+
 def run_report(calls: DataFrame, suggested: DataFrame, productive: tuple[str, ...], prefix: str | None = None) -> DataFrame:
     """run, read, written, suggested, n_hits, n_misses, n_unused, precision, recall, missed, created.
 

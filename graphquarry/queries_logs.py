@@ -12,6 +12,7 @@ from .functions import paths, scoring, text
 from .operators import context, evaluate, index, reports, session, tokens
 from .queries import _BASE, _CALLS, _DESCRIBED, _FILES, _STEM, _relations, files_of, query, table
 from .sources import logs
+from .storage import cut
 
 _K = "json_extract(props, '$.k')::BIGINT"
 _KIND = "CASE event_id % 5 WHEN 0 THEN 'Read' WHEN 1 THEN 'Grep' WHEN 2 THEN 'Write' WHEN 3 THEN 'Bash' ELSE 'Edit' END"
@@ -263,3 +264,33 @@ def index_counters(spark, d):
 def dense_numbers(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("size"))
     return index.numbered(p, "name", "p_partkey", running={"before": "size"}).select(F.col("p_partkey").alias("id"), "name", F.col("id").cast("long").alias("number"), F.col("before"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS category FROM orders),
+    runs AS (SELECT category, 'without' AS side, k % 3 AS navigation, k % 2 + 2 AS productive, k % 2 + 1 AS files, (k % 50) / 4.0::DOUBLE AS cost, k * 10 + 7 AS input FROM o
+      UNION ALL SELECT category, 'with', k % 2, 1, 1, (k % 20) / 4.0::DOUBLE, k * 5 + 3 FROM o WHERE k % 4 <> 0)
+    SELECT category, side, count(*) AS n, round(avg(navigation + productive), 6) AS mean_total, round(avg(navigation), 6) AS mean_navigation, round(avg(productive), 6) AS mean_productive, round(avg(files), 6) AS mean_files, round(100.0::DOUBLE * sum(navigation) / sum(navigation + productive), 6) AS navigation_pct, round(sum(cost), 6) AS cost, sum(input)::BIGINT AS input_tokens FROM runs GROUP BY category, side"""
+)
+def results_documents(spark, d):
+    """A results document of each customer, in one of three shapes, told by category and side."""
+    k = F.col("o_orderkey")
+    tool = lambda name, preview: F.struct(F.lit(name).alias("name"), preview.alias("input_preview"))
+    path = lambda i: F.concat(F.lit("{'file_path': '/w/src/f"), i.cast("string"), F.lit(".py', ..."))
+    some = lambda n, f: F.filter(F.transform(F.sequence(F.lit(1), F.lit(3)), f), lambda x, i: i < n)
+    usage = lambda n: F.array(F.struct(F.lit(1).alias("turn"), n.alias("input_tokens")), F.struct(F.lit(2).alias("turn"), F.lit(3).cast("long").alias("input_tokens")))
+    read = F.concat(some(k % 2 + 1, lambda i: tool("Read", path(i))), F.array(tool("Write", path(F.lit(1)))), some(k % 3, lambda i: tool("Grep", F.lit("TODO"))))
+    without = F.struct(((k % 50) / 4).alias("cost_usd"), read.alias("tools"), usage(k * 10 + 4).alias("per_message_usage"), F.lit("ignored").alias("more"))
+    with_ = F.struct(((k % 20) / 4).alias("cost_usd"), F.concat(F.array(tool("Edit", path(k))), some(k % 2, lambda i: tool("Bash", F.lit("ls")))).alias("tools"), usage(k * 5).alias("per_message_usage"))
+    task = F.struct(F.when(F.col("o_custkey") % 3 < 2, F.col("o_orderpriority")).alias("category"), F.when(F.col("o_custkey") % 3 == 2, F.col("o_orderpriority")).alias("repo"), without.alias("without"), F.when(k % 4 != 0, with_).alias("with"))
+    per = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(task).alias("tasks"))
+    shapes = (F.transform("tasks", lambda t: F.array(t)), F.transform("tasks", lambda t, i: F.struct((i + 1).alias("round"), F.array(t).alias("tasks"))), F.array(F.struct(F.col("tasks").alias("results"))))
+    json = [F.to_json(F.struct(x.alias("rounds"))) for x in shapes]
+    docs = per.select("o_custkey", F.when(F.col("o_custkey") % 3 == 0, json[0]).when(F.col("o_custkey") % 3 == 1, json[1]).otherwise(json[2]).alias("doc"))
+    keys = ("o_custkey", "round", "nth", "category", "side")
+    runs = cut(logs.task_runs(docs))
+    told = reports.task_report(runs.select(*keys, "cost_usd"), logs.task_tool_calls(runs, *keys), *keys)
+    means = reports.side_means(told, "side", "category")
+    sums = told.groupBy("category", "side").agg(F.sum("cost_usd").alias("cost")).join(logs.task_usages(runs, *keys).groupBy("category", "side").agg(F.sum("input_tokens").alias("input_tokens")), ["category", "side"])
+    r = lambda c: F.round(c, 6).alias(c)
+    return means.join(sums, ["category", "side"]).select("category", "side", "n", *map(r, ("mean_total", "mean_navigation", "mean_productive", "mean_files", "navigation_pct", "cost")), "input_tokens")

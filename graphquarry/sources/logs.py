@@ -85,6 +85,44 @@ def tasks(documents: DataFrame, doc: str = "doc") -> DataFrame:
     return rounds.select((F.col("round") + 1).alias("round"), F.explode_outer(inner).alias("task"))
 
 
+_RUN = "struct<cost_usd:double,input_tokens:bigint,output_tokens:bigint,tool_calls:bigint,wall_time_s:double,tools:array<struct<name:string,input_preview:string>>,per_message_usage:array<struct<turn:bigint,input_tokens:bigint,output_tokens:bigint,cache_read:bigint,cache_creation:bigint>>>"
+#: By side, the key under which a task has its run.
+SIDES = {"without": "without", "with": "with"}
+
+
+def task_runs(documents: DataFrame, doc: str = "doc", *, sides: dict[str, str] = SIDES) -> DataFrame:
+    """documents' other columns, run, round, nth, category, side, cost_usd, input_tokens, output_tokens, tool_calls, seconds, tools, usage: a row a run.
+
+    Rounds are lists of tasks, or objects with tasks or results and maybe their number; a task has a category
+    or a repo and a run for each side, under its key.  Runs that are missing, or aren't objects, give no row;
+    fields that are missing or of another type are null.  Documents that aren't JSON give nothing.
+    """
+    carry = [c for c in documents.columns if c != doc]
+    rounds = documents.select(*carry, F.try_parse_json(doc).alias("d")).select(*carry, F.expr("posexplode(try_variant_get(d, '$.rounds', 'array<variant>'))").alias("at", "r"))
+    inner = F.expr("coalesce(try_variant_get(r, '$', 'array<variant>'), try_variant_get(r, '$.tasks', 'array<variant>'), try_variant_get(r, '$.results', 'array<variant>'))")
+    number = F.coalesce(F.expr("try_variant_get(r, '$.round', 'int')"), F.col("at") + 1)
+    found = rounds.select(*carry, number.alias("round"), F.posexplode(inner).alias("nth", "t"))
+    category = F.expr("coalesce(try_variant_get(t, '$.category', 'string'), try_variant_get(t, '$.repo', 'string'), 'unknown')")
+    each = F.array(*(F.struct(F.lit(side).alias("side"), F.expr(f"try_variant_get(t, '$.{key}', '{_RUN}')").alias("x")) for side, key in sides.items()))
+    runs = found.select(*carry, "round", "nth", category.alias("category"), F.explode(each).alias("s")).filter("s.x is not null")
+    run = F.concat(F.lit("R"), F.col("round").cast("string"), F.lit("/"), F.col("category"), F.lit("_"), F.col("s.side"))
+    plain = ("cost_usd", "input_tokens", "output_tokens", "tool_calls")
+    return runs.select(*carry, run.alias("run"), "round", "nth", "category", F.col("s.side").alias("side"), *(F.col(f"s.x.{c}").alias(c) for c in plain), F.col("s.x.wall_time_s").alias("seconds"), F.col("s.x.tools").alias("tools"), F.col("s.x.per_message_usage").alias("usage"))
+
+
+def task_tool_calls(runs: DataFrame, *keys: str) -> DataFrame:
+    """keys, pos, tool, file_path, is_navigation of the tools of task_runs, as far as their inputs' previews show paths."""
+    items = runs.select(*keys, F.posexplode("tools").alias("pos", "i"))
+    return items.select(*keys, "pos", F.col("i.name").alias("tool"), preview_path(F.col("i.input_preview")).alias("file_path"), F.col("i.name").isin(*NAVIGATION).alias("is_navigation"))
+
+
+def task_usages(runs: DataFrame, *keys: str) -> DataFrame:
+    """keys, turn, input_tokens, output_tokens, cache_read, cache_creation of task_runs; what is missing is 0."""
+    u = runs.select(*keys, F.posexplode("usage").alias("at", "u"))
+    zero = lambda c: F.coalesce(F.col(f"u.{c}"), F.lit(0)).alias(c)
+    return u.select(*keys, F.coalesce("u.turn", F.col("at") + 1).alias("turn"), *map(zero, ("input_tokens", "output_tokens", "cache_read", "cache_creation")))
+
+
 def workspace_prefix(path: Column, marker: str = "/ab-workspace/") -> Column:
     """Up to and with the directory below the marker that names a side; null if there is none."""
     return F.nullif(F.regexp_extract(path, f"^(.*{marker}[^/]+/)", 1), F.lit(""))

@@ -141,6 +141,18 @@ def test_log_form_b_and_results(spark, tmp_path):
     assert sorted((x.round, x.c) for x in t.select("round", F.expr("variant_get(task, '$.category', 'string')").alias("c")).collect()) == [(1, "a"), (1, "b"), (1, "c"), (2, "d")]
 
 
+def test_runs_of_results_documents(spark):
+    run = {"cost_usd": 1.5, "input_tokens": 7, "tools": [{"name": "Read", "input_preview": "{'file_path': 'a.py'}"}, {"name": "Grep"}], "per_message_usage": [{"input_tokens": 5}, {"turn": 9, "cache_read": 2}]}
+    docs = [{"rounds": [[{"category": "a", "without": run}], []]}, {"rounds": [{"round": 7, "tasks": [{"repo": "r", "without": run, "with_it": {"cost_usd": "x"}}]}, {"results": [{"with_it": run, "without": 3}]}]}, {"rounds": 5}, [1]]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate([*map(json.dumps, docs), "no json", None])], "id int, doc string")
+    r = logs.task_runs(d, sides={"without": "without", "with": "with_it"})
+    assert sorted((x.id, x.run, x.nth, x.cost_usd, x.input_tokens) for x in r.filter("cost_usd is not null").collect()) == [(0, "R1/a_without", 0, 1.5, 7), (1, "R2/unknown_with", 0, 1.5, 7), (1, "R7/r_without", 0, 1.5, 7)]
+    assert [(x.run, x.tools) for x in r.filter("cost_usd is null").collect()] in ([("R7/r_with", None)], [])
+    one = r.filter("id = 0")
+    assert [tuple(x) for x in logs.task_tool_calls(one, "run").collect()] == [("R1/a_without", 0, "Read", "a.py", False), ("R1/a_without", 1, "Grep", None, True)]
+    assert [tuple(x) for x in logs.task_usages(one, "run").collect()] == [("R1/a_without", 1, 5, 0, 0, 0), ("R1/a_without", 9, 0, 0, 2, 0)]
+
+
 def test_log_helpers(spark):
     d = spark.createDataFrame([("x_turn2.jsonl", "/h/ab-workspace/with/src/a.py", "{'file_path': '/a/b.py', ..."), ("x_turn0.jsonl", "/other/a.py", "{'file_path': '/a/long")], "run string, p string, v string")
     got = d.select(logs.is_followup(F.col("run")), logs.workspace_prefix(F.col("p")), logs.preview_path(F.col("v"))).collect()
