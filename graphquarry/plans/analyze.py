@@ -145,8 +145,10 @@ def estimated(results: DataFrame, rel: Relations, contents: DataFrame) -> DataFr
     ids = of("files").select("query_id", "x.file_id").unionByName(of("symbols").select("query_id", "x.file_id")).unionByName(of("tests").select("query_id", "x.file_id"))
     steps = of("paths").select("query_id", F.posexplode("x").alias("nth", "s")).select("query_id", "nth", F.col("s.path").alias("path")).join(size, "path")
     relevant = ids.unionByName(steps.select("query_id", "file_id")).distinct().join(size, "file_id").select("query_id", "file_id", "tokens")
-    low = F.lower("path")
-    others = results.select("query_id", "keywords").join(size.filter("language is not null and not is_test"), F.exists("keywords", lambda k: F.contains(low, k))).join(relevant.select("query_id", "file_id"), ["query_id", "file_id"], "left_anti").select("query_id", "file_id", "tokens")
+    known = size.filter("language is not null and not is_test")
+    words = results.select("query_id", F.explode("keywords").alias("term"))
+    named = retrieve.matched(known, "path", words, wild=False).join(words, "term").select("query_id", "file_id", "tokens").distinct()
+    others = named.join(relevant.select("query_id", "file_id"), ["query_id", "file_id"], "left_anti")
     targeted = of("symbols").select("query_id", "x.file_id").unionByName(steps.filter("nth < 2").select("query_id", "file_id")).distinct().join(relevant, ["query_id", "file_id"])
     totals = rel["files"].agg(F.count("*").alias("n_files")).crossJoin(tokens.dir_depth(rel["files"]))
     return tokens.simulated(asked, relevant, others, targeted, totals)
