@@ -261,11 +261,14 @@ def write_delta(spark: SparkSession, folder: str, removed: Relations, added: Rel
     return _committed(spark, folder, number + 1, f"delta-{uuid.uuid4().hex}", tables, content["parts"])
 
 
-def refresh_snapshot(spark: SparkSession, folder: str, tree: DataFrame, *, head: str | None = None) -> int | None:
-    """Bring the latest version up to tree by a delta, and give its number; None if nothing changed."""
+def refresh_snapshot(spark: SparkSession, folder: str, tree: DataFrame, *, head: str | None = None, listed: DataFrame | None = None) -> int | None:
+    """Bring the latest version up to tree by a delta, and give its number; None if nothing changed.
+
+    With ``listed`` (see changes), tree has to hold the changed files alone.
+    """
     number, _ = versions.latest(spark, folder)
     rel = read_snapshot(spark, folder, version=number)
-    found = changes(rel, tree)
+    found = changes(rel, tree, listed)
     if found is None:
         return None
     metadata = set_metadata(rel["metadata"], "head", head) if head else rel["metadata"]
@@ -339,13 +342,16 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "path", mark:
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
 
 
-def changes(rel: Relations, tree: DataFrame) -> tuple[Relations, Relations] | None:
+def changes(rel: Relations, tree: DataFrame, listed: DataFrame | None = None) -> tuple[Relations, Relations] | None:
     """(ids removed, rows added) that bring rel up to tree (path, content, size, mtime); None if nothing changed.
 
+    ``listed`` (path, mtime) are all files there are now, where tree holds only those that changed; a file
+    is told to have changed by its time.
+
     Only changed files are parsed, and only the edges that they or their names touch are found again.
     Their ids and those of their symbols and edges are new, above all old ones; all else keeps its ids.
     """
-    diff = cut(snapshot_diff(rel["files"], tree).filter("change <> 'unchanged'"))
+    diff = cut(snapshot_diff(rel["files"], tree if listed is None else listed).filter("change <> 'unchanged'"))
     if diff.isEmpty():
         return None
     stale = cut(rel["files"].join(diff.filter("change in ('modified', 'deleted')"), "path", "left_semi").select(F.col("id").alias("file_id")))

@@ -56,9 +56,10 @@ def ignored_by(path: Column, patterns: list[str]) -> Column:
 
 
 def _listed(batches, uri: str, exclude: tuple[str, ...]):
-    """Entries of directories: path, is_dir, size, mtime, rules, from (path, rules); ignored ones and what is below them are left out.
+    """Directories (path, rules) and their entries, as rows of LISTED; ignored entries and what is below them are left out.
 
-    rules are the lines of ignore files above, as JSON of [directory, line]; a directory's own come after.
+    rules are the lines of ignore files above, as JSON of [directory, line]; a directory's own come after.  A
+    directory's row has the times it and its ignore file had just before it was listed.
     """
     from pyarrow import fs
 
@@ -72,13 +73,17 @@ def _listed(batches, uri: str, exclude: tuple[str, ...]):
 
     for b in batches:
         out = []
-        for at, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found = store.get_file_info(fs.FileSelector(f"{base}/{at}".rstrip("/"), allow_not_found=True))
-            rules = json.loads(text)
-            own = [i.path for i in found if i.base_name == ".gitignore" and i.type == fs.FileType.File]
-            rules += [[at, x] for x in (lines(own[0]) if own else [])]
+        for at, above in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            folder = f"{base}/{at}".rstrip("/")
+            itself, own = store.get_file_info([folder, f"{folder}/{IGNORE_FILE}"])
+            if itself.type != fs.FileType.Directory:
+                continue
+            found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+            rules = json.loads(above)
+            rules += [[at, x] for x in (lines(own.path) if own.type == fs.FileType.File else [])]
             parsed = [(d, r) for d, x in rules if (r := ignore_rule(x))]
             rules = json.dumps(rules)
+            out.append(("listed", at, 0, itself.mtime_ns or 0, own.mtime_ns or 0, above))
             for i in found:
                 path, is_dir = f"{at}/{i.base_name}".lstrip("/"), i.type == fs.FileType.Directory
                 spelt, ignored = path + "/" * is_dir, False
@@ -86,30 +91,56 @@ def _listed(batches, uri: str, exclude: tuple[str, ...]):
                     if re.match(pattern, spelt[len(d) :].lstrip("/")):
                         ignored = not back
                 if not ignored and not (is_dir and i.base_name in never) and not f"{path}/".startswith(exclude):
-                    out.append((path, is_dir, i.size or 0, int(i.mtime_ns // 1_000_000_000) if i.mtime_ns else 0, rules if is_dir else None))
-        kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string())
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["path", "is_dir", "size", "mtime", "rules"])
+                    out.append(("dir" if is_dir else "file", path, i.size or 0, i.mtime_ns or 0, 0, rules if is_dir else None))
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        cols = list(zip(*out, strict=True)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["entry", "path", "size", "mtime_ns", "ignore_ns", "rules"])
 
 
-def list_tree(spark: SparkSession, root: str, *, ignore: list[str] | None = None, exclude: list[str] | None = None, partitions: int | None = None) -> DataFrame:
-    """path, size, mtime of the files below root that no ignore file or list leaves out.
+IGNORE_FILE = ".gitignore"
+LISTED = "entry string, path string, size long, mtime_ns long, ignore_ns long, rules string"
+
+
+def located(root: str) -> str:
+    """root as a URI, or as an absolute local path."""
+    return root if "://" in root else os.path.abspath(root)
+
+
+def seconds(ns: str) -> Column:
+    return F.expr(f"{ns} div 1000000000").alias("mtime")
 
-    Directories are listed by tasks, a level of the tree at a time, so the driver holds no names.  The
-    ignore file of each directory holds for what is below it.
+
+def top_level(spark: SparkSession, ignore: list[str] | None = None) -> DataFrame:
+    """The root as a directory to be listed: path, rules."""
+    return spark.createDataFrame([("", json.dumps([["", x] for x in ignore or []]))], "path string, rules string")
+
+
+def list_below(level: DataFrame, root: str, *, known: DataFrame | None = None, exclude: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """Rows of LISTED for the directories of level (path, rules) and all below, but those of ``known`` (path) and what is below these.
+
+    Directories are listed by tasks, a level of the tree at a time, so the driver holds no names.
     """
-    uri = root if "://" in root else os.path.abspath(root)
+    spark, uri = level.sparkSession, located(root)
     out = tuple(d.strip("/") + "/" for d in exclude or [])
-    level = spark.createDataFrame([("", json.dumps([["", x] for x in ignore or []]))], "path string, rules string")
-    files = None
+    every = None
     while True:
         spread = level.repartition(partitions or spark.sparkContext.defaultParallelism)
-        found = cut(spread.mapInArrow(lambda it: _listed(it, uri, out), "path string, is_dir boolean, size long, mtime long, rules string"))
-        here = found.filter("not is_dir").select("path", "size", "mtime")
-        files = here if files is None else files.unionByName(here)
-        level = found.filter("is_dir").select("path", "rules")
+        found = cut(spread.mapInArrow(lambda it: _listed(it, uri, out), LISTED))
+        every = found if every is None else every.unionByName(found)
+        level = found.filter("entry = 'dir'").select("path", "rules")
+        if known is not None:
+            level = level.join(known.select("path"), "path", "left_anti")
         if level.isEmpty():
-            return files
+            return every.filter("entry <> 'dir'")
+
+
+def list_tree(spark: SparkSession, root: str, *, ignore: list[str] | None = None, exclude: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """path, size, mtime of the files below root that no ignore file or list leaves out.
+
+    The ignore file of each directory holds for what is below it.
+    """
+    found = list_below(top_level(spark, ignore), root, exclude=exclude, partitions=partitions)
+    return found.filter("entry = 'file'").select("path", "size", seconds("mtime_ns"))
 
 
 def read_tree(spark: SparkSession, root: str, *, ignore: list[str] | None = None, exclude: list[str] | None = None, partitions: int | None = None, unreadable: bool = False) -> DataFrame:
@@ -120,11 +151,16 @@ def read_tree(spark: SparkSession, root: str, *, ignore: list[str] | None = None
     (those of all directories are read too); ``exclude`` are relative directories left out.  Files that
     aren't UTF-8 are left out, or have a null content with ``unreadable``; files gone when read are left out.
     """
+    listed = list_tree(spark, root, ignore=ignore, exclude=exclude, partitions=partitions)
+    out = read_files(listed.filter(~paths.ignored_file(F.col("path"))), root, partitions=partitions)
+    return out if unreadable else out.filter("content is not null")
+
+
+def read_files(listed: DataFrame, root: str, *, partitions: int | None = None) -> DataFrame:
+    """path, content, size, mtime of the listed files (path, size, mtime) below root; content is null where it isn't UTF-8, and files gone are left out."""
     from pyarrow import fs
 
-    listed = list_tree(spark, root, ignore=ignore, exclude=exclude, partitions=partitions)
-    kept = listed.filter(~paths.ignored_file(F.col("path")))
-    uri = root if "://" in root else os.path.abspath(root)
+    uri = located(root)
 
     def read(batches):
         store, base = fs.FileSystem.from_uri(uri)
@@ -139,9 +175,8 @@ def read_tree(spark: SparkSession, root: str, *, ignore: list[str] | None = None
                     text = None
                 yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([text], pa.string()), pa.array([size], pa.int64()), pa.array([mtime], pa.int64())], names=["path", "content", "size", "mtime"])
 
-    spread = kept.repartition(partitions or spark.sparkContext.defaultParallelism)
-    out = spread.mapInArrow(read, "path string, content string, size long, mtime long")
-    return out if unreadable else out.filter("content is not null")
+    spread = listed.select("path", "size", "mtime").repartition(partitions or listed.sparkSession.sparkContext.defaultParallelism)
+    return spread.mapInArrow(read, "path string, content string, size long, mtime long")
 
 
 def described(tree: DataFrame) -> DataFrame:

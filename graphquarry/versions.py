@@ -64,3 +64,18 @@ def size(spark: SparkSession, folder: str, part: str) -> int:
     """Bytes of a part of the folder."""
     path, fs = _path(spark, folder, part)
     return fs.getContentSummary(path).getLength()
+
+
+def forgotten(spark: SparkSession, folder: str, upto: int) -> None:
+    """Delete the versions up to a number, and the parts that only they name."""
+    path, fs = _path(spark, folder, "versions")
+    numbers = sorted(int(n[:-5]) for s in fs.listStatus(path) if (n := s.getPath().getName()).endswith(".json") and n[:-5].isdigit())
+    old = [n for n in numbers if n <= upto]
+    if not old:
+        return
+    live = {at(spark, folder, n).get("part") for n in numbers if n > upto}
+    for n in old:
+        part = at(spark, folder, n).get("part")
+        if part and part not in live:
+            removed(spark, folder, part)
+        fs.delete(_path(spark, folder, "versions", f"{n:012d}.json")[0], False)
