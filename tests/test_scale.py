@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphquarry.operators import index
+from graphquarry.storage import cut
 
 
 def test_edges_left_are_counted_without_making_them(spark):
@@ -16,3 +17,20 @@ def test_edges_left_are_counted_without_making_them(spark):
         want = index.without_files(rel, ids)["edges"].agg(F.count("*"), F.sum("source_symbol_id")).first()
         got = index.resolved_left(calls, symbols, ids).agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("total")).first()
         assert tuple(got) == tuple(want)
+
+
+def test_common_keys_are_dealt_over_many_tasks(spark):
+    left = spark.range(300).select(F.col("id").alias("a"), F.when(F.col("id") < 200, "hot").when(F.col("id") < 290, F.concat(F.lit("k"), F.col("id") % 7)).alias("key"))
+    right = spark.range(250).select(F.col("id").alias("b"), F.when(F.col("id") < 150, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 9)).alias("key"))
+    got = cut(index.meeting(left, right, "key", pairs=500).withColumn("task", F.spark_partition_id()))
+    pairs = lambda df: sorted((r.a, r.b) for r in df.select("a", "b").collect())
+    assert pairs(got) == pairs(left.join(right, "key"))
+    assert got.groupBy("task").count().agg(F.max("count")).first()[0] < 6000 and got.select("task").distinct().count() > 20  # 30,000 are of one key
+    assert index.meeting(left.limit(0), right, "key").count() == 0
+
+
+def test_tests_of_one_name_are_no_task_of_their_own(spark):
+    files = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, "tests/test_a.py").otherwise("src/a.py").alias("path"), (F.col("id") % 2 == 0).alias("is_test"))
+    plan = index.test_edges_by_name(files)._jdf.queryExecution().executedPlan().toString()
+    assert index.test_edges_by_name(files).count() == 200 * 200
+    assert "_i" in plan and "REPARTITION_BY_NUM" in plan
