@@ -34,3 +34,11 @@ def test_tests_of_one_name_are_no_task_of_their_own(spark):
     plan = index.test_edges_by_name(files)._jdf.queryExecution().executedPlan().toString()
     assert index.test_edges_by_name(files).count() == 200 * 200
     assert "_i" in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_paths_that_many_files_have_are_searched_once(spark):
+    files = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("tests/test_"), "id", F.lit(".py"))).when(F.col("id") % 3 == 1, "src/large/red.py").otherwise("src/small/red.py").alias("path"), (F.col("id") % 3 == 0).alias("is_test"))
+    imports = files.select(F.col("id").alias("file_id"), F.when(F.col("id") % 2 == 0, "large.red").otherwise("src").alias("module"))
+    edges = index.test_edges_by_import(files, imports)
+    assert edges.count() == 50 * 100 + 50 * 200 and edges.distinct().count() == 50 * 100 + 50 * 200
+    assert "REPARTITION_BY_NUM" in edges._jdf.queryExecution().executedPlan().toString()
