@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from graphquarry import queries as engine
 from graphquarry import queries_logs  # noqa: F401  (adds its queries)
 from graphquarry.functions import text
-from graphquarry.operators import index
+from graphquarry.operators import index, trace
 from graphquarry.storage import cut
 
 
@@ -60,3 +60,13 @@ def test_shown_texts_like_sql_where_keys_pass_a_day(spark, tmp_path):
     con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
     got = sorted(map(tuple, engine.QUERIES["shown_texts"](spark, str(tmp_path)).select("id", "reason", "age", "change").collect()))
     assert got == sorted(con.execute(engine.SQL["shown_texts"]).fetchall())
+
+
+def test_names_give_a_seed_no_more_than_their_shares(spark):
+    symbols = spark.range(600).select("id", F.concat(F.lit("n"), F.col("id") % 6).alias("name")).unionByName(spark.createDataFrame([(1000, "rare"), (-5, "rare")], "id long, name string"))
+    calls = spark.range(90).select((F.col("id") % 15).alias("caller_symbol_id"), F.when(F.col("id") % 11 == 0, "rare").otherwise(F.concat(F.lit("n"), F.floor(F.col("id") / 7) % 6)).alias("callee_name"))
+    seeds = symbols.select(F.col("id").alias("seed"))
+    for most in (4, 10, 50):
+        want = trace.first_steps(trace.traced(seeds, calls, symbols, hops=2), most)
+        rows = lambda df: sorted(map(tuple, df.select("seed", "symbol_id", "depth", "step").collect()))
+        assert rows(trace.first_traced(seeds, calls, symbols, most=most, hops=2)) == rows(want)
