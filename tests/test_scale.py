@@ -70,3 +70,14 @@ def test_names_give_a_seed_no_more_than_their_shares(spark):
         want = trace.first_steps(trace.traced(seeds, calls, symbols, hops=2), most)
         rows = lambda df: sorted(map(tuple, df.select("seed", "symbol_id", "depth", "step").collect()))
         assert rows(trace.first_traced(seeds, calls, symbols, most=most, hops=2)) == rows(want)
+
+
+def test_callers_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    symbols = spark.range(60).select("id", (F.col("id") % 5).alias("file_id"), F.concat(F.lit("n"), F.col("id") % 4).alias("name"))
+    calls = spark.range(800).select("id", (F.col("id") % 200).alias("caller_symbol_id"), F.when(F.col("id") % 9 > 0, F.concat(F.lit("n"), F.floor(F.col("id") / 200).cast("int"))).alias("callee_name"))
+    edges = index.resolved_calls(calls, symbols)
+    want = sorted(map(str, edges.groupBy("source_symbol_id", "target_file_id", "target_name").agg(F.count("*").alias("n"), F.count_distinct("target_symbol_id").alias("n_targets")).collect()))
+    monkeypatch.setattr(index, "TASK_CALLS", 20)
+    got = cut(index.resolution_counts(calls, symbols).withColumn("task", F.spark_partition_id()))
+    assert got.select("task").distinct().count() > 20 and sorted(map(str, got.drop("task").collect())) == want
+    assert sorted(map(str, index.resolution_counts(calls, symbols, few=0).collect())) == want
