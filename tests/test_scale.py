@@ -7,7 +7,7 @@ from graphquarry import queries as engine
 from graphquarry import queries_logs  # noqa: F401  (adds its queries)
 from graphquarry.functions import text
 from graphquarry.operators import index, trace
-from graphquarry.storage import cut
+from graphquarry.storage import by_measured_size, cut
 
 
 def test_edges_left_are_counted_without_making_them(spark):
@@ -81,3 +81,20 @@ def test_callers_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
     got = cut(index.resolution_counts(calls, symbols).withColumn("task", F.spark_partition_id()))
     assert got.select("task").distinct().count() > 20 and sorted(map(str, got.drop("task").collect())) == want
     assert sorted(map(str, index.resolution_counts(calls, symbols, few=0).collect())) == want
+
+
+def test_relations_are_not_sent_whole_by_their_files_size(spark, tmp_path):
+    spark.range(50_000).write.parquet(f"{tmp_path}/a")
+    spark.range(40_000).write.parquet(f"{tmp_path}/b")
+    met = lambda s: s.read.parquet(f"{tmp_path}/a").join(s.read.parquet(f"{tmp_path}/b"), "id")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    other = by_measured_size(spark)
+    assert "BroadcastExchange" in plan(met(spark)) and "BroadcastExchange" not in plan(met(other))
+    assert met(other).count() == 40_000
+    assert all(other.conf.get(k) == spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.checkpoint.dir", "spark.sql.session.timeZone"))
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+
+
+def test_questions_are_answered_by_measured_size(spark):
+    df = engine.QUERIES["analyze_symbols"](spark, "/root/testdata/sf0.001")
+    assert df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
