@@ -98,3 +98,15 @@ def test_relations_are_not_sent_whole_by_their_files_size(spark, tmp_path):
 def test_questions_are_answered_by_measured_size(spark):
     df = engine.QUERIES["analyze_symbols"](spark, "/root/testdata/sf0.001")
     assert df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+
+
+def test_only_a_little_is_sent_for_each_join(spark):
+    s = by_measured_size(spark)
+    side = lambda n: s.range(n).groupBy(F.xxhash64("id").alias("k")).agg(F.count("*").alias("n"))
+
+    def joined(n):
+        df = side(500_000).join(side(n).withColumnRenamed("n", "m"), "k")
+        assert len(df.collect()) == n
+        return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+    assert "BroadcastHashJoin" in joined(100) and "BroadcastHashJoin" not in joined(300_000)  # some 3 MB
