@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import aside, cut, discard, utf8
 
+#: Texts that a worker scans at once.
+AT_ONCE = 1_000
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the longest runs, so the same as all runs of which short ones are dropped
@@ -243,7 +245,7 @@ def _bare(token: bytes) -> bytes:
     return w if WORD_LETTERS[0] <= len(w) <= WORD_LETTERS[1] and w.isalpha() else b""
 
 
-def _places(docs: list[str | None], at_once: int = 500) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _places(docs: list[str | None] | pa.Array, at_once: int = 500) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(words, documents, bits): one place a document for each spelling, told by a bit that the words beside it choose.
 
     The last place of a spelling counts, if no credential may stand there.
@@ -253,7 +255,8 @@ def _places(docs: list[str | None], at_once: int = 500) -> tuple[list[bytes], np
     word, check = np.empty(0, np.int64), np.empty(0, np.int64)  # by token: its word's number or -1, and its checksum, -1 before a credential
     held, bits = np.empty(0, np.int64), np.empty(0, np.uint64)
     for at in range(0, len(docs), at_once):
-        texts = [utf8(t).split() if t else [] for t in docs[at : at + at_once]]
+        part = docs[at : at + at_once]
+        texts = [utf8(t).split() if t else [] for t in (part.to_pylist() if isinstance(part, pa.Array) else part)]
         known = len(number)
         token = np.array([number.setdefault(w, len(number)) for ws in texts for w in ws], np.int64)
         new = list(islice(number, known, None))
@@ -284,7 +287,7 @@ def learned_words(docs: DataFrame, *, text: str = "text", most: int = 20_000, un
 
     def count(batches):
         for b in batches:
-            words, n, bits = _places(b.column(0).to_pylist())
+            words, n, bits = _places(b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n), pa.array(bits.view(np.int64))], names=["w", "n", "bits"])
 
     found = docs.select(text).mapInArrow(count, "w string, n long, bits long").groupBy("w").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits")).filter(F.bit_count("bits") >= unlike)
@@ -322,7 +325,7 @@ def scan(docs: DataFrame, *, text: str = "text", mask: bool = False, min_log10:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def work(batches):
-        for b in batches:
+        for b in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
             k = b.schema.names.index(text)
             texts = b.column(k).to_pylist()
             found = [find_secrets(t, min_log10, ranks=ranks.value) for t in texts]

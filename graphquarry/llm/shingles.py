@@ -1,9 +1,12 @@
 """Near-duplicates by the Jaccard similarity of word shingles.
 
-Candidates share one of 20 bands of five MinHash values each: a pair at similarity 0.8 shares none
-with chance 4e-4, a closer one less.  Equal shingle sets are one node from the start.  Cells (nodes
-of equal band) with the same members are one cell; each gets its members' whole shingle sets and
-verifies pairs exactly.  Inside a cell nodes leave the search as soon as they are linked.
+Candidates come by SimHash: the components of all fingerprints within MAX_BITS of each other, found
+through their segment counts (see simhash).  Texts at similarity 0.8 differ in some ten bits of 64, out
+of reach of that search, so candidates also share one of 20 bands of five MinHash values each: a pair at
+similarity 0.8 shares none with chance 4e-4, a closer one less.  Equal shingle sets are one node from the
+start.  Cells (nodes of one component, or of equal band) with the same members are one cell; each gets
+its members' whole shingle sets and verifies pairs exactly.  Inside a cell nodes leave the search as soon
+as they are linked.
 """
 
 from __future__ import annotations
@@ -13,11 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import cut, utf8
 from .passages import _B, _mix, _WordHashes
 from .simhash import CELL, connected
 
 BANDS, ROWS = 20, 5
+#: Texts whose sets a worker makes at once.
+AT_ONCE = 1_000
+#: Bits by which fingerprints of one component's links differ at most.
+MAX_BITS = 4
 _RNG = np.random.default_rng(17)
 _XOR = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 _MUL = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -48,6 +56,14 @@ def bands(found: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a shingle set, signed: the bits that are set in over half of its hashes; 0 for an empty set."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(found), 1 << 16):
+        total += np.unpackbits(found[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(found), bitorder="little").tobytes(), "little", signed=True)
+
+
 def _node(found: np.ndarray) -> int:
     import xxhash
 
@@ -104,9 +120,23 @@ def _in_cells(batches, alike: float):
         yield solve(held)
 
 
+def components(nodes: DataFrame, cell_limit: int = CELL) -> DataFrame:
+    """cell, node: the nodes (node, fp) by the component of their fingerprints; those that are alone in one come along."""
+    distinct = nodes.select("fp").distinct()
+    roots = connected(simhash.links(distinct, MAX_BITS, cell_limit)).withColumnRenamed("node", "fp")
+    return cut(nodes.select("node", "fp").join(roots, "fp", "left").select(F.xxhash64(F.coalesce("root", "fp"), F.lit("fp")).alias("cell"), "node"))
+
+
+def _parts(batches):
+    """The batches in slices, whose sets take a bounded part of a worker's memory."""
+    for b in batches:
+        for at in range(0, b.num_rows, AT_ONCE):
+            yield b.slice(at, AT_ONCE)
+
+
 def links(nodes: DataFrame, texts: DataFrame, width: int, alike: float, cell_limit: int = CELL) -> DataFrame:
-    """a < b: links that connect the nodes (node, text_key, bands) of similar sets; texts (text_key, text) has their texts."""
-    entered = nodes.select(F.explode("bands").alias("cell"), "node")
+    """a < b: links that connect the nodes (node, text_key, fp, bands) of similar sets; texts (text_key, text) has their texts."""
+    entered = nodes.select(F.explode("bands").alias("cell"), "node").unionByName(components(nodes, cell_limit))
     cells = entered.groupBy("cell").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y")).filter("n > 1")
     cells = cut(cells.groupBy("n", "x", "y").agg(F.min("cell").alias("cell")).select("cell", "n"))
     members = entered.join(cells, "cell")
@@ -119,7 +149,7 @@ def links(nodes: DataFrame, texts: DataFrame, width: int, alike: float, cell_lim
 
     def whole(batches):
         table = _WordHashes()
-        for b in batches:
+        for b in _parts(batches):
             found = [shingles(t.as_py(), width, table) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["node", "found"])
 
@@ -137,18 +167,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry)).withColumn("text_key", F.xxhash64("text"))
     rest = d.drop("text")
-    schema = rest.select("*", F.lit(0).cast("long").alias("node"), F.array().cast("array<long>").alias("bands")).schema
+    schema = rest.select("*", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("fp"), F.array().cast("array<long>").alias("bands")).schema
 
     def work(batches):
         table = _WordHashes()
-        for b in batches:
+        for b in _parts(batches):
             k = b.schema.names.index("text")
             found = [shingles(t.as_py(), width, table) for t in b.column(k)]
-            more = [pa.array([_node(x) for x in found], pa.int64()), pa.array([bands(x) for x in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != k), *more], names=[*(n for n in b.schema.names if n != "text"), "node", "bands"])
+            more = [pa.array([_node(x) for x in found], pa.int64()), pa.array([fingerprint(x) for x in found], pa.int64()), pa.array([bands(x) for x in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != k), *more], names=[*(n for n in b.schema.names if n != "text"), "node", "fp", "bands"])
 
     rows = cut(d.mapInArrow(work, schema))
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.min("bands").alias("bands")))
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
     roots = connected(links(nodes, d.select("text_key", "text"), width, alike, cell_limit)).withColumnRenamed("node", "v")
     rooted = cut(nodes.join(roots, F.col("node") == F.col("v"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root")))
     component = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))

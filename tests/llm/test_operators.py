@@ -175,6 +175,21 @@ def test_stage_removes_near_copies_beyond_four_bits(spark):
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, d, "").collect()] == [1]
 
 
+def test_near_copies_meet_by_their_fingerprints(spark):
+    rng = random.Random(21)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(400)] for _ in range(30)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w[:200], "edit", *w[201:]]) for w in base] + ["", "one two"]
+    sets = [shingles.shingles(t, 5, passages._WordHashes()) for t in texts]
+    assert shingles.fingerprint(sets[-2]) == 0
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("text_key", F.xxhash64("text"))
+    known = spark.createDataFrame([(i, shingles._node(x), shingles.fingerprint(x)) for i, x in enumerate(sets)], "id long, node long, fp long").join(frame, "id")
+    nodes = known.withColumn("bands", F.expr("cast(array() as array<long>)"))  # nothing but fingerprints makes candidates
+    at = {r.node: r.id for r in known.collect()}
+    got = {tuple(sorted((at[r.a], at[r.b]))) for r in shingles.links(nodes, frame.select("text_key", "text"), 5, 0.8).collect()}
+    near = {(i, i + 30) for i in range(30) if (shingles.fingerprint(sets[i]) ^ shingles.fingerprint(sets[i + 30])).bit_count() <= 4}
+    assert near <= got <= {(i, i + 30) for i in range(30)} and len(near) >= 15
+
+
 # --- passages
 
 
