@@ -93,7 +93,7 @@ class SessionBudgets(StatefulProcessor):
         self._keep(_question(next(initialState.itertuples())), timerValues)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get() if self.last.exists() else None
+        last = self.last.get()  # None where there is none; each call asks the state's server once
         out = []
         for r in pd.concat(list(rows)).sort_values("ask_id").itertuples():
             now = _question(r)

@@ -1,6 +1,7 @@
 """Steps that have to grow with their input: what common keys make, and what is sent whole."""
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from graphquarry import queries as engine
@@ -8,6 +9,7 @@ from graphquarry import queries_logs  # noqa: F401  (adds its queries)
 from graphquarry.functions import text
 from graphquarry.operators import index, trace
 from graphquarry.storage import by_measured_size, cut
+from graphquarry.streaming import sessions
 
 
 def test_edges_left_are_counted_without_making_them(spark):
@@ -110,3 +112,17 @@ def test_only_a_little_is_sent_for_each_join(spark):
         return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
 
     assert "BroadcastHashJoin" in joined(100) and "BroadcastHashJoin" not in joined(300_000)  # some 3 MB
+
+
+def test_a_session_asks_for_its_state_once():
+    calls = []
+
+    class Last:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name)
+
+    budgets = sessions.SessionBudgets(None, False)
+    budgets.last = Last()
+    rows = pd.DataFrame({"ask_id": [2, 1], "kws": [["a"], ["a"]], "subsystems": [[], []], "output_hash": ["x", "y"]})
+    got = pd.concat(budgets.handleInputRows(("s",), iter([rows]), None))
+    assert list(got["budget"]) == ["full", "brief"] and calls == ["get", "update"]
