@@ -1,5 +1,7 @@
 """Steps that have to grow with their input: what common keys make, and what is sent whole."""
 
+import re
+
 import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
@@ -114,6 +116,18 @@ def test_only_a_little_is_sent_for_each_join(spark):
     assert "BroadcastHashJoin" in joined(100) and "BroadcastHashJoin" not in joined(300_000)  # some 3 MB
 
 
+def test_questions_send_no_side_of_a_join(spark):
+    def plans():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        done = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return [done.apply(i).physicalPlanDescription().split("== Initial Plan ==")[0] for i in range(done.size())]
+
+    before = len(plans())
+    assert engine.QUERIES["analyze_candidates"](spark, "/root/testdata/sf0.001").count() > 0
+    made = [len(re.findall(r"BroadcastExchange \(\d+\)", p)) for p in plans()[before:]]
+    assert len(made) > 5 and sum(made) <= 4  # synonyms and sizes of the index
+
+
 def test_a_session_asks_for_its_state_once():
     calls = []
 
