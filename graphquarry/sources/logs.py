@@ -123,15 +123,42 @@ def task_usages(runs: DataFrame, *keys: str) -> DataFrame:
     return u.select(*keys, F.coalesce("u.turn", F.col("at") + 1).alias("turn"), *map(zero, ("input_tokens", "output_tokens", "cache_read", "cache_creation")))
 
 
+def run_totals(runs: DataFrame, *carry: str) -> DataFrame:
+    """carry, total, navigation, productive, files, used_tokens of each of task_runs, from its own tools and usage.
+
+    What task_tool_calls, reports.task_report and task_usages give of a run, without a row a call: a run stays a
+    row where it lies, so nothing is dealt out by keys.
+    """
+    none = lambda c: F.coalesce(c, F.lit(0))
+    called = lambda f: none(F.size(F.filter("tools", f))).cast("long")
+    paths = F.transform(F.transform("tools", lambda i: _previewed(i.input_preview)), _whole_path)
+    tokens = F.aggregate("usage", F.lit(0).cast("long"), lambda n, u: n + none(u.input_tokens))
+    return runs.select(
+        *carry,
+        none(F.size("tools")).cast("long").alias("total"),
+        called(lambda i: i["name"].isin(*NAVIGATION)).alias("navigation"),
+        called(lambda i: ~i["name"].isin(*NAVIGATION)).alias("productive"),
+        none(F.size(F.array_distinct(F.array_compact(paths)))).cast("long").alias("files"),
+        none(tokens).alias("used_tokens"),
+    )
+
+
 def workspace_prefix(path: Column, marker: str = "/ab-workspace/") -> Column:
     """Up to and with the directory below the marker that names a side; null if there is none."""
     return F.nullif(F.regexp_extract(path, f"^(.*{marker}[^/]+/)", 1), F.lit(""))
 
 
+def _previewed(preview: Column) -> Column:
+    return F.regexp_extract(preview, "[\"']file_path[\"']\\s*:\\s*[\"']([^\"']+)", 1)
+
+
+def _whole_path(p: Column) -> Column:
+    return F.when(p.rlike("\\.\\w+$"), p)
+
+
 def preview_path(preview: Column) -> Column:
     """A path named in a preview of a tool's input, unless it was cut before its extension."""
-    p = F.regexp_extract(preview, "[\"']file_path[\"']\\s*:\\s*[\"']([^\"']+)", 1)
-    return F.when(p.rlike("\\.\\w+$"), p)
+    return _whole_path(_previewed(preview))
 
 
 def task_of(run: Column) -> Column:

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from graphquarry.operators import reports
 from graphquarry.sources import logs, tree
 from graphquarry.sources.parsers import parse
 
@@ -153,6 +154,18 @@ def test_runs_of_results_documents(spark):
     assert [tuple(x) for x in logs.task_usages(one, "run").collect()] == [("R1/a_without", 1, 5, 0, 0, 0), ("R1/a_without", 9, 0, 0, 2, 0)]
 
 
+def test_totals_of_runs_stay_with_their_rows(spark):
+    tool = lambda name, p=None: {"name": name, "input_preview": p and f"{{'file_path': '{p}', ..."}
+    some = [{"tools": [tool("Read", "a.py"), tool("Read", "a.py"), tool("Edit", "/w/cut"), tool("Grep", "b.py"), tool(None), None], "per_message_usage": [{"input_tokens": 5}, {"turn": 2}, {"input_tokens": 3}]}, {"tools": []}, {"cost_usd": 1}]
+    d = spark.createDataFrame([(1, json.dumps({"rounds": [[{"category": f"c{i}", "without": x} for i, x in enumerate(some)]]}))], "id int, doc string")
+    runs = logs.task_runs(d)
+    got = logs.run_totals(runs, "category")
+    assert sorted(map(tuple, got.collect())) == [("c0", 6, 1, 3, 2, 8), ("c1", 0, 0, 0, 0, 0), ("c2", 0, 0, 0, 0, 0)]
+    told = reports.task_report(runs.select("category"), logs.task_tool_calls(runs, "category"), "category")
+    assert sorted(map(tuple, got.drop("used_tokens").collect())) == sorted(map(tuple, told.collect()))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_log_helpers(spark):
     d = spark.createDataFrame([("x_turn2.jsonl", "/h/ab-workspace/with/src/a.py", "{'file_path': '/a/b.py', ..."), ("x_turn0.jsonl", "/other/a.py", "{'file_path': '/a/long")], "run string, p string, v string")
     got = d.select(logs.is_followup(F.col("run")), logs.workspace_prefix(F.col("p")), logs.preview_path(F.col("v"))).collect()
