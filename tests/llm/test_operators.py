@@ -711,6 +711,41 @@ def test_repeats_like_brute_force(spark):
     assert all(got[i] == set() for i in docs if i not in want and len(docs[i]) < 50)
 
 
+def test_excerpts_of_one_text_are_one_class_and_wholly_covered(spark):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    whole = [word() for _ in range(400)]
+    docs = {}
+    for i in range(300):  # every excerpt overlaps others at other places, so that no one partner has all of its passages
+        a = rng.randint(0, 330)
+        docs[i] = [word() for _ in range(rng.randint(0, 30))] + whole[a : a + rng.randint(50, 70)] + [word() for _ in range(rng.randint(0, 30))]
+    at = {}
+    for i, w in docs.items():
+        for s in range(len(w) - 49):
+            at.setdefault(tuple(w[s : s + 50]), set()).add((i, s))
+    want, partners, root = {i: set() for i in docs}, {i: set() for i in docs}, {i: i for i in docs}
+    for places in at.values():
+        who = {i for i, _ in places}
+        if len(who) > 1:
+            for i, s in places:
+                want[i] |= set(range(s, s + 50))
+                partners[i] |= who - {i}
+            low = min(root[i] for i in who)
+            old = {root[i] for i in who}
+            root = {i: low if r in old else r for i, r in root.items()}
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    for n in (1, 40):  # texts of a batch
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        try:
+            got = {r.doc_id: r for r in passages.repeated_passages(frame).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert all(want[i] <= {k for s in got[i].spans for k in range(s.s, s.e)} for i in docs)
+        assert all(got[i].partner_id is not None and got[i].partner_id <= min(partners[i]) for i in docs if partners[i])
+        assert all(got[i].component_id <= root[i] and got[i].component_id == got[root[i]].component_id for i in docs)
+        assert all(got[i].n_links > 0 for i in docs if want[i])
+
+
 def test_fuzzy_passages_are_found(spark):
     rng = random.Random(13)
     fresh = lambda n: [f"u{rng.randrange(2000)}" for _ in range(n)]
