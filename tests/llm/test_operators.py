@@ -773,3 +773,52 @@ def test_sides_dealt_to_several_tasks_find_the_same_passages(spark, monkeypatch)
     whole = rows()
     monkeypatch.setattr(passages, "SIDES", 2)
     assert rows() == whole and sum("n_dup_words=70" in r for r in whole) >= 12
+
+
+def test_words_hashed_at_once_are_those_of_words_of(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("aZ09é-λ_") for _ in range(rng.choice([1, 3, 8, 70])))
+    texts = [None, "", " ", "one", "One two", "a" * 65 + " " + "a" * 64 + "b", *(rng.choice(["", " "]) + rng.choice([" ", "\n", ". "]).join(word() for _ in range(rng.randrange(40))) for _ in range(60))]
+    seen = {}
+    for size in (passages._AT_ONCE, 50):  # of 50 bytes, texts go in pieces
+        monkeypatch.setattr(passages, "_AT_ONCE", size)
+        for array in (pa.array(texts, pa.string()), pa.array(["skipped", *texts], pa.string())[1:]):
+            got = [ids[at[n] : at[n + 1]].tolist() for i, j, ids, at in passages.hashed(array) for n in range(j - i)]
+            assert [len(x) for x in got] == [len(decontam.words_of(t)) for t in texts]
+            for t, ids in zip(texts, got):
+                for w, x in zip(decontam.words_of(t), ids):
+                    assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_common_words_in_order_like_the_plain_way():
+    rng = random.Random(42)
+    for _ in range(300):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(9))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+            row = new
+        assert passages.lcs(np.array(a, np.uint64), np.array(b, np.uint64)) == row[-1]
+
+
+def test_exact_repeats_are_stretches_and_no_row_for_each_word(spark):
+    rng = random.Random(43)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    whole = fresh(3000)
+    docs = {i: list(whole) for i in range(12)} | {20: fresh(40) + whole[700:760] + fresh(40) + whole[700:760], 21: fresh(300), 22: whole[100:149]}
+    keyed = spark.createDataFrame([(i, i, " ".join(w)) for i, w in docs.items()], "key long, doc_id long, text string")
+    for n in (1, 100):  # texts of a batch
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        try:
+            rows = passages.exact_repeats(keyed).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(rows) * 5 < sum(map(len, docs.values()))
+        got = {i: {k for r in rows if r.key == i for k in range(r.s, r.e)} for i in docs}
+        assert all(got[i] == set(range(3000)) for i in range(12)) and got[20] == {*range(40, 100), *range(140, 200)} and not got[21] and not got[22]
+        assert all(min(o for r in rows if r.key == i for o in r.others) == 0 for i in (*range(12), 20))
