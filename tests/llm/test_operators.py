@@ -822,3 +822,16 @@ def test_exact_repeats_are_stretches_and_no_row_for_each_word(spark):
         got = {i: {k for r in rows if r.key == i for k in range(r.s, r.e)} for i in docs}
         assert all(got[i] == set(range(3000)) for i in range(12)) and got[20] == {*range(40, 100), *range(140, 200)} and not got[21] and not got[22]
         assert all(min(o for r in rows if r.key == i for o in r.others) == 0 for i in (*range(12), 20))
+
+
+def test_words_that_go_round_are_one_sample():
+    import pyarrow as pa
+
+    texts = [" ".join(["again"] * 4000), " ".join(["to", "and", "fro"] * 900), " ".join(f"u{i}" for i in range(500))]
+    rows = [pa.array([1, 2, 3]), pa.array([1, 2, 3]), pa.array(texts)]
+    got = pa.Table.from_batches(passages._sampled([pa.RecordBatch.from_arrays(rows, names=["key", "doc_id", "text"])], 50, 24)).to_pylist()
+    assert sum(r["key"] == 1 for r in got) <= 30 and sum(r["key"] == 2 for r in got) <= 30 and sum(r["key"] == 3 for r in got) >= 20
+    for key, n in ((1, 4000), (2, 2700), (3, 500)):
+        at = [(r["place"] >> 17, r) for r in got if r["key"] == key]
+        begins = {k for p, r in at for k in range(p - (r["place"] >> 9 & 255), p - (r["place"] >> 1 & 255) + r["more"] + 1)}
+        assert begins == set(range(n - 49))
