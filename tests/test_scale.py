@@ -37,6 +37,34 @@ def test_common_keys_are_dealt_over_many_tasks(spark):
     assert index.meeting(left.limit(0), right, "key").count() == 0
 
 
+def test_rows_that_meet_are_dealt_out_a_few_times_however_many_pairs_they_make(spark):
+    side = lambda n, c: spark.range(n).select(F.col("id").alias(c), F.when(F.col("id") >= 0, "hot").alias("key"))
+    got = index.meeting(side(3000, "a"), side(2000, "b"), "key", pairs=100)  # 60,000 cells of 100 pairs
+    tasks = re.findall(r"hashpartitioning\(key#\d+, _i#\d+, _j#\d+, (\d+)\)", got._jdf.queryExecution().executedPlan().toString())
+    assert tasks and all(int(n) <= 64 for n in tasks)
+    assert got.count() == 3000 * 2000 and got.select(F.xxhash64("a", "b")).distinct().count() == 3000 * 2000
+
+
+def test_pairs_in_files_take_little_more_than_their_rows(spark, tmp_path):
+    files = spark.range(3000).select((F.col("id") * 7919 % 999_983).alias("id"), F.concat(F.when(F.col("id") % 3 == 0, "tests/test_").otherwise("src/"), F.col("id") % 2, F.lit(".py")).alias("path"), (F.col("id") % 3 == 0).alias("is_test"))
+    imports = files.select(F.col("id").alias("file_id"), F.lit("src").alias("module"))
+    for name, edges, n in (("name", index.test_edges_by_name(files), 1_000_000), ("import", index.test_edges_by_import(files, imports), 2_000_000)):
+        edges.write.parquet(f"{tmp_path}/{name}")
+        back = spark.read.parquet(f"{tmp_path}/{name}")
+        assert back.count() == back.distinct().count() == n
+        assert sum(p.stat().st_size for p in (tmp_path / name).glob("*.parquet")) < 0.2 * n
+
+
+def test_packs_of_unlike_sides_meet_like_rows(spark):
+    left = spark.createDataFrame([("a", 1, None), ("a", 1, None), ("a", None, "x"), ("b", 2, "y"), (None, 3, "z"), ("c", 4, "w")], "key string, n long, s string")
+    right = spark.range(3000).select(F.when(F.col("id") % 50 > 0, "a").when(F.col("id") % 100 > 0, "b").alias("key"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("m"), (F.col("id") % 3).alias("k"))
+    for r in (right, right.drop("k")):
+        for pairs in (1, 500, index.PAIRS):
+            rows = lambda df: sorted(map(str, df.select("key", "n", "s", *r.columns[1:]).collect()))
+            assert rows(index.meeting(left, r, "key", pairs)) == rows(left.join(r, "key"))
+            assert rows(index.meeting(r, left, "key", pairs)) == rows(left.join(r, "key"))
+
+
 def test_tests_of_one_name_are_no_task_of_their_own(spark):
     files = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, "tests/test_a.py").otherwise("src/a.py").alias("path"), (F.col("id") % 2 == 0).alias("is_test"))
     plan = index.test_edges_by_name(files)._jdf.queryExecution().executedPlan().toString()
