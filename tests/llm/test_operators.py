@@ -824,6 +824,34 @@ def test_exact_repeats_are_stretches_and_no_row_for_each_word(spark):
         assert all(min(o for r in rows if r.key == i for o in r.others) == 0 for i in (*range(12), 20))
 
 
+def test_links_are_all_stretches_alike_at_each_place(spark):
+    rng = random.Random(44)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    whole, ring = fresh(300), ["to", "and", "fro"] * 30
+    docs = {}
+    for i in range(60):  # excerpts at other places, some twice, some at the beginning, and words that go round
+        a = rng.randint(0, 220)
+        docs[i] = (fresh(rng.randint(0, 9)) + whole[a : a + rng.randint(50, 80)]) * rng.choice([1, 1, 2]) + rng.choice([[], [], ring[i % 5 :]])
+    at, want = {}, dict.fromkeys(docs, 0)
+    for i, w in docs.items():
+        for s in range(len(w) - 49):
+            at.setdefault(tuple(w[s : s + 50]), []).append((i, s))
+    for places in at.values():
+        for i, s in places:
+            want[i] += sum(j != i and (s == 0 or t == 0 or docs[i][s - 1] != docs[j][t - 1]) for j, t in places)
+    rows = [(i, " ".join(w)) for i, w in docs.items()]
+    frame = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")  # rows alike are one
+    for n in (1, 100):  # texts of a batch
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        try:
+            links = {r.key: r.n for r in passages.exact_links(passages._keyed(frame, "doc_id", "text"))[1].collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        keys = {r.key: r.doc_id for r in passages._keyed(frame, "doc_id", "text").collect()}
+        assert {d: links.get(k, 0) for k, d in keys.items()} == want
+    assert all(r.n_links >= want[r.doc_id] for r in passages.repeated_passages(frame).collect())
+
+
 def test_words_that_go_round_are_one_sample():
     import pyarrow as pa
 
